@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import array
+import json
 import os
+import re
 import tempfile
 import uuid
 
@@ -94,53 +96,83 @@ def nth_smallest(df: DataFrame, column: str, n: int, bins: int = 4096) -> float
     return lo
 
 
+#: The pre-tokenizer pattern that the fast path reproduces (a fixed value of the vocabulary's file).
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# Letters and numbers among the characters below U+0180 after lower-casing.
+_L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]*")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Token ids of texts by the tokenizers library, as little-endian 32-bit bytes.
 
-    The vocabulary's pre-tokenizer never spans white space, so each piece between spaces
-    or line feeds is encoded once and remembered. Two generations bound the memory: when
-    the young one is full it becomes the old one, and pieces in use move back to the young.
+    Where the file's normalizer and pre-tokenizer are the ones known here (NFC, white space, lower
+    case; WORD_PATTERN; bytes), a text of characters below U+0180 is cut into pieces directly and
+    each distinct piece goes through the library's model once. Any other text, or one that holds a
+    special token's string, goes through the whole library. Remembered pieces are bounded by two
+    generations: a full young one becomes the old one, and pieces in use move back.
     """
 
-    def __init__(self, spec: str, room: int = 250_000):
+    def __init__(self, spec: str, room: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_str(spec), room
+        self.model, self.bytes = self.tokenizer.model, _byte_alphabet()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        parts = json.loads(spec)
+        self.special = [t["content"] for t in parts.get("added_tokens") or ()]
+        self.known = self._known(parts)
+
+    @staticmethod
+    def _known(parts: dict) -> bool:
+        steps = (parts.get("normalizer") or {}).get("normalizers") or []
+        cuts = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        split, byte = (cuts + [{}, {}])[:2]
+        return (
+            [(x["type"], (x.get("pattern") or {}).get("Regex")) for x in steps] == [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+            and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+            and split["pattern"] == {"Regex": WORD_PATTERN}
+            and not byte["add_prefix_space"]
+            and not byte["use_regex"]
+            and parts.get("post_processor") is None
+        )
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        at = 0
-        while at < len(texts):  # blocks of bounded size, one long text at least
-            block, size = [], 0
-            while at < len(texts) and (not block or size + len(texts[at]) < 4_000_000):
-                size += len(texts[at])
-                block.append(texts[at].replace("\n", " ").split(" "))
-                at += 1
-            out += self._block(block)
+        for text in texts:
+            if self.known and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+                out.append(self._pieces(_PIECES.findall(text.lower())))
+            else:
+                out.append(array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
         return out
 
-    def _block(self, block: list[list[str]]) -> list[bytes]:
-        words = set().union(*block)
+    def _pieces(self, pieces: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.young.__getitem__, pieces))
+        except KeyError:
+            pass
         if len(self.young) > self.room:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        fresh = []
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    fresh.append(w)
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                young[w] = array.array("I", e.ids).tobytes()
-        get = young.__getitem__
-        return [b"".join(map(get, words)) for words in block]
+        for w in set(pieces).difference(young):
+            found = old.get(w)
+            if found is None:
+                spelled = w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes)
+                found = array.array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            young[w] = found
+        return b"".join(map(young.__getitem__, pieces))
 
 
 _encoders: dict[int, Encoder] = {}
