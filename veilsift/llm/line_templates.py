@@ -1,12 +1,13 @@
 """Line deduplication with a log-template tree.
 
 A unit is a line, or each sentence of a line longer than LONG words. The tree routes a unit by its
-token count and its leading tokens (those with digits count as one variable) to a leaf; a leaf's
-templates keep each token or a wildcard. Log parsers merge a leaf's lines one after another, which
-depends on their order and grows with the square of a leaf; here a unit belongs to five templates at
-once: all its tokens with variable fields as wildcards, and four more in which one quarter of the
-tokens after the leading ones is a run of wildcards. Units that differ in fields of one quarter share
-a template, whatever the order, and the work is linear.
+token count and its leading tokens to a leaf; a leaf's templates keep each token or a wildcard, and
+tokens with digits are wildcards always. Log parsers merge a leaf's lines one after another, which
+depends on their order and grows with the square of a leaf; here a unit belongs to one template with
+all its plain tokens and, when it is long enough, to four more in which one quarter of the tokens
+after the leading ones is a run of wildcards. Units that differ in the fields of one quarter share a
+template, whatever their order, and the work is linear. A template is a 64-bit hash of its path and
+tokens, taken for all units of many texts by prefix sums.
 
 A template that occurs in several documents recurs; its units are dropped from all of them but the
 document with the smallest id (or from all).
@@ -14,15 +15,14 @@ document with the smallest id (or from all).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, graph
+from . import common, graph, shingles
 
 #: Lines with more words than this are cut into sentences.
 LONG = 40
@@ -31,48 +31,58 @@ DEPTH = 2
 #: Units with fewer words are never dropped.
 LEAST_WORDS = 5
 #: Units with fewer words have no template with a wildcard run.
-LEAST_RUN_WORDS = 12
-
-_LINE = re.compile(r"[^\n]*\n|[^\n]+")
-_SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
-_FIELD = re.compile(r"[^ ]*[0-9][^ ]*")
-_GAPS = re.compile(r"[ \t\r\f\v]+")
-
-
-def units(text: str) -> list[str]:
-    """The text in units; their concatenation is the text (line feeds and spaces stay with the unit before)."""
-    out: list[str] = []
-    for line in _LINE.findall(text):
-        if line.count(" ") < LONG:
-            out.append(line)
-            continue
-        at = 0
-        for m in _SENTENCE.finditer(line):
-            out.append(line[at : m.end()])
-            at = m.end()
-        if at < len(line):
-            out.append(line[at:])
-    return out
-
-
-def templates(unit: str) -> list[int]:
-    """Signed 64-bit hashes of the unit's templates; none for a short unit."""
-    plain = _GAPS.sub(" ", unit).strip()
-    n = plain.count(" ") + 1
-    if n < LEAST_WORDS:
-        return []
-    if any(c.isdigit() for c in plain):
-        plain = _FIELD.sub("<*>", plain)
-    out = [xxhash.xxh64_intdigest(f"{n} {plain}")]
-    if n >= LEAST_RUN_WORDS:
-        tokens = plain.split(" ")
-        lead = " ".join(tokens[:DEPTH])
-        cuts = [DEPTH + (n - DEPTH) * i // 4 for i in range(5)]
-        parts = [" ".join(tokens[a:b]) for a, b in zip(cuts, cuts[1:])]
+LEAST_RUN_WORDS = 20
+
+U = np.uint64
+_WORD = np.ones(256, np.uint8)
+_WORD[[32, 9, 10, 11, 12, 13]] = 0
+_ENDS = np.zeros(256, bool)
+_ENDS[[ord(c) for c in ".!?"]] = True
+_DIGIT = np.zeros(256, np.int64)
+_DIGIT[48:58] = 1
+_FIELD = U(0x5EED)
+
+
+class Units:
+    """The units of some texts: text number, place of the first byte, words, and their number in the text."""
+
+    def __init__(self, texts: list[bytes]):
+        self.h, own, place, length, _ = shingles.runs(texts, _WORD)
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
+        self.h = np.where(digits[place + length] > digits[place], _FIELD, self.h)
+        line = np.cumsum(data == 10)[place] if len(place) else place
+        turns = np.ones(len(place), bool)
+        turns[1:] = (own[1:] != own[:-1]) | (line[1:] != line[:-1])
+        number = np.cumsum(turns) - 1
+        long_line = (np.bincount(number) > LONG)[number] if len(number) else turns
+        turns[1:] |= long_line[1:] & _ENDS[data[place + length - 1]][:-1]
+        self.first = np.flatnonzero(turns)
+        self.words = np.diff(np.concatenate([self.first, [len(place)]]))
+        self.own, self.place = own[self.first], place[self.first]
+        opens = np.ones(len(self.first), bool)
+        opens[1:] = self.own[1:] != self.own[:-1]
+        starts = np.flatnonzero(opens)
+        self.number = np.arange(len(self.first)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(self.first)]])))
+
+    def templates(self) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, hash) of every template."""
+        n, first = self.words, self.first
+        shingles._grow(len(self.h) + 1)
+        total = np.zeros(len(self.h) + 1, np.uint64)
+        np.cumsum(self.h * shingles._powers[: len(self.h)], out=total[1:])
+        span = lambda a, b, at: (total[b] - total[a]) * shingles._inverse[at]
+        path = shingles.mix(n.astype(np.uint64))
+        whole = np.flatnonzero(n >= LEAST_WORDS)
+        units, sigs = [whole], [shingles.mix(span(first, first + n, first) + path)[whole]]
+        runs = np.flatnonzero(n >= LEAST_RUN_WORDS)
+        at, m = first[runs], n[runs]
+        everything = span(at, at + m, at)
         for i in range(4):
-            rest = "\0".join([*parts[:i], "<*>", *parts[i + 1 :]])
-            out.append(xxhash.xxh64_intdigest(f"{n} {lead}\1{rest}"))
-    return [h - 2**64 if h >= 2**63 else h for h in out]
+            a, b = at + DEPTH + (m - DEPTH) * i // 4, at + DEPTH + (m - DEPTH) * (i + 1) // 4
+            units.append(runs)
+            sigs.append(shingles.mix(shingles.mix(everything - span(a, b, at) + U(i + 1)) + path[runs]))
+        return np.concatenate(units), np.concatenate(sigs)
 
 
 def _parse(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,25 +90,17 @@ def _parse(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, numbers, sigs = [], [], [], []
-            for d, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for i, u in enumerate(units(text)):
-                    found = templates(u)
-                    sigs += found
-                    numbers += [i] * len(found)
-                    ids += [d] * len(found)
-                    hashes += [th] * len(found)
-                if len(sigs) > 200_000:
-                    yield _rows(ids, hashes, numbers, sigs)
-                    ids, hashes, numbers, sigs = [], [], [], []
-            yield _rows(ids, hashes, numbers, sigs)
+            ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            for at, to in shingles.blocks(texts):
+                units = Units(texts[at:to])
+                which, sigs = units.templates()
+                spot = at + units.own[which]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[spot]), pa.array(hashes[spot]), pa.array(units.number[which].astype(np.int32)), pa.array(sigs.view(np.int64))], ["doc_id", "th", "unit", "sig"])
 
     text = common.text_or_empty(text_col)
-    return docs.select(F.col(id_col).cast("long"), F.xxhash64(text), text).mapInArrow(run, "doc_id long, th long, unit int, sig long")
-
-
-def _rows(ids: list, hashes: list, numbers: list, sigs: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "th": pa.array(hashes, pa.int64()), "unit": pa.array(numbers, pa.int32()), "sig": pa.array(sigs, pa.int64())})
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text), text).where("doc_id is not null")
+    return plain.mapInArrow(run, "doc_id long, th long, unit int, sig long")
 
 
 def recurring(parsed: DataFrame, min_docs: int) -> DataFrame:
@@ -111,44 +113,45 @@ def recurring(parsed: DataFrame, min_docs: int) -> DataFrame:
     return per.select("sig", "first", "rows")
 
 
+def without(text: bytes, gone: set[int]) -> bytes:
+    """The text without the units of the given numbers; each takes the white space up to the next one with it."""
+    starts = Units([text]).place.tolist()
+    cuts = [*starts, len(text)]
+    kept = [text[: cuts[0]]] + [text[cuts[i] : cuts[i + 1]] for i in range(len(starts)) if i not in gone]
+    return b"".join(kept).rstrip(b"\n")
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with units of recurring templates dropped from ``text_col``, and ``__units``, ``__dropped``.
+    """``docs`` with units of recurring templates dropped from ``text_col``, and ``__dropped``, how many.
 
     With ``keep_first`` the document with the smallest id keeps a recurring template's units, so
     content that exact or near copies share stays once. Units of under LEAST_WORDS words stay. A null
-    text stays null with no units; rows with a null doc_id are parsed but neither count nor lose units;
-    rows that share a doc_id count as one document and keep what is first in it; an empty table stays
-    empty. A document may lose all its text: ``__dropped`` then equals ``__units``.
+    text stays null; rows with a null doc_id neither count nor lose units; rows that share a doc_id
+    count as one document and keep what is first in it; an empty table stays empty. A document may
+    lose all its text.
     """
-    spark = docs.sparkSession
-    parsed = common.stored(_parse(docs, id_col, text_col).where("doc_id is not null"), "templates")
+    parsed = common.stored(_parse(docs, id_col, text_col), "templates")
     again = common.stored(recurring(parsed, min_docs), "recurring")
-    total = parsed.count()
-    hits = graph.look_up(parsed, again, ["sig"], "rows", total)
+    hits = graph.look_up(parsed, again, ["sig"], "rows", parsed.count())
     if keep_first:
         hits = hits.where(F.col("doc_id") != F.col("first"))
     drops = hits.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("unit").alias("__drop"))
     keyed = docs.withColumn("__th", F.xxhash64(common.text_or_empty(text_col)))
     joined = keyed.join(drops.hint("shuffle_hash"), (keyed[id_col].cast("long") == drops["__id"]) & (keyed["__th"] == drops["__th"]), "left").select(docs["*"], drops["__drop"])
+    joined = joined.withColumn(text_col, F.col(text_col).cast("string"))
     spot = docs.columns.index(text_col)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, drops = batch.column(spot).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            out, sizes, lost = [], [], []
-            for text, drop in zip(texts, drops, strict=True):
-                parts = units(text) if text else []
-                sizes.append(len(parts))
-                lost.append(len(drop or ()))
-                if drop:
-                    gone = set(drop)
-                    text = "".join(u for i, u in enumerate(parts) if i not in gone).rstrip("\n")
-                out.append(text)
-            columns = [pa.array(out, pa.string()) if i == spot else c for i, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int32()), pa.array(lost, pa.int32())], [*batch.schema.names[:-1], "__units", "__dropped"])
-
-    schema = docs.withColumn(text_col, F.col(text_col).cast("string")).select("*", F.lit(0).alias("__units"), F.lit(0).alias("__dropped")).schema
-    return joined.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(rebuild, schema)
+            drops = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(spot)
+            if any(drops):
+                plain = texts.cast(pa.binary()).to_pylist()
+                texts = pa.array([without(t, set(d)) if d else t for t, d in zip(plain, drops, strict=True)], pa.binary()).cast(pa.string())
+            columns = [texts if i == spot else c for i, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(d or ()) for d in drops], pa.int32())], [*batch.schema.names[:-1], "__dropped"])
+
+    return joined.mapInArrow(rebuild, joined.drop("__drop").select("*", F.lit(0).alias("__dropped")).schema)
 
 
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

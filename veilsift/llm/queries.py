@@ -30,7 +30,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_templates.dedup_lines(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", out["__units"].alias("n_units"), out["__dropped"].alias("n_dropped"), "text")
+    return out.select("doc_id", out["__dropped"].alias("n_dropped"), "text")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
