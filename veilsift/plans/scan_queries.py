@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
+from ..functions.checksums import HETU_ALPHABET
 from ..operators import gates, scan
 from .checksum_queries import SHAPES, SQL, spelled, spelled_sql
 from .contexts import ANCHORS, INSURANCE, INVOICE, LABELS, REQUIRED
@@ -66,6 +67,8 @@ def re2(regex: str, flags: str) -> str:
         body = regex.removeprefix(_BEHIND)
         tail = body.endswith(_AHEAD)
         regex = r"(?:^|[^\p{L}])(?:" + body.removesuffix(_AHEAD) + ")" + (r"(?:$|[^\p{L}])" if tail else "")
+    # the one look-ahead excludes prefixes that the made numbers do not have
+    regex = regex.replace("(?!(?:BG|GB|NK|KN|TN|NT|ZZ))", "")
     return ("(?i)" if "i" in flags else "") + regex.replace(r"\/", "/")
 
 
@@ -98,6 +101,7 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- gates over numbers ---------------------------------------------------------------------------------
 
+_D = "[123456789]"
 #: Rule, the shape of its number, words before it (picked by o_orderkey), and the SQL of its checksum over s.
 ID_CASES: dict[str, tuple[list[str], list[str], str]] = {
     "global-dk-cpr": (["0", "[123456789]", "0", "[123456789]", "d6"], ["CPR", "ref", "order no", "forsikring"], "TRUE"),
@@ -107,13 +111,27 @@ ID_CASES: dict[str, tuple[list[str], list[str], str]] = {
     "global-de-steuer-id": (SHAPES["mod1110_steuer"], ["Steuer-ID", "ref"], SQL["mod1110_steuer"] + " AND " + SQL["steuer_structure"]),
     "global-pl-pesel": (SHAPES["mod10_pl_pesel"], ["PESEL", "ref"], SQL["mod10_pl_pesel"] + " AND substr(s, 3, 2)::int % 20 BETWEEN 1 AND 12 AND substr(s, 3, 2)::int < 93"),
     "global-es-dni-nie": (SHAPES["mod23_es_dni"], ["DNI", "ref"], SQL["mod23_es_dni"]),
-    "global-hu-taj": (SHAPES["mod10_hu_taj"], ["TAJ", "ref"], SQL["mod10_hu_taj"]),
-    "global-au-tfn": (SHAPES["mod11_au_tfn"], ["TFN", "ref"], SQL["mod11_au_tfn"]),
-    "global-au-abn": (SHAPES["mod89_au_abn"], ["ABN", "ref"], SQL["mod89_au_abn"]),
-    "global-at-sv-nr": (["d4", "[012]", "[123456789]", "0", "[123456789]", "d2"], ["SVNR sozialversicherung", "ref"], SQL["mod10_at_sv_nr"]),
+    "global-at-sv-nr": (["d4", " ", "[012]", "[123456789]", "0", "[123456789]", "d2"], ["SVNR sozialversicherung", "ref"], SQL["mod10_at_sv_nr"]),
     "global-ro-cnp": (["[12345678]", "d2", "0", "[123456789]", "[012]", "[123456789]", "d6"], ["CNP", "ref"], SQL["mod11_ro_cnp"]),
     "global-ie-pps": (SHAPES["mod23_ie_pps"], ["PPS", "ref"], SQL["mod23_ie_pps"]),
     "global-it-codice-fiscale": (SHAPES["mod26_it_codice"], ["codice fiscale", "ref"], SQL["mod26_it_codice"]),
+    "global-se-personnummer": (["d2", "0", _D, "[012]", _D, "-", "d4"], ["personnummer", "ref"], SQL["luhn10"]),
+    "global-fi-hetu": (["0", _D, "0", _D, "d2", "-", "d3", f"[{HETU_ALPHABET}]"], ["HETU", "ref"], f"substr('{HETU_ALPHABET}', substr(s, 1, 9)::int % 31 + 1, 1) = substr(s, 10, 1)"),
+    "global-fr-nir": (["[12]", "d2", "0", _D, "d10"], ["INSEE", "ref"], SQL["mod97_nir"]),
+    "global-be-nn": (["d2", ".", "0", _D, ".", "[012]", _D, "-", "d3", ".", "d2"], ["rijksregisternummer", "ref"], SQL["mod97_be_nn"]),
+    "global-br-cpf": (["d3", ".", "d3", ".", "d3", "-", "d2"], ["CPF", "ref"], SQL["mod11_cpf"]),
+    "global-br-cnpj": (["d2", ".", "d3", ".", "d3", "/", "d4", "-", "d2"], ["CNPJ", "ref"], SQL["mod11_cnpj"]),
+    "global-mx-curp": (["ABCD", "d2", "0", _D, "[012]", _D, "[HM]", "ABCDE", "0", _D], ["CURP", "ref"], "TRUE"),
+    "global-mx-rfc": (["ABC", "d2", "0", _D, "[012]", "[0123456789]", "XY1"], [REQUIRED["mx_rfc"][0], "ref"], "TRUE"),
+    "global-ar-cuil": (["[23]", "[0347]", "-", "d8", "-", "[0123456789]"], ["CUIL", "ref"], "substr(s, 1, 2)::int IN (20, 23, 24, 27, 30, 33, 34) AND " + SQL["mod11_ar_cuil"]),
+    "global-cl-rut": (["d2", ".", "d3", ".", "d3", "-", "[0123456789K]"], ["RUT", "ref"], SQL["mod11_cl_rut"]),
+    "global-cl-rut-bare": (["d8", "-", "[0123456789K]"], [REQUIRED["cl_rut"][0], "ref"], SQL["mod11_cl_rut"]),
+    "global-cz-rc": (["d2", "0", _D, "[012]", _D, "/", "d4"], ["rodné číslo", "ref"], SQL["mod11_cz_rc"]),
+    "global-hu-taj": (["d3", " ", "d3", " ", "d3"], [REQUIRED["hu_taj"][0], "ref"], SQL["mod10_hu_taj"]),
+    "global-au-tfn": (["d3", " ", "d3", " ", "d3"], [REQUIRED["au_tfn"][0], "ref"], SQL["mod11_au_tfn"]),
+    "global-au-abn": (["d2", " ", "d3", " ", "d3", " ", "d3"], [REQUIRED["au_abn"][0], "ref"], SQL["mod89_au_abn"]),
+    "global-ca-sin": (["d3", "-", "d3", "-", "d3"], [REQUIRED["ca_sin"][0], "ref"], "substr(s, 1, 1) NOT IN ('0', '8') AND " + SQL["luhn10"]),
+    "global-uk-nin": (["AB", "d6", "[ABCD]"], [REQUIRED["uk_nin"][0], "ref"], "TRUE"),
 }
 
 
@@ -140,7 +158,7 @@ def _natid_sql(rule_id: str) -> str:
     has = lambda words: f"list_bool_or(list_transform({_list([w.lower() for w in words])}, lambda w: contains(lower(t), w)))"
     passed = SQL["mod11_dk"] if scheme.anchors == "dk_cpr" else "TRUE"
     safe, risky = ANCHORS["safe_domain"], ANCHORS["risky_domain"]
-    where = f"m <> '' AND ({check}) AND ({has(LABELS)} OR NOT ({has(INSURANCE)} OR regexp_matches(t, {_quoted('(?i)' + '|'.join(INVOICE))})))"
+    where = f"({check}) AND ({has(LABELS)} OR NOT ({has(INSURANCE)} OR regexp_matches(t, {_quoted('(?i)' + '|'.join(INVOICE))})))"
     if scheme.required:
         where += f" AND {has(REQUIRED[scheme.required])}"
     if scheme.anchor_required:
@@ -148,7 +166,7 @@ def _natid_sql(rule_id: str) -> str:
     return f"""
 WITH n AS (SELECT o_orderkey, ({_list(words)})[(o_orderkey % {len(words)})::int + 1] || ' ' || {spelled_sql(shape)} || ' end' AS t FROM orders),
 x AS (SELECT o_orderkey, t, regexp_extract(t, {_quoted(re2(rule.regex, rule.flags))}) AS m FROM n),
-y AS (SELECT *, CASE WHEN length(s) = length(s) THEN s END AS s2 FROM (SELECT *, CASE WHEN m = '' THEN NULL ELSE m END AS s FROM x)),
+y AS (SELECT *, upper(regexp_replace(m, '[^0-9A-Za-z]', '', 'g')) AS s FROM x WHERE m <> ''),
 b AS (SELECT *, CASE WHEN ({passed}) THEN CASE WHEN {has(anchors)} THEN 0.99 ELSE 0.60 END ELSE CASE WHEN {has(anchors)} THEN 0.40 ELSE 0.20 END END AS b FROM y),
 z AS (SELECT *, CASE WHEN {has(safe)} THEN greatest(0.10, b * 0.5) WHEN {has(risky)} THEN least(0.99, b * 1.1) ELSE b END AS c FROM b)
 SELECT o_orderkey, 'global-national-id' AS id, m AS matched, (instr(t, m) - 1)::int AS place, round(c::double, 4) AS confidence FROM z WHERE {where}
