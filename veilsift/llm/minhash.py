@@ -100,51 +100,93 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int = 5) ->
     return laid.mapInArrow(check, "a long, b long")
 
 
-def open_pairs(shared: DataFrame, agree: int, percent: int) -> DataFrame:
-    """Pairs of one bucket that lie in different components and whose sketches agree on ``agree`` coordinates.
+def open_groups(placed: DataFrame) -> DataFrame:
+    """Groups within which pairs of different components are still to be compared: kind, key, node, comp, n.
 
-    ``shared`` has key, node, comp, n, sketch. A bucket is cut into tiles of about TILE documents; each
-    pair of tiles is one run of rows that a task reads in order, so no bucket is ever held whole.
+    ``placed`` has key, node, n, comp for every member of a bucket. Buckets of one component are done,
+    buckets with the same nodes are one. Where buckets overlap much (a large group of near copies
+    shares most of its bands), the union of connected buckets is fewer rows and pairs than the buckets
+    one by one; then it is one group, else each bucket is.
     """
-    sizes = shared.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    rows = shared.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp", "n", "sketch")
-    laid = rows.repartition(common.partitions(shared.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compare(left: list, right: list, same: bool, out: tuple[list, list]) -> None:
-        if not left or not right:
+    held = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), F.min("node").alias("head"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"))
+    unsettled = held.where("x <> y").groupBy("size", "sum", "xor").agg(F.min("key").alias("key"), F.first("head").alias("head")).select("key", "head", "size")
+    rows = common.stored(placed.join(unsettled, "key"), "unsettled")
+    clusters = common.stored(graph.components(rows.select("head", "node"), "head", "node"), "clusters")
+    rows = rows.join(clusters.withColumnRenamed("label", "cluster"), "node")
+    sizes = rows.groupBy("cluster", "node").agg(F.sum("size").alias("size")).groupBy("cluster").agg(F.sum("size").alias("apart"), F.count(F.lit(1)).alias("nodes"))
+    rows = rows.drop("size").join(sizes, "cluster")
+    union = F.col("nodes") * F.col("nodes") <= F.col("apart")
+    return rows.select(union.alias("kind"), F.when(union, F.col("cluster")).otherwise(F.col("key")).alias("key"), "node", "comp", "n").distinct()
+
+
+def open_links(groups: DataFrame, sketches: DataFrame, texts: DataFrame, agree: int, percent: int, size: int = 5) -> DataFrame:
+    """Links (a, b) between nodes of one group that lie in different components, enough to join all that are linked.
+
+    The nodes outside a group's largest component are its minors; every open pair has one. Minors and
+    all nodes are cut into tiles of about TILE documents, and each pair of tiles is one run of rows that
+    a task reads in order, so no group is ever held whole and a group with few minors moves each node
+    once. Pairs whose sketches agree on ``agree`` coordinates are verified on full texts there and then,
+    unless links found before have joined their components: a run gives fewer links than it has rows,
+    however many pairs it compares.
+    """
+    parts = groups.groupBy("kind", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    facts = parts.groupBy("kind", "key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("major"), F.max("c").alias("most"), F.sum("c").alias("all"))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    facts = facts.select("kind", "key", "major", tiles(F.col("all") - F.col("most")).alias("minors"), tiles(F.col("all")).alias("alls"))
+    rows = groups.join(facts, ["kind", "key"])
+    spread = lambda name: F.pmod(F.xxhash64("node", "key"), F.col(name)).cast("int")
+    counted = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    left = rows.where(F.col("comp") != F.col("major")).select("kind", "key", spread("minors").alias("i"), counted("alls").alias("j"), F.lit(0).alias("side"), "node", "comp", "n")
+    right = rows.select("kind", "key", counted("minors").alias("i"), spread("alls").alias("j"), F.lit(1).alias("side"), "node", "comp", "n")
+    docs = sketches.join(texts, sketches["node"] == texts["doc_id"]).drop("doc_id")
+    laid = docs.join(left.unionByName(right).hint("shuffle_hash"), "node").select("kind", "key", "i", "j", "side", "node", "comp", "n", "sketch", "text")
+    laid = laid.repartition(common.partitions(groups.sparkSession), "kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j", "side")
+
+    def compare(sides: tuple[list, list], out: tuple[list, list]) -> None:
+        if not sides[0] or not sides[1]:
             return
-        ids, comp, n = (np.array([r[k] for r in right], np.int64) for k in (0, 1, 2))
-        table = np.frombuffer(b"".join(r[3] for r in right), "<u2").reshape(len(right), -1)
-        for k, (node, own, m, sketch) in enumerate(left):
-            near = (comp != own) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            if same:
-                near[: k + 1] = False
-            spots = np.flatnonzero(near)
-            if len(spots):
-                alike = (table[spots] == np.frombuffer(sketch, "<u2")).sum(axis=1)
-                for other in ids[spots[alike >= agree]].tolist():
-                    out[0].append(min(node, other))
-                    out[1].append(max(node, other))
+        (node, comp, n), (onode, ocomp, on) = ([np.array([d[k] for d in side], np.int64) for k in range(3)] for side in sides)
+        table = np.frombuffer(b"".join(d[3] for d in sides[1]), "<u2").reshape(len(onode), -1)
+        sets: dict[tuple[int, int], np.ndarray] = {}
+
+        def full(side: int, k: int) -> np.ndarray:
+            if (side, k) not in sets:
+                sets[side, k] = shingles.shingle_sets([sides[side][k][4]], size)[0]
+            return sets[side, k]
+
+        for k in range(len(node)):
+            spots = np.flatnonzero((ocomp != comp[k]) & (100 * np.minimum(on, n[k]) >= percent * np.maximum(on, n[k])))
+            if not len(spots):
+                continue
+            alike = (table[spots] == np.frombuffer(sides[0][k][3], "<u2")).sum(axis=1)
+            for m in spots[alike >= agree][np.argsort(-alike[alike >= agree], kind="stable")].tolist():
+                if ocomp[m] == comp[k]:
+                    continue
+                x, y = full(0, k), full(1, m)
+                both = shingles.overlap(x, y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out[0].append(int(node[k]))
+                    out[1].append(int(onode[m]))
+                    was, now = ocomp[m], comp[k]
+                    comp[comp == was] = now
+                    ocomp[ocomp == was] = now
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, left, right = None, [], []
-
-        def close(out):
-            if now is not None:
-                compare(left, left if now[1] == now[2] else right, now[1] == now[2], out)
-
-        for batch in batches:
-            out: tuple[list, list] = ([], [])
-            for key, i, j, tile, *doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != now:
-                    close(out)
-                    now, left, right = (key, i, j), [], []
-                (left if tile == i else right).append(doc)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+        now, sides = None, ([], [])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                out: tuple[list, list] = ([], [])
+                plain = [*(c.to_pylist() for c in batch.columns[:-1]), _bytes(batch.column(9))]
+                for kind, key, i, j, side, *doc in zip(*plain, strict=True):
+                    if (kind, key, i, j) != now:
+                        compare(sides, out)
+                        now, sides = (kind, key, i, j), ([], [])
+                    sides[side].append(doc)
+                if out[0]:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
         out = ([], [])
-        close(out)
+        compare(sides, out)
         yield pa.RecordBatch.from_pydict({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return laid.mapInArrow(run, "a long, b long").distinct()
@@ -163,10 +205,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     2. Nodes that share a band form a bucket. The node with most company over all its bands leads
        each of its buckets; every member is verified against its leader on full texts: a number of
        pairs linear in the rows, however large a group of copies is.
-    3. Components of the links. Buckets that still hold several components are compared pair by pair
-       in tiles: pairs whose sketches agree enough are verified on full texts, and components taken
-       again. So a pair that shares a band is left out only if it is in one component already, or its
-       sketches rule it out.
+    3. Components of the links. Buckets that still hold several components are compared in tiles; pairs whose sketches agree enough are verified on full texts unless they are in one
+       component by then, and components are taken again.
     """
     spark = docs.sparkSession
     threshold = percent / 100
@@ -191,11 +231,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
 
     labels = common.stored(graph.components(links), "labels")
     placed = shared.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("comp"))
-    unsettled = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest = placed.join(unsettled, "key").join(nodes.select("node", "sketch"), "node")
-    more = common.stored(open_pairs(rest, least_agreement(threshold), percent).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open-pairs")
-    if not more.isEmpty():
-        labels = common.stored(graph.components(links.unionByName(verified(more, texts, percent, size))), "labels")
+    rest = common.stored(open_groups(placed), "open-groups")
+    if not rest.isEmpty():
+        more = common.stored(open_links(rest, nodes.select("node", "sketch"), texts, least_agreement(threshold), percent, size), "open-links")
+        labels = common.stored(graph.components(links.unionByName(more)), "labels")
 
     named = classes.join(labels, "node", "left").select("lo", "hi", "rows", F.coalesce("label", "node").alias("component_id"))
     total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
