@@ -112,6 +112,13 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in slices of few rows, so what Python makes of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Encoder:
     """Token ids of texts by the tokenizers library, as little-endian 32-bit bytes.
 
@@ -122,7 +129,7 @@ class Encoder:
     generations: a full young one becomes the old one, and pieces in use move back.
     """
 
-    def __init__(self, spec: str, room: int = 200_000):
+    def __init__(self, spec: str, room: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer

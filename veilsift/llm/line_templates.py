@@ -89,7 +89,7 @@ def _parse(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, unit, sig) for every template of every unit; th tells texts of a repeated doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             for at, to in shingles.blocks(texts):
@@ -142,7 +142,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, id_
     spot = docs.columns.index(text_col)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             drops = batch.column(batch.num_columns - 1).to_pylist()
             texts = batch.column(spot)
             if any(drops):

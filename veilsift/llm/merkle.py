@@ -183,7 +183,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             other = fingerprint(edited)
             out.append((doc_id, len(text), sha, own, other, likeness(own, other), likeness(own, print_)))
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for doc_id, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if copied:
                     continue  # rows that repeat the copy's doc_id

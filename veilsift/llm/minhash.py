@@ -40,7 +40,7 @@ def describe(docs: DataFrame, threshold: float, size: int = 5, id_col: str = "do
     rows = band_rows(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             ids, texts = batch.column(0), _bytes(batch.column(1))
             for at, to in shingles.blocks(texts):
                 sets = shingles.shingle_sets(texts[at:to], size)
@@ -78,7 +78,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int = 5) ->
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own = None, None
-        for batch in batches:
+        for batch in common.slices(batches):
             a, turn, b = (batch.column(i).to_pylist() for i in (0, 2, 3))
             text = _bytes(batch.column(4))
             left, right = [], []

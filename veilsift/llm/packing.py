@@ -67,17 +67,15 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = common.encoder(spec.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = []
-                for d, x in zip(part.column(0).to_pylist(), tokens.encode(part.column(1).to_pylist()), strict=True):
-                    x += end
-                    for i in range(0, len(x), step):
-                        piece = x[i : i + step]
-                        rows.append((d, i // 4, len(piece) // 4, zlib.crc32(piece), len(x) // 4))
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        for batch in common.slices(batches):
+            rows = []
+            for d, x in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
+                x += end
+                for i in range(0, len(x), step):
+                    piece = x[i : i + step]
+                    rows.append((d, i // 4, len(piece) // 4, zlib.crc32(piece), len(x) // 4))
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col(id_col).cast("long"), common.text_or_empty(text_col)).mapInArrow(cut, PIECES)
 

@@ -78,7 +78,7 @@ def fit(docs: DataFrame, chosen: DataFrame, buckets: int, id_col: str = "doc_id"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
-        for batch in batches:
+        for batch in common.slices(batches):
             texts, good = batch.column(0).cast(pa.binary()).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
             for at, to in shingles.blocks(texts):
                 spots, own = ngrams(texts[at:to], buckets)
@@ -100,7 +100,7 @@ def with_weights(docs: DataFrame, model: Model, text_col: str = "text", weight_c
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.__new__(Model)
         own.log_ratio = log_ratio.value
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = [t or b"" for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
             weights = np.concatenate([own.score(texts[at:to]) for at, to in shingles.blocks(texts)] or [np.empty(0)])
             columns = [*batch.columns[:-1], pa.array(weights, pa.float64())]

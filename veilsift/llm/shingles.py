@@ -15,7 +15,7 @@ _BYTE[65:91] = _BYTE[97:123]
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
 _BASE = 0x9E3779B97F4A7C15 | 5
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 20
 
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
@@ -101,7 +101,7 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def blocks(texts: list[bytes], most: int = 1 << 21):
+def blocks(texts: list[bytes], most: int = 1 << 20):
     """Runs of texts of about ``most`` bytes (one longer text at least)."""
     at = 0
     while at < len(texts):

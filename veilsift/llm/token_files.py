@@ -164,12 +164,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         tokens = common.encoder(spec.value)
         with system.open_output_stream(name) as sink:
             shard = ShardWriter(sink, frame_ids)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    ids = tokens.encode(part.column(1).to_pylist())
-                    for d, x in zip(part.column(0).to_pylist(), ids, strict=True):
-                        shard.add(NULL_ID if d is None else d, x + end)
+            for batch in common.slices(batches):
+                ids = tokens.encode(batch.column(1).to_pylist())
+                for d, x in zip(batch.column(0).to_pylist(), ids, strict=True):
+                    shard.add(NULL_ID if d is None else d, x + end)
             shard.close()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "path": [name], "n_docs": [shard.n_docs], "n_tokens": [shard.n_tokens], "n_bytes": [shard.n_bytes]})
 

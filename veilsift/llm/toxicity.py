@@ -29,7 +29,7 @@ def terms(word: str) -> list[str]:
 class Features(dict):
     """Numbers of a word's terms within the feature space, found once a word; bounded by ``room``."""
 
-    def __init__(self, space: dict[str, int], room: int = 300_000):
+    def __init__(self, space: dict[str, int], room: int = 150_000):
         super().__init__()
         self.space, self.room = space, room
 
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, most_features
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total, n = Features(held.value), np.zeros(len(held.value) + 1, np.int64), 0
-        for batch in batches:
+        for batch in common.slices(batches):
             for text in batch.column(0).to_pylist():
                 found = own.counts(text)
                 if found:
@@ -243,7 +243,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
-        for batch in batches:
+        for batch in common.slices(batches):
             scores, evidence = [], []
             for text in batch.column(1).to_pylist():
                 s, near = own.score(text)

@@ -122,7 +122,7 @@ def vocabulary(spec: str, end: str = "</w>", mark: str = "") -> tuple[set[str],
     return starts, continues
 
 
-def token_counts(docs: DataFrame, tokenizer: str | None = None, end: str = "</w>", mark: str = "", room: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str | None = None, end: str = "</w>", mark: str = "", room: int = 150_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_words, n_tokens (greedy word-piece length), n_unknown words.
 
     Texts are lowered and cut into runs of letters and digits, single marks and line bars; each word
@@ -136,7 +136,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, end: str = "</w>
         starts, continues = vocabulary(spec.value, end, mark)
         tail = "\n" if end else ""
         own = Counts(Automaton(starts, continues), tail, room)
-        for batch in batches:
+        for batch in common.slices(batches):
             words, tokens, unknown = [], [], []
             for text in batch.column(1).to_pylist():
                 found = _UNITS.findall(text.lower())
