@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -14,6 +15,79 @@ _BOUNDARY = f"(?:(?<={_ASCII_WORD})(?!{_ASCII_WORD})|(?<!{_ASCII_WORD})(?={_ASCI
 _MORE_SPACE = r"\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def _alternatives(body: str) -> list[str]:
+    """The top-level alternatives of an expression."""
+    out, depth, inside, start, i = [], 0, False, 0, 0
+    while i < len(body):
+        c = body[i]
+        if c == "\\":
+            i += 2
+            continue
+        if inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if depth < 0:
+                break
+        elif c == "|" and not depth:
+            out.append(body[start:i])
+            start = i + 1
+        i += 1
+    return [*out, body[start:i]]
+
+
+_ONE = re.compile(r"(?:[A-Za-z0-9_]|\\[dw]|\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9_]|\\[dw])+\])")
+
+
+def _starts_with_word(rest: str) -> bool:
+    """Whether every match of what follows surely starts with an ASCII word character."""
+    m = re.match(r"\((?:\?:)?", rest)
+    if m:
+        return all(_starts_with_word(a) for a in _alternatives(rest[m.end() :])) and not re.match(r"[?*]|\{0", _after_group(rest))
+    m = _ONE.match(rest)
+    return bool(m) and not re.match(r"[?*]|\{0", rest[m.end() :])
+
+
+def _after_group(rest: str) -> str:
+    depth, inside, i = 0, False, 0
+    while i < len(rest):
+        c = rest[i]
+        if c == "\\":
+            i += 2
+            continue
+        if inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if not depth:
+                return rest[i + 1 :]
+        i += 1
+    return ""
+
+
+def _ends_with_word(head: str) -> bool:
+    """Whether every match of what comes before surely ends with an ASCII word character."""
+    m = re.search(r"(?:\{[1-9]\d*(?:,\d*)?\}|\+\??)$", head)
+    if m:
+        head = head[: m.start()]
+    if head.endswith(")") and not head.endswith("\\)"):
+        for i in range(len(head) - 1, -1, -1):
+            if head[i] == "(" and head[i - 1 : i] != "\\" and _after_group(head[i:]) == "" and head.endswith(")"):
+                body = re.sub(r"^\((?:\?:)?", "", head[i:])
+                if body.startswith("?") or len(_after_group(head[i:])):
+                    return False
+                return all(_ends_with_word(a) for a in _alternatives(body))
+        return False
+    m = re.search(rf"{_ONE.pattern}$", head)
+    return bool(m) and not (len(m[0]) == 1 and head[: m.start()].endswith("\\"))
+
+
 def java_regex(pattern: str, flags: str = "") -> str:
     """The Java expression that matches what the ECMAScript one does.
 
@@ -26,7 +100,13 @@ def java_regex(pattern: str, flags: str = "") -> str:
         if c == "\\":
             pair = pattern[i : i + 2]
             if pair == r"\b" and not inside:
-                out.append(_BOUNDARY)
+                # next to a word character one look-around says it all
+                if _starts_with_word(pattern[i + 2 :]):
+                    out.append(f"(?<!{_ASCII_WORD})")
+                elif _ends_with_word(pattern[:i]):
+                    out.append(f"(?!{_ASCII_WORD})")
+                else:
+                    out.append(_BOUNDARY)
             elif pair == r"\B" and not inside:
                 out.append(f"(?:(?<={_ASCII_WORD})(?={_ASCII_WORD})|(?<!{_ASCII_WORD})(?!{_ASCII_WORD}))")
             elif pair == r"\s":

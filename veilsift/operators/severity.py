@@ -214,28 +214,38 @@ def category_flags(signals: DataFrame) -> dict[str, Column]:
     }
 
 
-def severity_floor(signals: DataFrame, classes: DataFrame | None = None) -> DataFrame:
-    """One row a document with signals: floor, categories. ``classes`` may give doc_id, document_class."""
+CATEGORIES = ("secret", "pii", "hr", "legal", "financial")
+
+
+def category_counts(signals: DataFrame) -> list[Column]:
+    """Aggregates that a floor is made of: how many signals of each category a document has."""
     f = category_flags(signals)
-    counts = signals.groupBy("doc_id").agg(
-        *[F.count_if(f[k]).alias(k) for k in ("secret", "pii", "hr", "legal", "financial")],
-        F.count_if(f["financial"] & f["critical_financial"]).alias("critical_financial"),
-    )
-    if classes is not None:
-        counts = counts.join(classes.select("doc_id", "document_class"), "doc_id", "left")
-        hr = (F.col("hr") > 0) | F.coalesce(F.col("document_class").isin("doc.hr_record", "doc.payroll"), F.lit(False))
-    else:
-        hr = F.col("hr") > 0
-    c = F.col
+    return [*[F.count_if(f[k]).alias(f"__{k}") for k in CATEGORIES], F.count_if(f["financial"] & f["critical_financial"]).alias("__critical_financial")]
+
+
+def floor_of(document_class: Column | None = None) -> tuple[Column, Column]:
+    """(rank, categories met) from the columns of category_counts."""
+    c = {k: F.coalesce(f"__{k}", F.lit(0)) for k in (*CATEGORIES, "critical_financial")}
+    hr = c["hr"] > 0
+    if document_class is not None:
+        hr = hr | F.coalesce(document_class.isin("doc.hr_record", "doc.payroll"), F.lit(False))
     floor = F.greatest(
-        F.when(c("secret") > 0, 3).otherwise(0),
-        F.when(c("pii") >= 3, 3).when(c("pii") > 0, 2).otherwise(0),
+        F.when(c["secret"] > 0, 3).otherwise(0),
+        F.when(c["pii"] >= 3, 3).when(c["pii"] > 0, 2).otherwise(0),
         F.when(hr, 2).otherwise(0),
-        F.when(c("legal") > 0, 2).otherwise(0),
-        F.when(c("financial") > 0, F.when(c("critical_financial") > 0, 3).otherwise(2)).otherwise(0),
+        F.when(c["legal"] > 0, 2).otherwise(0),
+        F.when(c["financial"] > 0, F.when(c["critical_financial"] > 0, 3).otherwise(2)).otherwise(0),
     )
-    met = [("secret", c("secret") > 0), ("pii", c("pii") > 0), ("hr", hr), ("legal", c("legal") > 0), ("financial", c("financial") > 0)]
-    categories = F.array_compact(F.array(*[F.when(m, k) for k, m in met]))
+    met = {k: c[k] > 0 for k in CATEGORIES} | {"hr": hr}
+    return floor, F.array_compact(F.array(*[F.when(met[k], k) for k in CATEGORIES]))
+
+
+def severity_floor(signals: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """One row a document with signals: floor, categories. ``classes`` may give doc_id, document_class."""
+    counts = signals.groupBy("doc_id").agg(*category_counts(signals))
+    if classes is not None:
+        counts = counts.join(classes.select("doc_id", "document_class"), "doc_id", "left")
+    floor, categories = floor_of(F.col("document_class") if classes is not None else None)
     return counts.select("doc_id", level(floor).alias("floor"), categories.alias("categories"))
 
 
