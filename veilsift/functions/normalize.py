@@ -6,7 +6,7 @@ import unicodedata
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -112,13 +112,19 @@ def _join(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else join_digits(join_letters(t)))
 
 
-def join_spaced(text: Column) -> Column:
-    """Both joins; only texts that have such runs go to Python."""
-    has = text.rlike(java_regex(r"\p{L}(?: \p{L}(?!\p{L})){5}|[0-9](?:\s+[0-9])(?:[\s-]+[0-9]){4}"))
-    return F.when(has, _join(F.when(has, text))).otherwise(text)
+def has_spaced(text: Column) -> Column:
+    return text.rlike(java_regex(r"\p{L}(?: \p{L}(?!\p{L})){5}|[0-9](?:\s+[0-9])(?:[\s-]+[0-9]){4}"))
 
 
-def normalize(text: Column) -> Column:
-    """The whole sequence in its order."""
-    text = strip_zero_width(strip_controls(unify_hyphens(nfkc(text))))
-    return join_spaced(collapse_white_space(repair_hyphenation(text)))
+def normalized(df: DataFrame, text_col: str = "text", out_col: str = "text_norm") -> DataFrame:
+    """``df`` with the text after the whole sequence of steps.
+
+    Each stage is a column of its own, since a later stage reads it more than once: as one nested
+    expression the optimizer would spell earlier stages anew for every use.
+    """
+    df = df.withColumn("__compatible", nfkc(F.col(text_col)))
+    df = df.withColumn("__plain", collapse_white_space(repair_hyphenation(strip_zero_width(strip_controls(unify_hyphens(F.col("__compatible")))))))
+    df = df.withColumn("__spaced", has_spaced(F.col("__plain")))
+    # only texts that have spaced runs go to Python
+    joined = F.when(F.col("__spaced"), _join(F.when(F.col("__spaced"), F.col("__plain")))).otherwise(F.col("__plain"))
+    return df.withColumn(out_col, joined).drop("__compatible", "__plain", "__spaced")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import normalize as nz
+from ..sources import tables
 from . import calibration, scan, severity, texts
 
 # Headlines by severity.
@@ -20,7 +21,7 @@ def document_context(docs: DataFrame, text_col: str = "text", url_col: str | Non
     """Adds text_norm, locale, locale_confidence and transactional; narrow."""
     text = F.col(text_col)
     place, sure = texts.score_locale(text, F.col(url_col) if url_col else None, F.col(language_col) if language_col else None)
-    return docs.withColumns({"text_norm": nz.normalize(text), "locale": place, "locale_confidence": sure, "transactional": texts.is_transactional(text)})
+    return nz.normalized(docs, text_col).withColumns({"locale": place, "locale_confidence": sure, "transactional": texts.is_transactional(text)})
 
 
 def with_counts(signals: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def decide(docs: DataFrame, text_col: str = "text", filename_col: str | None = N
     Texts are read in one narrow pass; only findings are shuffled, by document. Every document has a
     row: without findings its severity is none. Null texts count as empty.
     """
-    base = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
+    base = tables.spread(docs).withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
     ready = document_context(base, text_col, url_col, language_col)
     policed = severity.apply_policy(with_counts(text_signals(ready, filename_col))).withColumn("severity", F.col("policy_severity"))
     roles = calibration.calibrate(policed)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as nz
 from ..functions.checksums import HETU_ALPHABET
 from ..operators import gates, scan
+from ..sources import tables
 from .checksum_queries import SHAPES, SQL, spelled, spelled_sql
 from .contexts import ANCHORS, INSURANCE, INVOICE, LABELS, REQUIRED
 from .rules import RULES
@@ -95,8 +96,8 @@ def _counts_sql() -> str:
 
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules with all gates over the whole normalized texts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan.scan(docs.withColumn("text_norm", nz.normalize(F.col("text"))))
+    docs = tables.spread(tables.table(spark, sf_dir, "documents"))
+    return scan.scan(nz.normalized(docs))
 
 
 # --- gates over numbers ---------------------------------------------------------------------------------
@@ -285,8 +286,8 @@ FROM m
 
 
 def norm_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", nz.normalize(F.col("text")).alias("text_norm"))
+    docs = tables.spread(tables.table(spark, sf_dir, "documents"))
+    return nz.normalized(docs).select("doc_id", "text_norm")
 
 
 def locale_density(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,8 @@ EVENTS = "request_id string, source string, text string, ts timestamp"
 
 def scan_stream(events: DataFrame) -> DataFrame:
     """Findings of each event with at least 20 characters of text: request_id, ts and the signal's fields. Stateless."""
-    ready = events.where(F.length("text") >= LEAST_TEXT).withColumn("text_norm", nz.normalize(F.col("text")))
-    return scan.scan(ready, keep=["request_id", "ts"])
+    ready = events.where(F.length("text") >= LEAST_TEXT)
+    return scan.scan(nz.normalized(ready), keep=["request_id", "ts"])
 
 
 def first_findings(signals: DataFrame, late: str = "10 minutes") -> DataFrame:
