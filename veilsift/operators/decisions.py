@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import normalize as nz
+from ..functions import prefilter
 from ..sources import tables
 from . import calibration, scan, severity, texts
 
@@ -20,8 +21,10 @@ MOST_DETAILS, LABEL = 3, 80
 def document_context(docs: DataFrame, text_col: str = "text", url_col: str | None = None, language_col: str | None = None) -> DataFrame:
     """Adds text_norm, locale, locale_confidence and transactional; narrow."""
     text = F.col(text_col)
-    place, sure = texts.score_locale(text, F.col(url_col) if url_col else None, F.col(language_col) if language_col else None)
-    return nz.normalized(docs, text_col).withColumns({"locale": place, "locale_confidence": sure, "transactional": texts.is_transactional(text)})
+    facts = prefilter.facts(text)
+    ready = nz.normalized(docs, text_col).withColumns(facts)
+    placed = texts.with_locale(ready, text_col, url_col, language_col, guarded=True)
+    return placed.withColumn("transactional", texts.is_transactional(text, guarded=True)).drop(*facts)
 
 
 def with_counts(signals: DataFrame) -> DataFrame:

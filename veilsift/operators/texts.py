@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import prefilter
 from ..functions.patterns import count_matches, found, java_regex
 from . import gates
 
@@ -40,8 +41,21 @@ LANGUAGE_TAGS = {"US": 0, "UK": 1}
 PRIORITY = ["EU-NORDICS", "EU-DACH", "EU-WESTERN", "EU-SOUTHERN", "EU-EASTERN", "UK", "EN-COMMONWEALTH", "US", "LATAM"]
 
 
-def score_locale(text: Column, url: Column | None = None, language: Column | None = None) -> tuple[Column, Column]:
-    """(locale, confidence) from a URL's domain ending, a language tag, currencies, language markers and an IBAN's country.
+def _holds(text: Column, pattern: str, flags: str, guarded: bool) -> Column:
+    """Whether the expression occurs; guarded, after the cheap conditions over the columns of ``prefilter.facts``."""
+    return (prefilter.may_match(text, pattern, flags) & found(text, pattern, flags)) if guarded else found(text, pattern, flags)
+
+
+def with_locale(df: DataFrame, text_col: str, url_col: str | None = None, language_col: str | None = None, guarded: bool = False) -> DataFrame:
+    """Adds locale and locale_confidence; the winning score is a column of its own, read several times."""
+    best = best_locale(F.col(text_col), F.col(url_col) if url_col else None, F.col(language_col) if language_col else None, guarded)
+    score, place = F.col("__best.score"), F.when(F.col("__best.score") > 0, F.col("__best.place")).otherwise("unknown")
+    confidence = F.when(score >= 5, "high").when(score >= 3, "medium").when(score >= 1, "low").otherwise("none")
+    return df.withColumn("__best", best).withColumns({"locale": place, "locale_confidence": confidence}).drop("__best")
+
+
+def best_locale(text: Column, url: Column | None = None, language: Column | None = None, guarded: bool = False) -> Column:
+    """The best (score, order, place) from a URL's domain ending, a language tag, currencies, language markers and an IBAN's country.
 
     A locale's language markers count two for each of its expressions that occurs, and only from two
     such expressions on (at most five points). Ties go by PRIORITY.
@@ -69,20 +83,16 @@ def score_locale(text: Column, url: Column | None = None, language: Column | Non
     scored = []
     for order, place in enumerate(PRIORITY):
         score = F.when(tld == place, 3).otherwise(0) if url is not None else F.lit(0)
-        money = F.lit(False)
-        for p, f in CURRENCIES[place]:
-            money = money | found(sample, p, f)
+        # one expression for all of a locale's currency marks
+        money = sample.rlike("|".join(f"(?{'iu' if 'i' in f else ''}:{java_regex(p)})" for p, f in CURRENCIES[place]))
         marks = F.lit(0)
         for p, f in LANGUAGES[place]:
-            marks = marks + F.when(found(sample, p, f), 2).otherwise(0)
+            marks = marks + F.when(_holds(sample, p, f, guarded), 2).otherwise(0)
         countries = [c for c, x in IBAN_LOCALES.items() if x == place]
         score = score + by_tag.get(place, F.lit(0)) + F.when(money, 2).otherwise(0) + F.when(marks >= 3, F.least(marks, F.lit(5))).otherwise(0)
         score = score + (F.when(iban.isin(*countries), 2).otherwise(0) if countries else F.lit(0))
         scored.append(F.struct(score.alias("score"), F.lit(-order).alias("order"), F.lit(place).alias("place")))
-    best = F.array_max(F.array(*scored))
-    place = F.when(best["score"] > 0, best["place"]).otherwise("unknown")
-    confidence = F.when(best["score"] >= 5, "high").when(best["score"] >= 3, "medium").when(best["score"] >= 1, "low").otherwise("none")
-    return place, confidence
+    return F.array_max(F.array(*scored))
 
 
 # Fixed values: (entry, label, values, severity, type, match) of the departments' dictionaries.
@@ -282,10 +292,10 @@ TRANSACTIONAL = [
 ]
 
 
-def is_transactional(text: Column) -> Column:
+def is_transactional(text: Column, guarded: bool = False) -> Column:
     n = F.lit(0)
     for p, f in TRANSACTIONAL:
-        n = n + found(text, p, f).cast("int")
+        n = n + _holds(text, p, f, guarded).cast("int")
     return F.coalesce((F.length(text) >= 50) & (n >= 3), F.lit(False))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as ql
 from ..operators import texts as tx
+from ..sources import tables
 from .scan_queries import CARD_TEST, _list, _quoted
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +26,7 @@ def _pick(values: list[str], index):
 
 
 def tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, i = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id")
+    docs, i = tables.spread(tables.table(spark, sf_dir, "documents")), F.col("doc_id")
     return docs.select("doc_id", "lang", F.concat(F.substring("text", 1, 1500), F.lit("\n"), _pick(TAILS, i % len(TAILS))).alias("text"), _pick(DEPARTMENTS, i % 4).alias("department"))
 
 
@@ -37,8 +38,7 @@ def _re(p: str, f: str) -> str:
 
 
 def locale_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place, confidence = tx.score_locale(F.col("text"), None, F.col("lang"))
-    return tailed(spark, sf_dir).select("doc_id", place.alias("locale"), confidence.alias("confidence"))
+    return tx.with_locale(tailed(spark, sf_dir), "text", None, "lang").select("doc_id", "locale", F.col("locale_confidence").alias("confidence"))
 
 
 def _locale_sql() -> str:
