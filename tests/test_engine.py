@@ -88,13 +88,12 @@ def test_places_count_code_points(spark):
 
 
 def test_language_rules_need_confidence(spark):
-    text = "The agreement was made and these terms are not for those that have been with this party from " * 4 + " This agreement is entered into between the parties"
+    text = "The agreement was made and these terms are not for those that have been with this party from " * 4 + " under a non-disclosure agreement (NDA)"
     assert any(p.startswith("english-") for _, p in found(spark, [text])) and not any(p.startswith("english-") for _, p in found(spark, [text[-60:]]))
 
 
 def test_normalization_steps():
     assert normalize.join_letters("P A S S P O R T no") == "PASSPORT no" and normalize.join_letters("U S A") == "U S A"
-    assert normalize.join_letters("x A B C D E F word") == "xABCDEF word" or True
     assert normalize.join_digits("CPR 0 1 0 2 8 9 - 1 2 3 4") == "CPR 010289-1234"
     assert normalize.join_digits("order 0 1 0 2 8 9 - 1 2 3 4") == "order 0 1 0 2 8 9 - 1 2 3 4"
 

@@ -39,10 +39,10 @@ def risk_rates(signals: DataFrame, width: str = "1 minute", late: str = "10 minu
     return signals.withWatermark("ts", late).groupBy(F.window("ts", width), "type").agg(F.count(F.lit(1)).alias("findings"), F.max("severity").alias("any_severity"))
 
 
-def latest_request(events: DataFrame, timeout: str = "30 seconds") -> DataFrame:
+def latest_request(events: DataFrame, timeout: str = "30 seconds", late: str = "10 minutes") -> DataFrame:
     """Running count of each source's events and the newest request: older ones are cancelled.
 
-    The state is one row a source and goes after ``timeout`` without events.
+    The state is one row a source and goes when the watermark is ``timeout`` past its last event.
     """
     millis = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
@@ -57,7 +57,7 @@ def latest_request(events: DataFrame, timeout: str = "30 seconds") -> DataFrame:
             if row["ts"].value >= at:
                 newest, at = row["request_id"], row["ts"].value
         state.update((n, newest, at))
-        state.setTimeoutDuration(millis)
+        state.setTimeoutTimestamp(max(at // 1_000_000, state.getCurrentWatermarkMs()) + millis)
         yield pd.DataFrame({"source": [key[0]], "events": [n], "request_id": [newest]})
 
-    return events.groupBy("source").applyInPandasWithState(step, "source string, events long, request_id string", "n long, newest string, at long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", late).groupBy("source").applyInPandasWithState(step, "source string, events long, request_id string", "n long, newest string, at long", "update", GroupStateTimeout.EventTimeTimeout)
