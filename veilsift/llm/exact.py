@@ -61,7 +61,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     entries = entries.select("h", F.sha2("t", 256).alias("sha"), "keep_id", "group_size")
     slot = F.shiftrightunsigned("h", 64 - max_depth).cast("int")
     chain = F.row_number().over(Window.partitionBy("h").orderBy(F.col("keep_id").asc_nulls_last(), "sha")) - 1
-    index = common.stored(entries.withColumn("chain", chain).withColumn("slot", slot), "hash-index")
+    # owner tasks hold ranges of hashes; the window finds each hash's entries together already
+    owned = entries.repartitionByRange(tasks, "h")
+    index = common.stored(owned.withColumn("chain", chain).withColumn("slot", slot), "hash-index")
 
     buckets = directory(index.groupBy("slot").agg(F.sum("group_size").alias("n")), bucket_rows, max_depth)
     firsts = F.array(*[F.lit(b) for b, _, _ in buckets]) if len(buckets) <= 256 else None

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import tables
 from . import common, exact, line_templates, merkle, minhash, mixing, packing, quality, token_files, toxicity, wordpiece
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return tables.spread(tables.table(spark, sf_dir, table))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
