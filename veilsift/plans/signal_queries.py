@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calibration as cal
+from ..operators import framing as fr
 from ..operators import proximity as prox
 from ..operators import severity as sev
 
@@ -228,6 +229,33 @@ SELECT doc_id, id, count(DISTINCT "match") AS matches, max("offset") - min("offs
 FROM ({SIGNALS_SQL}) WHERE "match" IS NOT NULL GROUP BY doc_id, id"""
 
 
+def framing_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = made_signals(spark, sf_dir).where("seq % 41 = 0 and id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.min("locale").alias("locale"), F.count(F.lit(1)).alias("n"))
+    s, c = _pick(sev.LEVELS, F.col("doc_id") % 5), _pick(["doc.invoice", None, None], F.col("doc_id") % 3)
+    df = per.select("doc_id", "ids", "n", s.alias("severity"), c.alias("cls"), "locale")
+    sure = fr.surface_confidence(F.col("cls"), F.col("ids"), F.col("severity"), F.col("n"))
+    df = df.withColumn("confidence", sure).withColumn("fam", fr.families(F.col("ids")))
+    shown = fr.shown_severity(F.lit("high"), F.col("severity"), F.col("doc_id") % 2 == 0)
+    return df.select("doc_id", "confidence", F.array_join("fam", ",").alias("families"), fr.family_list(F.col("fam")).alias("words"), fr.disclosure(F.col("severity")).alias("disclosure"), fr.display_severity(F.col("severity"), F.col("confidence")).alias("display"), fr.locale_group(F.col("locale")).alias("locale_group"), shown.alias("shown"))
+
+
+def _parts_sql(parts: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(i), {_lit(p)})" for p in parts) + ")"
+
+
+FRAMING_SQL = f"""
+WITH s AS (SELECT DISTINCT doc_id, id AS i FROM ({SIGNALS_SQL}) WHERE seq % 41 = 0 AND id IS NOT NULL),
+f AS (SELECT doc_id, CASE {' '.join(f"WHEN {_parts_sql(parts)} THEN {_lit(label)}" for label, parts in fr.FAMILIES)} END AS fam, {_parts_sql(fr.STRONG_PARTS)} AS strong FROM s),
+g AS (SELECT doc_id, list_sort(list_distinct(list(fam) FILTER (fam IS NOT NULL))) AS fam, bool_or(strong) AS strong FROM f GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n, min(locale) AS locale FROM ({SIGNALS_SQL}) WHERE seq % 41 = 0 AND id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT *, {_arr(sev.LEVELS)}[(doc_id % 5)::int + 1] AS severity, doc_id % 3 = 0 AS classed, coalesce(fam, []) AS fs FROM n JOIN g USING (doc_id)),
+c AS (SELECT *, CASE WHEN classed THEN 'confirmed' WHEN severity IN ('high', 'critical') AND n >= 2 THEN 'confirmed' WHEN len(fs) >= 2 OR strong THEN 'confirmed' ELSE 'inferred' END AS confidence FROM d)
+SELECT doc_id, confidence, array_to_string(fs, ',') AS families, CASE len(fs) WHEN 0 THEN 'sensitive' WHEN 1 THEN fs[1] WHEN 2 THEN fs[1] || ' and ' || fs[2] ELSE array_to_string(fs[1:len(fs)-1], ', ') || ', and ' || fs[len(fs)] END || ' information' AS words,
+  CASE WHEN severity IN ('high', 'medium') THEN 'standard' ELSE 'minimal' END AS disclosure, CASE WHEN severity = 'critical' AND confidence = 'inferred' THEN 'high' ELSE severity END AS display,
+  CASE WHEN locale IN ('US', 'UK', 'LATAM') THEN locale WHEN locale LIKE 'EU-%' THEN 'EU' WHEN locale LIKE 'EN-%' THEN 'EN' ELSE 'UNKNOWN' END AS locale_group,
+  CASE WHEN doc_id % 2 = 0 OR 3 <= {_rank('severity')} THEN 'high' ELSE severity END AS shown FROM c"""
+
+
 def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made_signals(spark, sf_dir).groupBy("type", "severity").agg(F.count(F.lit(1)).alias("signals"), F.countDistinct("doc_id").alias("documents"), F.count("offset").alias("placed"))
 
@@ -238,12 +266,12 @@ REPORT_SQL = f'SELECT type, severity, count(*) AS signals, count(DISTINCT doc_id
 def queries() -> dict[str, Query]:
     return {
         "dedupe_signals": dedupe_signals, "policy_contract": policy_contract, "agg_max_severity": agg_max_severity, "severity_floor": severity_floor, "calibrate_roles": calibrate_roles,
-        "decision_tables": decision_tables, "nearest_anchor": nearest_anchor, "dense_clusters": clusters, "distinct_pairs": distinct_pairs, "list_detection": list_detection, "signal_report": signal_report,
+        "decision_tables": decision_tables, "nearest_anchor": nearest_anchor, "dense_clusters": clusters, "distinct_pairs": distinct_pairs, "list_detection": list_detection, "signal_report": signal_report, "framing_tables": framing_tables,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "dedupe_signals": DEDUPE_SQL, "policy_contract": POLICY_SQL, "agg_max_severity": AGG_SQL, "severity_floor": FLOOR_SQL, "calibrate_roles": CALIBRATE_SQL,
-        "decision_tables": DECISION_SQL, "nearest_anchor": NEAREST_SQL, "dense_clusters": CLUSTER_SQL, "distinct_pairs": PAIRS_SQL, "list_detection": LIST_SQL, "signal_report": REPORT_SQL,
+        "decision_tables": DECISION_SQL, "nearest_anchor": NEAREST_SQL, "dense_clusters": CLUSTER_SQL, "distinct_pairs": PAIRS_SQL, "list_detection": LIST_SQL, "signal_report": REPORT_SQL, "framing_tables": FRAMING_SQL,
     }
