@@ -41,7 +41,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_duplicates(_read(spark, sf_dir, "documents")).drop("bucket", "chain")
+    return exact.exact_duplicates(tables.table(spark, sf_dir, "documents")).drop("bucket", "chain")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
