@@ -47,7 +47,7 @@ def test_query_equals_its_sql(spark, duck, sf_dir, name):
 
 def test_every_query_has_sql_or_a_reason(spark):
     without = set(registry.queries()) - set(registry.oracle_sql())
-    assert without == {"decision_documents", "decision_planted", "decision_conversations", "decision_pages", "stream_scan", "scan_documents", "norm_full"}
+    assert without == {"decision_documents", "decision_planted", "decision_conversations", "decision_pages", "stream_scan", "scan_documents", "norm_full", "norm_shadow"}
 
 
 def test_rules_are_whole():
@@ -98,6 +98,12 @@ def test_normalization_steps():
     assert normalize.join_digits("order 0 1 0 2 8 9 - 1 2 3 4") == "order 0 1 0 2 8 9 - 1 2 3 4"
 
 
+def test_numeric_shadow():
+    assert normalize.shadow_of("Total amount 90 500,00 due") == "Total amount 90500.00 due"
+    assert normalize.shadow_of("løn 1.234,50 and 3,99") == "løn 1234.50 and 3.99"
+    assert normalize.shadow_of("sizes 12,50 by 13,20 cm") is None and normalize.shadow_of("EUR" + " x" * 200 + " 12,50") is None
+
+
 def test_java_expressions():
     assert patterns.java_regex(r"\b(og|en)\b", "i") == "(?iu)(?<![A-Za-z0-9_])(og|en)(?![A-Za-z0-9_])"
     assert r"[\[(]" in patterns.java_regex(r"[[(]x")

@@ -128,3 +128,41 @@ def normalized(df: DataFrame, text_col: str = "text", out_col: str = "text_norm"
     # only texts that have spaced runs go to Python
     joined = F.when(F.col("__spaced"), _join(F.when(F.col("__spaced"), F.col("__plain")))).otherwise(F.col("__plain"))
     return df.withColumn(out_col, joined).drop("__compatible", "__plain", "__spaced")
+
+
+# Words and marks near which a European number is money, how near.
+MONEY_WORDS = "DKK EUR SEK NOK USD GBP CHF PLN amount total sum vat invoice price cost payment balance salary net gross saldo moms faktura pris betaling brutto netto betrag gesamtbetrag summe rechnungsbetrag zahlbetrag iban bic kontoinhaber bankverbindung verwendungszweck mwst ust gehalt lohn abrechnung gehaltsabrechnung lohnabrechnung bruttogehalt nettogehalt".split()
+MONEY_MARKS = [r"\bkr\.?\b", "€", r"\$", "£"]
+MONEY_WORDS_UNICODE = ["beløb", "lön", "løn"]
+MONEY_REACH = 120
+
+_MONEY = [regex.compile(rf"\b(?:{'|'.join(MONEY_WORDS)})\b", regex.I | regex.A), *(regex.compile(p, regex.I | regex.A) for p in MONEY_MARKS), regex.compile(rf"(?<!\p{{L}})(?:{'|'.join(MONEY_WORDS_UNICODE)})(?!\p{{L}})", regex.I)]
+_EU_NUMBER = regex.compile(r"([0-9]{1,3}(?:[\s.][0-9]{3})*),([0-9]{2})(?![A-Za-z0-9_])")
+
+
+def shadow_of(text: str) -> str | None:
+    """The text with European numbers near money words in plain form (90 500,00 as 90500.00); None if none is."""
+    spots = [p for a in _MONEY for m in a.finditer(text) for p in m.span()] if len(text) >= 10 else []
+    if not spots:
+        return None
+    changed = False
+
+    def plain(m: regex.Match) -> str:
+        nonlocal changed
+        if not any(0 <= m.start() - p <= MONEY_REACH or 0 <= p - m.end() <= MONEY_REACH for p in spots):
+            return m[0]
+        changed = True
+        return regex.sub(r"[\s.]", "", m[1]) + "." + m[2]
+
+    out = _EU_NUMBER.sub(plain, text)
+    return out if changed else None
+
+
+@pandas_udf(StringType())
+def _shadow(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else shadow_of(t))
+
+
+def numeric_shadow(text: Column) -> Column:
+    """shadow_of for a column; only texts with a European number go to Python."""
+    return _shadow(F.when(text.rlike(r"[0-9],[0-9]{2}"), text))

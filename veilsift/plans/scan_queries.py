@@ -290,6 +290,13 @@ def norm_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nz.normalized(docs).select("doc_id", "text_norm")
 
 
+def norm_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """European amounts in plain form, for documents followed by one."""
+    docs = tables.spread(tables.table(spark, sf_dir, "documents"))
+    tail = F.element_at(F.array(*[F.lit(x) for x in (" amount 90 500,00 EUR", " 1.234,50 alone", " nothing")]), (F.col("doc_id") % 3).cast("int") + 1)
+    return docs.select("doc_id", nz.numeric_shadow(F.concat("text", tail)).alias("shadow")).where("shadow is not null")
+
+
 def locale_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", scan.locale_confidence(F.col("text")).alias("confidence"))
@@ -309,7 +316,7 @@ SELECT doc_id, CASE WHEN length(text) >= 200 AND ({_density_sql(scan.ENGLISH_WOR
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "scan_presence": scan_presence, "scan_counts": scan_counts, "scan_documents": scan_documents, "gate_card": gate_card, "gate_iban": gate_iban,
-        "gate_url": gate_url, "gate_swift": gate_swift, "norm_stages": norm_stages, "norm_full": norm_full, "locale_density": locale_density,
+        "gate_url": gate_url, "gate_swift": gate_swift, "norm_stages": norm_stages, "norm_full": norm_full, "norm_shadow": norm_shadow, "locale_density": locale_density,
     }
     return out | {f"natid_{k.removeprefix('global-').replace('-', '_')}": _natid(k) for k in ID_CASES}
 
