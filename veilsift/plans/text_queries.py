@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import clinical as cl
 from ..operators import quality as ql
 from ..operators import texts as tx
 from ..sources import tables
@@ -177,6 +178,32 @@ SELECT doc_id, CASE WHEN starts_with(t, '%PDF-') THEN 'blocked' WHEN length(t) <
   WHEN bad >= 0.05 THEN 'partial' WHEN single > 0.5 THEN 'degraded' ELSE 'clean' END AS quality FROM x"""
 
 
+LABS = ["Hb 13.5 g/dL (12.0 - 16.0) and K 4.1 mmol/L", "BP 120/80 pulse: 72 BMI 24.5", "glucose 5.4 mmol/L", "ref: 3.5-5.0 far away" + " x" * 90 + " 12 ng/mL", "TSH 2.1 mIU/L [0.4 - 4.0]", "no lab values"]
+
+
+def clinical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.spread(tables.table(spark, sf_dir, "documents"))
+    return cl.clinical_findings(docs.select("doc_id", F.concat(F.substring("text", 1, 300), F.lit(" "), _pick(LABS, F.col("doc_id") % len(LABS))).alias("text")))
+
+
+def _places_sql(rows: list[tuple[str, str, str]]) -> str:
+    parts = []
+    for p, f, name in rows:
+        plain = p.replace("\\/", "/")
+        marked = f"string_split(regexp_replace(text, {_quoted(('(?i)' if 'i' in f else '') + '(' + plain + ')')}, chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+        parts.append(f"SELECT doc_id, {_quoted(name)} AS name, list_sum(list_transform(a[1:i-1], lambda x: length(x)))::int AS place FROM (SELECT doc_id, a, unnest(range(2, len(a) + 1, 2)) AS i FROM (SELECT doc_id, {marked} AS a FROM t))")
+    return " UNION ALL ".join(parts)
+
+
+def _clinical_sql() -> str:
+    return f"""
+WITH t AS (SELECT doc_id, substr(text, 1, 300) || ' ' || ({_list(LABS)})[(doc_id % {len(LABS)})::int + 1] AS text FROM documents),
+u AS ({_places_sql([(p, f, n.lower()) for p, f, n in cl.UNITS])}), r AS ({_places_sql([(p, f, 'range') for p, f in cl.RANGES])}), v AS ({_places_sql([(p, f, 'vital') for p, f in cl.VITALS])}),
+c AS (SELECT DISTINCT a.doc_id FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.name <> b.name AND abs(a.place - b.place) <= 500), n AS (SELECT DISTINCT u.doc_id FROM u JOIN r ON u.doc_id = r.doc_id AND abs(u.place - r.place) <= 100)
+SELECT t.doc_id, (SELECT count(*) FROM u WHERE u.doc_id = t.doc_id) AS units, (SELECT count(DISTINCT name) FROM u WHERE u.doc_id = t.doc_id) AS distinct_units, (SELECT count(*) FROM r WHERE r.doc_id = t.doc_id) AS ranges, (SELECT count(*) FROM v WHERE v.doc_id = t.doc_id) AS vitals,
+  t.doc_id IN (SELECT doc_id FROM c) AS unit_cluster, t.doc_id IN (SELECT doc_id FROM n) AS unit_near_range, t.doc_id IN (SELECT doc_id FROM c) OR t.doc_id IN (SELECT doc_id FROM n) AS is_medical FROM t"""
+
+
 def text_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", tx.truncated(F.col("text"), 80).alias("headline"), tx.truncated(F.col("text"), 140).alias("summary"), tx.evidence_window(F.col("text"), F.lit(100), F.lit(10)).alias("evidence"))
@@ -193,12 +220,12 @@ CAPS_SQL = f"SELECT doc_id, {_cut(80)} AS headline, {_cut(140)} AS summary, subs
 def queries() -> dict[str, Query]:
     return {
         "locale_score": locale_score, "dictionary_scan": dictionary_scan, "destinations": destinations, "chunk_rows": chunk_rows, "chunk_scan": chunk_scan, "filename_scan": filename_scan, "metadata_scan": metadata_scan,
-        "transactional": transactional, "markup": markup, "file_signatures": file_signatures, "extraction_quality": extraction_quality, "text_caps": text_caps,
+        "transactional": transactional, "markup": markup, "file_signatures": file_signatures, "extraction_quality": extraction_quality, "text_caps": text_caps, "clinical_scan": clinical_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "locale_score": _locale_sql(), "dictionary_scan": _dictionary_sql(), "destinations": DESTINATIONS_SQL, "chunk_rows": CHUNKS_SQL, "chunk_scan": _chunk_scan_sql(), "filename_scan": FILENAME_SQL, "metadata_scan": METADATA_SQL,
-        "transactional": TRANSACTIONAL_SQL, "markup": MARKUP_SQL, "file_signatures": SIGNATURES_SQL, "extraction_quality": _quality_sql(), "text_caps": CAPS_SQL,
+        "transactional": TRANSACTIONAL_SQL, "markup": MARKUP_SQL, "file_signatures": SIGNATURES_SQL, "extraction_quality": _quality_sql(), "text_caps": CAPS_SQL, "clinical_scan": _clinical_sql(),
     }
