@@ -334,3 +334,24 @@ def truncated(text: Column, most: int) -> Column:
     last = F.length(cut) - F.locate(" ", F.reverse(cut))
     space = F.when(F.locate(" ", F.reverse(cut)) > 0, last).otherwise(-1)
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.when(space > (most - 3) * 0.5, F.substring(cut, F.lit(1), space)).otherwise(cut), F.lit("...")))
+
+
+def activation(host: Column, targets: Sequence[str] = (), allowlist: bool = False, subdomains: bool = True, allow_empty: bool = False) -> tuple[Column, Column]:
+    """(active, target): whether policy watches a host, and the first target that says so.
+
+    Sign-in pages never are. Hybrid mode tries the built-in hosts, then the targets; an allowlist tries
+    its targets alone, and while it is empty the built-in hosts, unless an empty list is meant.
+    """
+    h = F.lower(F.trim(F.coalesce(host, F.lit(""))))
+    auth = h.isin(*[a for a in AUTH_HOSTS if a[0] != "."])
+    for a in AUTH_HOSTS:
+        if a[0] == ".":
+            auth = auth | h.endswith(a) | (h == a[1:])
+    own = [(t, False) for t in PUBLIC_AI]
+    policy = [(t.lower(), subdomains) for t in targets]
+    tried = (policy or ([] if allow_empty else own)) if allowlist else own + policy
+    hit = F.lit(None).cast("string")
+    for t, below in reversed(tried):
+        hit = F.when((h == t) | (F.lit(below) & h.endswith(f".{t}")), t).otherwise(hit)
+    hit = F.when((h == "") | auth, F.lit(None).cast("string")).otherwise(hit)
+    return hit.isNotNull(), hit

@@ -85,6 +85,22 @@ SELECT page_id, CASE WHEN own = '' THEN NULL ELSE own END AS own, CASE WHEN lowe
   (SELECT arg_min(target, ord) FROM t WHERE lower(host) = target OR ends_with(lower(host), '.' || target)) AS target FROM p"""
 
 
+def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tables.table(spark, sf_dir, "pages").select("page_id", _pick(HOSTS, F.col("page_id") % len(HOSTS)).alias("host"))
+    hybrid, by = tx.activation(F.col("host"), ["Example.org", "okta.com"])
+    listed, on = tx.activation(F.col("host"), ["google.com"], allowlist=True, subdomains=False)
+    empty, _ = tx.activation(F.col("host"), allowlist=True)
+    return pages.select("page_id", hybrid.alias("hybrid"), by.alias("hybrid_target"), listed.alias("listed"), on.alias("listed_target"), empty.alias("empty_list"))
+
+
+_AUTH = "(lower(host) IN ('login.live.com', 'okta.com') OR ends_with(lower(host), '.okta.com'))"
+_BUILTIN = f"lower(host) IN ({', '.join(map(_quoted, tx.PUBLIC_AI))})"
+ACTIVATIONS_SQL = f"""
+WITH p AS (SELECT page_id, ({_list(HOSTS)})[(page_id % {len(HOSTS)})::int + 1] AS host FROM pages),
+t AS (SELECT *, CASE WHEN {_AUTH} THEN NULL WHEN {_BUILTIN} THEN lower(host) WHEN lower(host) = 'example.org' OR ends_with(lower(host), '.example.org') THEN 'example.org' END AS a, CASE WHEN NOT {_AUTH} AND lower(host) = 'google.com' THEN 'google.com' END AS b FROM p)
+SELECT page_id, a IS NOT NULL AS hybrid, a AS hybrid_target, b IS NOT NULL AS listed, b AS listed_target, NOT {_AUTH} AND {_BUILTIN} AS empty_list FROM t"""
+
+
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return tx.chunks(docs, size=1000, overlap=50).select("doc_id", "start", F.length("chunk").alias("n"), F.md5("chunk").alias("digest"))
@@ -220,12 +236,12 @@ CAPS_SQL = f"SELECT doc_id, {_cut(80)} AS headline, {_cut(140)} AS summary, subs
 def queries() -> dict[str, Query]:
     return {
         "locale_score": locale_score, "dictionary_scan": dictionary_scan, "destinations": destinations, "chunk_rows": chunk_rows, "chunk_scan": chunk_scan, "filename_scan": filename_scan, "metadata_scan": metadata_scan,
-        "transactional": transactional, "markup": markup, "file_signatures": file_signatures, "extraction_quality": extraction_quality, "text_caps": text_caps, "clinical_scan": clinical_scan,
+        "transactional": transactional, "markup": markup, "file_signatures": file_signatures, "extraction_quality": extraction_quality, "text_caps": text_caps, "clinical_scan": clinical_scan, "activations": activations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "locale_score": _locale_sql(), "dictionary_scan": _dictionary_sql(), "destinations": DESTINATIONS_SQL, "chunk_rows": CHUNKS_SQL, "chunk_scan": _chunk_scan_sql(), "filename_scan": FILENAME_SQL, "metadata_scan": METADATA_SQL,
-        "transactional": TRANSACTIONAL_SQL, "markup": MARKUP_SQL, "file_signatures": SIGNATURES_SQL, "extraction_quality": _quality_sql(), "text_caps": CAPS_SQL, "clinical_scan": _clinical_sql(),
+        "transactional": TRANSACTIONAL_SQL, "markup": MARKUP_SQL, "file_signatures": SIGNATURES_SQL, "extraction_quality": _quality_sql(), "text_caps": CAPS_SQL, "clinical_scan": _clinical_sql(), "activations": ACTIVATIONS_SQL,
     }
