@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibration as cal
 from ..operators import framing as fr
+from ..operators import heuristics as he
 from ..operators import proximity as prox
 from ..operators import severity as sev
 
@@ -229,6 +230,28 @@ SELECT doc_id, id, count(DISTINCT "match") AS matches, max("offset") - min("offs
 FROM ({SIGNALS_SQL}) WHERE "match" IS NOT NULL GROUP BY doc_id, id"""
 
 
+def human_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = made_signals(spark, sf_dir).where("seq % 13 < 5").withColumn("doc_length", F.lit(6000))
+    return he.apply_heuristics(s).select("doc_id", "seq", "promoted", "suppressed", "rule")
+
+
+def _in(values: list[str]) -> str:
+    return "(" + ", ".join(map(_lit, values)) + ")"
+
+
+HEURISTICS_SQL = f"""
+WITH s AS (SELECT *, coalesce(id, 'unknown') AS i FROM ({SIGNALS_SQL}) WHERE seq % 13 < 5),
+a AS (SELECT *, i IN {_in(he.ANCHORS)} AS anchor, i IN {_in(he.PROMOTABLE)} AS can, coalesce("match", i) AS m, CASE WHEN i IN ('pii.email', 'pii.email.density') THEN 'e' WHEN i IN ('pii.phone', 'pii.phone.density') THEN 'p' END AS kind FROM s),
+k AS (SELECT doc_id, kind, count(DISTINCT m) >= 5 AND coalesce(max("offset") - min("offset") <= 2000, TRUE) AS l FROM a WHERE kind IS NOT NULL GROUP BY ALL),
+d AS (SELECT doc_id, bool_or(anchor) AS anchored, bool_or(anchor OR severity IN ('high', 'critical')) AS sensitive FROM a GROUP BY doc_id),
+g AS (SELECT doc_id, m, count(*) >= 3 AND NOT bool_or(anchor) AS bp FROM a GROUP BY ALL),
+f AS (SELECT a.*, a.can AND EXISTS (SELECT 1 FROM a b WHERE b.doc_id = a.doc_id AND b.anchor AND abs(b."offset" - a."offset") <= 200) AS near,
+  coalesce((kind = 'e' AND (SELECT l FROM k WHERE k.doc_id = a.doc_id AND k.kind = 'e')) OR (kind = 'p' AND (SELECT l FROM k WHERE k.doc_id = a.doc_id AND k.kind = 'p') AND NOT coalesce((SELECT l FROM k WHERE k.doc_id = a.doc_id AND k.kind = 'e'), FALSE)), FALSE) AS listed,
+  can AND NOT anchor AND ((source = 'metadata' AND NOT anchored) OR coalesce("offset" < 1500 OR "offset" > 4500, FALSE)) AS zone, bp, i IN {_in(he.LEGAL + he.MARKERS)} AND NOT sensitive AS fin
+  FROM a JOIN d ON d.doc_id = a.doc_id JOIN g ON g.doc_id = a.doc_id AND g.m = a.m)
+SELECT doc_id, seq, near OR listed AS promoted, NOT (near OR listed) AND (zone OR bp OR fin) AS suppressed, CASE WHEN listed THEN 'list' WHEN near THEN 'proximity' WHEN zone THEN 'zone' WHEN bp THEN 'boilerplate' WHEN fin THEN 'finality' END AS rule FROM f"""
+
+
 def framing_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = made_signals(spark, sf_dir).where("seq % 41 = 0 and id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.min("locale").alias("locale"), F.count(F.lit(1)).alias("n"))
     s, c = _pick(sev.LEVELS, F.col("doc_id") % 5), _pick(["doc.invoice", None, None], F.col("doc_id") % 3)
@@ -266,12 +289,12 @@ REPORT_SQL = f'SELECT type, severity, count(*) AS signals, count(DISTINCT doc_id
 def queries() -> dict[str, Query]:
     return {
         "dedupe_signals": dedupe_signals, "policy_contract": policy_contract, "agg_max_severity": agg_max_severity, "severity_floor": severity_floor, "calibrate_roles": calibrate_roles,
-        "decision_tables": decision_tables, "nearest_anchor": nearest_anchor, "dense_clusters": clusters, "distinct_pairs": distinct_pairs, "list_detection": list_detection, "signal_report": signal_report, "framing_tables": framing_tables,
+        "decision_tables": decision_tables, "nearest_anchor": nearest_anchor, "dense_clusters": clusters, "distinct_pairs": distinct_pairs, "list_detection": list_detection, "signal_report": signal_report, "framing_tables": framing_tables, "human_heuristics": human_heuristics,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "dedupe_signals": DEDUPE_SQL, "policy_contract": POLICY_SQL, "agg_max_severity": AGG_SQL, "severity_floor": FLOOR_SQL, "calibrate_roles": CALIBRATE_SQL,
-        "decision_tables": DECISION_SQL, "nearest_anchor": NEAREST_SQL, "dense_clusters": CLUSTER_SQL, "distinct_pairs": PAIRS_SQL, "list_detection": LIST_SQL, "signal_report": REPORT_SQL, "framing_tables": FRAMING_SQL,
+        "decision_tables": DECISION_SQL, "nearest_anchor": NEAREST_SQL, "dense_clusters": CLUSTER_SQL, "distinct_pairs": PAIRS_SQL, "list_detection": LIST_SQL, "signal_report": REPORT_SQL, "framing_tables": FRAMING_SQL, "human_heuristics": HEURISTICS_SQL,
     }
