@@ -22,7 +22,7 @@ def decision_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decision_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions for documents with planted phrases and file names."""
-    docs = text_queries.tailed(spark, sf_dir)
+    docs = text_queries.tailed(spark, sf_dir, cut=None)
     names = F.element_at(F.array(*[F.lit(n) for n in text_queries.NAMES]), (F.col("doc_id") % len(text_queries.NAMES)).cast("int") + 1)
     return decisions.decide(docs.withColumn("filename", names), filename_col="filename", language_col="lang").drop("details")
 
