@@ -249,6 +249,12 @@ def test_one_quarter_of_a_line_may_vary(spark):
     assert out == {1: 0, 2: 1, 3: 1, 4: 1, 9: 0}
 
 
+def test_a_field_of_a_line_of_twelve_words_may_vary(spark):
+    rows = [(i, f"The thread was moved to the archive by moderator {name} of the forum", "en", "s", 0) for i, name in enumerate(["Alice", "Bob", "Carol"], 1)]
+    out = {r.doc_id: r["__dropped"] for r in line_templates.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {1: 0, 2: 1, 3: 1}
+
+
 def test_line_dedup_against_brute_force(spark, documents):
     texts = {r.doc_id: (r.text or "").encode() for r in documents.collect()}
     seen = {}
