@@ -222,6 +222,23 @@ def test_long_texts_share_sampled_leaves():
     assert abs(merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) - 0.5) < 0.12
 
 
+def test_repeated_lines_keep_their_leaves(spark):
+    line = "2024-01-01 host app[12]: request served in 17 ms\n"
+    assert merkle.fingerprint(line * 2000).split(".")[1] == "0" and merkle.fingerprint(line * 2000).split(".")[3]
+    near = merkle.likeness(merkle.fingerprint(line * 2000), merkle.fingerprint(line * 1500))
+    assert abs(near - 0.75) < 0.01
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(20_000))
+    texts = [line * 2000, "an unrelated text of a few words only", long, long[: len(long) // 3]]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    for r in merkle.fingerprints(spark.createDataFrame(rows, SCHEMA), bins=2).collect():
+        text, following = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        q = len(text) // 4
+        for other, got in ((text[: len(text) - q] + following[:q], r.near_edited), (following, r.near_next)):
+            a, b = (merkle.Counter(merkle.Tree(t).leaves()) for t in (text, other))
+            assert got == (a & b).total() / max(a.total(), b.total())
+
+
 # --- line dedup -----------------------------------------------------------------------------------------
 
 

@@ -10,6 +10,8 @@ for equal texts only.
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +24,10 @@ from . import common
 
 #: A word ends a chunk when its hash is 0 modulo this.
 CHUNK = 4
-#: Leaves that a fingerprint carries at most; beyond, those with the most trailing zero bits stay.
+#: Distinct leaves that a fingerprint carries at most; beyond, those with the most trailing zero bits stay.
 LEAVES = 512
 _LEAF_HEX = 10
+_LEAF = re.compile(rf"([0-9a-f]{{{_LEAF_HEX}}})(?:\*(\d+);)?")
 
 
 class Tree:
@@ -97,35 +100,54 @@ def edits(old: str, new: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def fingerprint(text: str) -> str:
-    """Root (32 hex digits), sampling depth, leaf count and the sorted leaves that serve likeness."""
+def _summary(text: str) -> tuple[str, Counter]:
+    """The fingerprint of a text, and all its leaves with their counts."""
     tree = Tree(text)
-    leaves = sorted(tree.leaves())
+    leaves = Counter(tree.leaves())
     mask = 2 ** (4 * _LEAF_HEX) - 1
-    depth, kept = 0, [h & mask for h in leaves]
+    kept: Counter = Counter()
+    for h, n in leaves.items():
+        kept[h & mask] += n
+    depth = 0
     while len(kept) > LEAVES and depth < 30:
-        depth += 1
-        kept = [h for h in kept if h % 2**depth == 0]
-    return f"{tree.root[:32]}.{depth}.{len(leaves)}." + "".join(f"{h:0{_LEAF_HEX}x}" for h in sorted(kept))
+        finer = {h: n for h, n in kept.items() if h % 2 ** (depth + 1) == 0}
+        if not finer:
+            break
+        depth, kept = depth + 1, finer
+    spelled = "".join(f"{h:0{_LEAF_HEX}x}" + (f"*{n};" if n > 1 else "") for h, n in sorted(kept.items()))
+    return f"{tree.root[:32]}.{depth}.{sum(leaves.values())}.{spelled}", leaves
+
+
+def fingerprint(text: str) -> str:
+    """Root (32 hex digits), sampling depth, leaf count and the sorted distinct leaves that serve likeness.
+
+    A leaf that occurs n > 1 times is followed by ``*n;``.
+    """
+    return _summary(text)[0]
+
+
+def _shared(a: dict, b: dict) -> float:
+    both = sum(min(n, b.get(h, 0)) for h, n in a.items())
+    most = max(sum(a.values()), sum(b.values()))
+    return min(both / most, 0.9999) if most else 0.0
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of leaves that two fingerprints have in common, of the larger one's: 1 for equal texts, else below 1."""
+    """Share of leaves that two fingerprints have in common, of the larger one's: 1 for equal texts, else below 1.
+
+    Exact up to LEAVES distinct leaves in each; beyond, an estimate from the leaves that both keep.
+    """
     if a == b:
         return 1.0
-    (_, da, na, la), (_, db, nb, lb) = a.split("."), b.split(".")
+    (_, da, _, la), (_, db, _, lb) = a.split("."), b.split(".")
     depth = max(int(da), int(db))
-    bags = []
-    for n, leaves in ((na, la), (nb, lb)):
-        bag: dict[str, int] = {}
-        for i in range(0, len(leaves), _LEAF_HEX):
-            h = leaves[i : i + _LEAF_HEX]
-            if not depth or int(h, 16) % 2**depth == 0:
-                bag[h] = bag.get(h, 0) + 1
-        bags.append(bag)
-    both = sum(min(n, bags[1].get(h, 0)) for h, n in bags[0].items())
-    most = max(sum(bags[0].values()), sum(bags[1].values()))
-    return min(both / most, 0.9999) if most else 0.0
+    bags = [{h: int(n or 1) for h, n in _LEAF.findall(leaves) if not depth or int(h, 16) % 2**depth == 0} for leaves in (la, lb)]
+    return _shared(*bags)
+
+
+def _likeness_of(a: tuple[str, Counter], b: tuple[str, Counter]) -> float:
+    """The likeness of two summaries over all their leaves."""
+    return 1.0 if a[0] == b[0] else _shared(a[1], b[1])
 
 
 def in_order(docs: DataFrame, id_col: str, columns: list[str], bins: int) -> DataFrame:
@@ -155,7 +177,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has its last floor(n/4) code points replaced by the first as many (or all) of the
     next document (after the last: the first). One row a document: doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next.
+    fingerprint, edited_fingerprint, near_edited, near_next. The likenesses compare all leaves of the texts,
+    also of those whose fingerprints carry a part of them.
 
     A null text is empty. Rows with one doc_id follow one another in text order. Null doc_ids come
     first. A single document is its own successor. An empty table gives no rows; other columns are
@@ -171,31 +194,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        held: tuple[int | None, str, str] | None = None
+        held: tuple[int | None, str, tuple[str, Counter]] | None = None
         copied = False
         out: list[tuple] = []
 
-        def close(following: str, print_: str) -> None:
+        def close(following: str, next_: tuple[str, Counter]) -> None:
             doc_id, text, own = held
             quarter = len(text) // 4
             edited = text[: len(text) - quarter] + following[:quarter]
             sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            other = fingerprint(edited)
-            out.append((doc_id, len(text), sha, own, other, likeness(own, other), likeness(own, print_)))
+            other = _summary(edited)
+            out.append((doc_id, len(text), sha, own[0], other[0], _likeness_of(own, other), _likeness_of(own, next_)))
 
         for batch in common.slices(batches):
             for doc_id, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if copied:
                     continue  # rows that repeat the copy's doc_id
-                print_ = fingerprint(text)
+                summary = _summary(text)
                 if held is not None:
-                    close(text, print_)
-                held, copied = (doc_id, text, print_), not own
+                    close(text, summary)
+                held, copied = (doc_id, text, summary), not own
             if out:
                 yield _batch(out, names)
                 out = []
         if held is not None and not copied:
-            close(first_held.value, fingerprint(first_held.value))
+            close(first_held.value, _summary(first_held.value))
             yield _batch(out, names)
 
     laid = ordered.sortWithinPartitions("__id", "text").select("__id", "text", "__own")
