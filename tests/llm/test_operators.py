@@ -427,6 +427,23 @@ def test_mixing_awkward_rows(spark):
     assert mixing.mixed(df, share=1.0, power=1.0).count() == df.count()
 
 
+def test_topic_weights_and_centres_cover_all_rows(spark):
+    rng = random.Random(4)
+    themes = [[f"{t}{i}" for i in range(30)] for t in ("sea", "law", "gene")]
+    rows = [(i, " ".join(rng.choices(themes[i % 3], k=40)), "en", "s", 0) for i in range(120)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    few, every = (mixing.fit_topics(docs, topics=3, seeds=n) for n in (6, 120))
+    texts = [t.encode() for _, t, *_ in rows]
+    counts = mixing.TopicModel.features(texts, 1024)
+    assert np.allclose(few.weights, np.log(121 / ((counts > 0).sum(axis=0) + 1)), atol=1e-5) and np.array_equal(few.weights, every.weights)
+    near = few.assign(texts)
+    assert len({(i % 3, t) for i, t in enumerate(near.tolist())}) == 3
+    x = few.directions(counts)
+    for t in range(3):
+        total = x[near == t].sum(axis=0)
+        assert np.allclose(few.centres[t], total / np.linalg.norm(total), atol=1e-4)
+
+
 # --- pipeline -------------------------------------------------------------------------------------------
 
 

@@ -28,25 +28,15 @@ class TopicModel:
         spots = own * dims + ((h >> np.uint64(40)).astype(np.int64) % dims)
         return np.log1p(np.bincount(spots, minlength=len(texts) * dims).reshape(len(texts), dims).astype(np.float32))
 
-    @classmethod
-    def fit(cls, counts: np.ndarray, topics: int, rounds: int = 20, seed: int = 3) -> TopicModel:
-        dims = counts.shape[1]
-        seen = (counts > 0).sum(axis=0)
-        weights = np.log((len(counts) + 1) / (seen + 1)).astype(np.float32)
-        x = counts * weights
-        x = x[np.linalg.norm(x, axis=1) > 0]
-        if not len(x):
-            return cls(np.zeros((1, dims), np.float32), weights)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        rng = np.random.default_rng(seed)
-        centres = x[rng.choice(len(x), min(topics, len(x)), replace=False)]
-        for _ in range(rounds):
-            near = (x @ centres.T).argmax(axis=1)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, near, x)
-            size = np.linalg.norm(sums, axis=1, keepdims=True)
-            centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
-        return cls(centres, weights)
+    def directions(self, counts: np.ndarray) -> np.ndarray:
+        """Weighted rows of length 1; a row without weight stays zero."""
+        x = counts * self.weights
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def moved(self, sums: np.ndarray) -> TopicModel:
+        """The model with centres at the directions of the sums; a centre without documents stays."""
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        return TopicModel(np.where(size > 0, sums / np.maximum(size, 1e-12), self.centres).astype(np.float32), self.weights)
 
     def assign(self, texts: list[bytes]) -> np.ndarray:
         out = []
@@ -56,22 +46,86 @@ class TopicModel:
         return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def fit_topics(docs: DataFrame, topics: int = 8, dims: int = 1024, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> TopicModel:
-    """Centres from the ``sample`` documents with the smallest hash of doc_id (the documented bound of the fit)."""
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).dropna()
-    chosen = F.broadcast(ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+def _features(docs: DataFrame, dims: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, spots, counts) of every row: the dimensions that a text reaches (16 bits) and their counts (32 bits)."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_or_empty(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for at, to in shingles.blocks(texts):
-                rows = TopicModel.features(texts[at:to], dims)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, to - at), "counts": pa.array([r.tobytes() for r in rows], pa.binary())})
+        for batch in common.slices(batches, 256):
+            rows = TopicModel.features(batch.column(1).cast(pa.binary()).to_pylist(), dims)
+            spots = [np.flatnonzero(r).astype(np.uint16) for r in rows]
+            counts = [r[i].tobytes() for r, i in zip(rows, spots, strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "spots": pa.array([i.tobytes() for i in spots], pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    return plain.mapInArrow(count, "doc_id long, spots binary, counts binary")
+
+
+def _dense(spots: list[bytes], counts: list[bytes], dims: int) -> np.ndarray:
+    out = np.zeros((len(spots), dims), np.float32)
+    own = np.repeat(np.arange(len(spots)), [len(i) // 2 for i in spots])
+    out[own, np.frombuffer(b"".join(spots), np.uint16)] = np.frombuffer(b"".join(counts), np.float32)
+    return out
+
+
+def _summed(rows: DataFrame, dims: int, step) -> np.ndarray:
+    """What ``step`` adds up over the counts of all rows: ``step(None)`` is zero, ``step(counts)`` a block's part.
+
+    A task gives one row; rows of tasks are added on executors first, so the driver gets a few sums.
+    """
 
-    rows = plain.join(chosen, "doc_id", "left_semi").mapInArrow(count, "doc_id long, counts binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    table = np.frombuffer(b"".join(r["counts"] for r in rows), np.float32).reshape(len(rows), dims)
-    return TopicModel.fit(table, topics)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = step(None)
+        for batch in common.slices(batches, 256):
+            total = total + step(_dense(*(batch.column(i).to_pylist() for i in (0, 1)), dims))
+        yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
+
+    parts = rows.select("spots", "counts").mapInArrow(run, "part binary").rdd.map(lambda r: np.frombuffer(r["part"], np.float64))
+    return parts.treeReduce(lambda x, y: x + y) if parts.getNumPartitions() else step(None)
+
+
+def fit_topics(docs: DataFrame, topics: int = 8, dims: int = 1024, seeds: int = 4000, rounds: int = 20, tolerance: float = 1e-3, id_col: str = "doc_id", text_col: str = "text") -> TopicModel:
+    """Spherical k-means over all rows: document frequencies and each round's centres are sums over all of them.
+
+    Rounds end when no coordinate of a centre moves by more than ``tolerance``. The ``seeds`` documents
+    with the smallest hash of doc_id give the places to start from only.
+    """
+    rows = common.stored(_features(docs, dims, id_col, text_col), "features")
+    zero = np.zeros(dims + 1)
+    seen = _summed(rows, dims, lambda c: zero if c is None else np.append((c > 0).sum(axis=0), len(c)).astype(np.float64))
+    weights = np.log((seen[-1] + 1) / (seen[:-1] + 1)).astype(np.float32)
+    model = TopicModel(_start(rows, topics, weights, seeds), weights)
+    for _ in range(rounds):
+
+        def sums(counts: np.ndarray | None, own: TopicModel = model) -> np.ndarray:
+            if counts is None:
+                return np.zeros(own.centres.size)
+            x = own.directions(counts)
+            near = (x @ own.centres.T).argmax(axis=1)
+            return ((np.arange(len(own.centres))[:, None] == near).astype(np.float32) @ x).astype(np.float64).reshape(-1)
+
+        before, model = model, model.moved(_summed(rows, dims, sums).reshape(model.centres.shape))
+        if np.abs(model.centres - before.centres).max() <= tolerance:
+            break
+    common.forget(rows)
+    return model
+
+
+def _start(rows: DataFrame, topics: int, weights: np.ndarray, seeds: int) -> np.ndarray:
+    """Centres to start from: each is the document least like those before it."""
+    dims = len(weights)
+    ids = rows.select("doc_id").dropna()
+    chosen = F.broadcast(ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(seeds))
+    found = rows.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    x = TopicModel(np.zeros((1, dims), np.float32), weights).directions(_dense([r["spots"] for r in found], [r["counts"] for r in found], dims))
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    if not len(x):
+        return np.zeros((1, dims), np.float32)
+    picked = [int((x @ x.mean(axis=0)).argmax())]
+    near = x @ x[picked[0]]
+    while len(picked) < min(topics, len(x)):
+        picked.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[picked[-1]])
+    return x[picked]
 
 
 def with_topic(docs: DataFrame, model: TopicModel, text_col: str = "text", topic_col: str = "__topic") -> DataFrame:
