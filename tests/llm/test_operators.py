@@ -444,6 +444,17 @@ def test_topic_weights_and_centres_cover_all_rows(spark):
         assert np.allclose(few.centres[t], total / np.linalg.norm(total), atol=1e-4)
 
 
+def test_targets_out_of_reach_are_reported(spark):
+    rng = random.Random(8)
+    sizes = {"hot": 60, "mid": 25, "small": 5}  # small is below half the mean
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=50)), "en", s, 0) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    with pytest.warns(UserWarning, match="source 'small': 250 of"):
+        out = mixing.mix(spark.createDataFrame(rows, SCHEMA), share=0.8, topics=1)
+    goal = mixing.tempered({s: 50.0 * n for s, n in sizes.items()}, 0.7)["small"]
+    first = out.where("source = 'small'").first()
+    assert first["__probability"] == 1 and first["__error"] >= goal - 250 / (0.8 * 4500) - 1e-9 > 0.01
+
+
 # --- pipeline -------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,13 +180,26 @@ def rake(keys: list[tuple], tokens: np.ndarray, targets: list[dict], budget: flo
     return w, float(error)
 
 
+def missed(keys: list[tuple], weights: np.ndarray, targets: list[dict], budget: float, tolerance: float = 1e-3) -> list[tuple]:
+    """(dimension, value, reached, wanted) tokens of each marginal that is off by more than ``tolerance`` of the budget."""
+    out = []
+    for d, target in enumerate(targets):
+        reached: dict = dict.fromkeys(target, 0.0)
+        for k, w in zip(keys, weights.tolist(), strict=True):
+            reached[k[d]] = reached.get(k[d], 0.0) + w
+        out += [(d, v, x, target.get(v, 0.0) * budget) for v, x in reached.items() if abs(x - target.get(v, 0.0) * budget) > tolerance * budget]
+    return sorted(out, key=lambda r: -abs(r[2] - r[3]))
+
+
 def mix(docs: DataFrame, share: float = 0.5, power: float = 0.7, topics: int = 8, targets: list[dict] | None = None, seed: int = 5, dims: tuple[str, str] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text", most_cells: int = 1_000_000) -> DataFrame:
-    """``docs`` with ``__topic``, ``__tokens``, ``__probability`` and ``__kept``.
+    """``docs`` with ``__topic``, ``__tokens``, ``__probability``, ``__kept`` and ``__error``.
 
     Tokens are counted in cells of source x language x topic; token weights are raked to the target
     shares of each (by default the corpus's shares to the power ``power``) at ``share`` of all tokens;
     a document stays with its cell's calibrated probability, decided by a hash of its id and the seed,
-    so expected tokens meet the targets. The cell table has one row for each combination that occurs,
+    so expected tokens meet the targets where cells have the tokens for them. Where they have not, the cells
+    give all they have, ``__error`` is the largest error of a marginal as a share of the budget (one number
+    a run), and a warning names the marginals that miss their targets. The cell table has one row for each combination that occurs,
     not one a document; more than ``most_cells`` of them raise an error before any is collected.
 
     Null sources and languages are values of their own; a text without words has no tokens and takes
@@ -208,7 +222,12 @@ def mix(docs: DataFrame, share: float = 0.5, power: float = 0.7, topics: int = 8
             for k, v in zip(keys, tokens.tolist(), strict=True):
                 sums[k[d]] = sums.get(k[d], 0.0) + v
             targets.append(tempered(sums, power))
-    weights, _ = rake(keys, tokens, targets, share * tokens.sum())
+    budget = share * tokens.sum()
+    weights, error = rake(keys, tokens, targets, budget)
+    off = missed(keys, weights, targets, budget)
+    if off:
+        said = ", ".join(f"{cell[d]} {v!r}: {x:.0f} of {goal:.0f} tokens" for d, v, x, goal in off[:20])
+        warnings.warn(f"mixing reaches {weights.sum():.0f} of {budget:.0f} tokens and misses {len(off)} targets: {said}", stacklevel=2)
     chance = np.divide(weights, tokens, out=np.full(len(tokens), float(share)), where=tokens > 0)
     fields = table.select(*cell).schema
     schema = fields.add("__probability", "double")
@@ -218,7 +237,7 @@ def mix(docs: DataFrame, share: float = 0.5, power: float = 0.7, topics: int = 8
     draw = F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11).cast("double") * 2.0**-53
     # at most `most_cells` short rows
     joined = counted.join(F.broadcast(named), same, "left").drop(*[f"__cell_{i}" for i in range(3)])
-    return joined.withColumn("__kept", draw < F.coalesce("__probability", F.lit(float(share))))
+    return joined.withColumn("__kept", draw < F.coalesce("__probability", F.lit(float(share)))).withColumn("__error", F.lit(error))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
