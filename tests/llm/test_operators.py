@@ -266,6 +266,16 @@ def test_one_quarter_of_a_line_may_vary(spark):
     assert out == {1: 0, 2: 1, 3: 1, 4: 1, 9: 0}
 
 
+def test_short_sentences_of_a_spliced_passage_go_too(spark):
+    passage = "the harbour was quiet that morning. The boats had left before the sun came up. Nobody spoke. They had taken all of the nets with them. It was cold. Gulls walked over the empty planks of the pier. Then"
+    rows = [(i, f"{own} {passage} {' '.join(own.split()[::-1])} once more", "en", "s", 0) for i, own in enumerate(["alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black"], 1)]
+    rows.append((9, " ".join(f"other{i}" for i in range(50)) + " end here. Nobody spoke. Another sentence follows in this place.", "en", "s", 0))
+    out = {r.doc_id: r.text for r in line_templates.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[1] == rows[0][1] and out[9] == rows[3][1]
+    for d in (2, 3):
+        assert "Nobody spoke" not in out[d] and "It was cold" not in out[d] and "boats" not in out[d]
+
+
 def test_a_field_of_a_line_of_twelve_words_may_vary(spark):
     rows = [(i, f"The thread was moved to the archive by moderator {name} of the forum", "en", "s", 0) for i, name in enumerate(["Alice", "Bob", "Carol"], 1)]
     out = {r.doc_id: r["__dropped"] for r in line_templates.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}

@@ -28,7 +28,7 @@ from . import common, graph, shingles
 LONG = 40
 #: Leading tokens that are part of a unit's path in the tree.
 DEPTH = 2
-#: Units with fewer words are never dropped.
+#: Units with fewer words are dropped only as sentences between two recurring neighbours.
 LEAST_WORDS = 5
 #: Units with fewer words have no template with a wildcard run.
 LEAST_RUN_WORDS = 12
@@ -59,7 +59,7 @@ class Units:
         turns[1:] |= long_line[1:] & _ENDS[data[place + length - 1]][:-1]
         self.first = np.flatnonzero(turns)
         self.words = np.diff(np.concatenate([self.first, [len(place)]]))
-        self.own, self.place = own[self.first], place[self.first]
+        self.own, self.place, self.line = own[self.first], place[self.first], line[self.first]
         opens = np.ones(len(self.first), bool)
         opens[1:] = self.own[1:] != self.own[:-1]
         starts = np.flatnonzero(opens)
@@ -82,6 +82,13 @@ class Units:
             a, b = at + DEPTH + (m - DEPTH) * i // 4, at + DEPTH + (m - DEPTH) * (i + 1) // 4
             units.append(runs)
             sigs.append(shingles.mix(shingles.mix(everything - span(a, b, at) + U(i + 1)) + path[runs]))
+        # a short sentence goes where it recurs between the same neighbours of its line
+        inner = np.arange(1, len(n) - 1)
+        same = lambda x: (x[inner - 1] == x[inner]) & (x[inner + 1] == x[inner])
+        short = inner[(n[inner] < LEAST_WORDS) & same(self.own) & same(self.line)]
+        at, to = first[short - 1], first[short + 1] + n[short + 1]
+        units.append(short)
+        sigs.append(shingles.mix(shingles.mix(span(at, to, at) + path[short] + U(5)) + path[short - 1] + path[short + 1] * U(3)))
         return np.concatenate(units), np.concatenate(sigs)
 
 
@@ -125,7 +132,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, id_
     """``docs`` with units of recurring templates dropped from ``text_col``, and ``__dropped``, how many.
 
     With ``keep_first`` the document with the smallest id keeps a recurring template's units, so
-    content that exact or near copies share stays once. Units of under LEAST_WORDS words stay. A null
+    content that exact or near copies share stays once. Units of under LEAST_WORDS words
+    stay, but for sentences that recur between the same two sentences of their line. A null
     text stays null; rows with a null doc_id neither count nor lose units; rows that share a doc_id
     count as one document and keep what is first in it; an empty table stays empty. A document may
     lose all its text.
