@@ -112,7 +112,7 @@ def fit_topics(docs: DataFrame, topics: int = 8, dims: int = 1024, seeds: int =
 
 
 def _start(rows: DataFrame, topics: int, weights: np.ndarray, seeds: int) -> np.ndarray:
-    """Centres to start from: each is the document least like those before it."""
+    """Centres to start from: those of the same method over the seeds alone."""
     dims = len(weights)
     ids = rows.select("doc_id").dropna()
     chosen = F.broadcast(ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(seeds))
@@ -121,12 +121,12 @@ def _start(rows: DataFrame, topics: int, weights: np.ndarray, seeds: int) -> np.
     x = x[np.linalg.norm(x, axis=1) > 0]
     if not len(x):
         return np.zeros((1, dims), np.float32)
-    picked = [int((x @ x.mean(axis=0)).argmax())]
-    near = x @ x[picked[0]]
-    while len(picked) < min(topics, len(x)):
-        picked.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[picked[-1]])
-    return x[picked]
+    rng = np.random.default_rng(3)
+    model = TopicModel(x[rng.choice(len(x), min(topics, len(x)), replace=False)], weights)
+    for _ in range(20):
+        near = (x @ model.centres.T).argmax(axis=1)
+        model = model.moved((np.arange(len(model.centres))[:, None] == near).astype(np.float32) @ x)
+    return model.centres
 
 
 def with_topic(docs: DataFrame, model: TopicModel, text_col: str = "text", topic_col: str = "__topic") -> DataFrame:
