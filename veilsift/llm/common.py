@@ -53,6 +53,17 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def own_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The names wanted for further columns; underscores go before one that ``df`` has already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

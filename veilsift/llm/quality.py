@@ -116,47 +116,64 @@ def gumbel(id_col: str, seed: int):
     return -F.log(-F.log(u))
 
 
-def cut_weight(scores: np.ndarray, good: np.ndarray) -> float:
-    """The weight that parts labelled good from bad rows with the fewest errors, in the middle of its gap."""
-    order = np.argsort(scores, kind="stable")
-    scores, good = scores[order], good[order].astype(bool)
-    # errors when rows from i on are kept: good ones before i, bad ones from i on
-    errors = np.concatenate([[0], np.cumsum(good)]) + np.concatenate([np.cumsum(~good[::-1])[::-1], [0]])
-    errors[1:-1][scores[1:] == scores[:-1]] = len(scores) + 1
-    i = int(np.argmin(errors))
-    if i == 0:
-        return float("-inf")
-    return float((scores[i - 1] + scores[i]) / 2) if i < len(scores) else float("inf")
-
-
-def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, temperature: float = 0.1, seed: int = 11, sample: int = 20_000, buckets: int = 65_536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def strata(weights: np.ndarray, good: np.ndarray, most: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds between strata of labelled weights (even in rows, at most ``most``), and each one's share of good rows."""
+    order = np.argsort(weights, kind="stable")
+    weights, good = weights[order], good[order].astype(float)
+    spots = np.unique(np.linspace(0, len(weights), min(most, len(weights)) + 1).astype(int))[1:-1]
+    spots = spots[weights[spots] > weights[spots - 1]]  # ties stay together
+    bounds = (weights[spots] + weights[spots - 1]) / 2
+    shares = np.array([part.mean() for part in np.split(good, spots)])
+    return bounds, shares
+
+
+def target_rows(keys: DataFrame, bounds: np.ndarray, shares: np.ndarray, weight_col: str = "log_weight") -> int:
+    """The expected number of good rows in the whole table: rows of each stratum times its share of good ones."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shares), np.int64)
+        for batch in batches:
+            total += np.bincount(np.searchsorted(bounds, batch.column(0).to_numpy(), side="right"), minlength=len(shares))
+        yield pa.RecordBatch.from_pydict({"stratum": pa.array(np.arange(len(shares), dtype=np.int32)), "n": total})
+
+    rows = keys.select(weight_col).mapInArrow(count, "stratum int, n long").groupBy("stratum").agg(F.sum("n").alias("n")).collect()
+    return round(sum(r["n"] * shares[r["stratum"]] for r in rows))
+
+
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, temperature: float = 1.0, seed: int = 11, sample: int = 20_000, buckets: int = 65_536, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """``docs`` with ``__log_weight``, ``__gumbel_key`` and ``__kept``: Gumbel top-k of importance weights.
 
     The k largest of log weight + temperature * Gumbel noise are k documents sampled without
     replacement in proportion to weights**(1/temperature). k is the share ``keep`` of all rows; by
-    default, the number of rows whose weight is over the cut that parts the labelled sample best.
-    The k-th key is found exactly by counting; rows tied with it all stay.
+    default, the expected number of good documents in the whole table: its rows in each stratum of
+    log weights, times the share of good rows among the labelled ones there (at most ``sample``). The
+    k-th key is found exactly by counting; rows tied with it all stay.
 
     Null and empty texts have log weight 0; a null doc_id takes noise of its own; repeated rows get
-    equal keys; an empty table stays empty; without labels of both kinds every row stays.
+    equal keys; an empty table stays empty; without labels of both kinds every row stays. Where
+    ``docs`` has a column of a new one's name, the new one takes a further underscore.
     """
+    weight_col, key_col, kept_col = common.own_names(docs, "__log_weight", "__gumbel_key", "__kept")
     chosen = sampled_labels(labels, sample, id_col, label_col)
     model = fit(docs, chosen, buckets, id_col, text_col)
-    scored = with_weights(docs, model, text_col).withColumn("__gumbel_key", F.col("__log_weight") + F.lit(temperature) * gumbel(id_col, seed))
-    keys = common.stored(scored.select(F.col(id_col).cast("long").alias("doc_id"), "__log_weight", "__gumbel_key"), "gumbel-keys")
-    n = keys.count()
+    scored = with_weights(docs, model, text_col, weight_col).withColumn(key_col, F.col(weight_col) + F.lit(temperature) * gumbel(id_col, seed))
+    keys = common.stored(scored.select(F.col(id_col).cast("long").alias("doc_id"), F.col(weight_col).alias("log_weight"), F.col(key_col).alias("gumbel_key")), "gumbel-keys")
+    n = k = keys.count()
     if keep is None:
-        known = keys.join(F.broadcast(chosen), "doc_id").select("__log_weight", "good").toPandas()  # at most `sample` ids
-        cut = cut_weight(known["__log_weight"].to_numpy(), known["good"].to_numpy()) if known["good"].nunique() == 2 else float("-inf")
-        k = keys.where(F.col("__log_weight") >= F.lit(cut)).count()
+        least_weight = F.min("log_weight").alias("log_weight")  # of a repeated doc_id
+        known = keys.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(least_weight, F.max("good").alias("good"))
+        known = known.orderBy("doc_id").toPandas()  # at most `sample` rows
+        if known["good"].nunique() == 2:
+            k = min(n, target_rows(keys, *strata(known["log_weight"].to_numpy(), known["good"].to_numpy())))
     else:
         k = min(n, round(n * keep))
-    least = common.nth_smallest(keys, "__gumbel_key", n - k + 1) if k else None
+    least = common.nth_smallest(keys, "gumbel_key", n - k + 1) if k else None
     common.forget(keys)
-    kept = F.col("__gumbel_key") >= F.lit(least) if least is not None else F.lit(False)
-    return scored.withColumn("__kept", kept)
+    kept = F.col(key_col) >= F.lit(least) if least is not None else F.lit(False)
+    return scored.withColumn(kept_col, kept)
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with the columns of ``docs``."""
-    return resample(docs, labels, **options).where("__kept").select(*docs.columns)
+    """The documents that stay, with the columns of ``docs``; null, empty, repeated and missing rows as in ``resample``."""
+    *_, kept = common.own_names(docs, "__log_weight", "__gumbel_key", "__kept")
+    return resample(docs, labels, **options).where(F.col(kept)).select(*docs.columns)
