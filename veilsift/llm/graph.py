@@ -29,19 +29,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star steps: a node's neighbours are linked to the smallest of
     them, first the larger ones, then the smaller ones, until each node points at its label. Each step
-    takes a minimum with map-side combining and joins it back, so a hub's edges are never in one list.
-    Every second step is written to the shared folder; edges never grow in number.
+    takes a minimum with map-side combining; nodes with more edges than an even share of a task look
+    it up by broadcast, so a hub's edges are never in one task. Every second step is written to the
+    shared folder; edges never grow in number.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     now = common.stored(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = least.select("u", F.least("u", "m").alias("m"), "n")
+        large = look_up(both.where("v > u"), least, ["u"], "n", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # every edge points down from u to v now
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = look_up(large, least, ["u"], "n", 2 * before[0])
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = common.stored(small.where("u <> v").distinct(), "edges")
         common.forget(now)
         now, state = after, _state(after)

@@ -100,6 +100,10 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int = 5) ->
     return laid.mapInArrow(check, "a long, b long")
 
 
+def _sum(df: DataFrame, column: str) -> int:
+    return df.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0]
+
+
 def open_groups(placed: DataFrame) -> DataFrame:
     """Groups within which pairs of different components are still to be compared: kind, key, node, comp, n.
 
@@ -109,12 +113,13 @@ def open_groups(placed: DataFrame) -> DataFrame:
     one by one; then it is one group, else each bucket is.
     """
     held = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), F.min("node").alias("head"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"))
-    unsettled = held.where("x <> y").groupBy("size", "sum", "xor").agg(F.min("key").alias("key"), F.first("head").alias("head")).select("key", "head", "size")
-    rows = common.stored(placed.join(unsettled, "key"), "unsettled")
+    unsettled = common.stored(held.where("x <> y").groupBy("size", "sum", "xor").agg(F.min("key").alias("key"), F.first("head").alias("head")).select("key", "head", "size"), "open-keys")
+    rows = common.stored(graph.look_up(placed, unsettled, ["key"], "size", _sum(unsettled, "size")), "unsettled")
     clusters = common.stored(graph.components(rows.select("head", "node"), "head", "node"), "clusters")
     rows = rows.join(clusters.withColumnRenamed("label", "cluster"), "node")
-    sizes = rows.groupBy("cluster", "node").agg(F.sum("size").alias("size")).groupBy("cluster").agg(F.sum("size").alias("apart"), F.count(F.lit(1)).alias("nodes"))
-    rows = rows.drop("size").join(sizes, "cluster")
+    sizes = rows.groupBy("cluster", "node").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    sizes = common.stored(sizes.groupBy("cluster").agg(F.sum("size").alias("apart"), F.count(F.lit(1)).alias("nodes"), F.sum("rows").alias("rows")), "cluster-sizes")
+    rows = graph.look_up(rows.drop("size"), sizes, ["cluster"], "rows", _sum(sizes, "rows"))
     union = F.col("nodes") * F.col("nodes") <= F.col("apart")
     return rows.select(union.alias("kind"), F.when(union, F.col("cluster")).otherwise(F.col("key")).alias("key"), "node", "comp", "n").distinct()
 
@@ -132,8 +137,8 @@ def open_links(groups: DataFrame, sketches: DataFrame, texts: DataFrame, agree:
     parts = groups.groupBy("kind", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
     facts = parts.groupBy("kind", "key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("major"), F.max("c").alias("most"), F.sum("c").alias("all"))
     tiles = lambda n: F.ceil(n / TILE).cast("int")
-    facts = facts.select("kind", "key", "major", tiles(F.col("all") - F.col("most")).alias("minors"), tiles(F.col("all")).alias("alls"))
-    rows = groups.join(facts, ["kind", "key"])
+    facts = common.stored(facts.select("kind", "key", "major", "all", tiles(F.col("all") - F.col("most")).alias("minors"), tiles(F.col("all")).alias("alls")), "groups")
+    rows = graph.look_up(groups, facts, ["kind", "key"], "all", _sum(facts, "all"))
     spread = lambda name: F.pmod(F.xxhash64("node", "key"), F.col(name)).cast("int")
     counted = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     left = rows.where(F.col("comp") != F.col("major")).select("kind", "key", spread("minors").alias("i"), counted("alls").alias("j"), F.lit(0).alias("side"), "node", "comp", "n")
@@ -205,8 +210,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     2. Nodes that share a band form a bucket. The node with most company over all its bands leads
        each of its buckets; every member is verified against its leader on full texts: a number of
        pairs linear in the rows, however large a group of copies is.
-    3. Components of the links. Buckets that still hold several components are compared in tiles; pairs whose sketches agree enough are verified on full texts unless they are in one
-       component by then, and components are taken again.
+    3. Components of the links. Buckets that still hold several components are compared in tiles;
+       pairs whose sketches agree enough are verified on full texts unless they are in one
+       component by then, and components are taken again. Texts travel with the tiles, once for each
+       512 nodes of a group: fetching them by pair would move one for every pair of like sketches.
+
+    Every lookup by band key, group or node goes through ``graph.look_up``, so a key that holds a
+    third of all rows keeps its rows where they are.
     """
     spark = docs.sparkSession
     threshold = percent / 100
@@ -217,14 +227,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     nodes = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["node", "bands"])
 
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = common.stored(banded.join(sizes, "key"), "buckets")
+    sizes = common.stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key-sizes")
+    held = _sum(sizes, "size")
+    shared = common.stored(graph.look_up(banded, sizes, ["key"], "size", held), "buckets")
 
     company = shared.groupBy("node").agg(F.sum("size").alias("company"))
     ranked = shared.join(company, "node")
-    leaders = ranked.groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("a"), F.max_by("n", F.struct("company", -F.col("node"))).alias("an"))
+    leaders = ranked.groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("a"), F.max_by("n", F.struct("company", -F.col("node"))).alias("an"), F.count(F.lit(1)).alias("members"))
+    leaders = common.stored(leaders, "leaders")
     fits = 100 * F.least("n", "an") >= percent * F.greatest("n", "an")
-    stars = shared.join(leaders, "key").where(F.col("node") != F.col("a")).where(fits).select("a", F.col("node").alias("b")).distinct()
+    stars = graph.look_up(shared, leaders, ["key"], "members", held).where(F.col("node") != F.col("a")).where(fits).select("a", F.col("node").alias("b")).distinct()
     stars = common.stored(stars, "stars")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_or_empty(text_col).alias("text"))
     links = common.stored(verified(stars, texts, percent, size), "links")
@@ -237,13 +249,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
         labels = common.stored(graph.components(links.unionByName(more)), "labels")
 
     named = classes.join(labels, "node", "left").select("lo", "hi", "rows", F.coalesce("label", "node").alias("component_id"))
-    total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    found = graph.look_up(filled.select("doc_id", "n_shingles", "lo", "hi"), named, ["lo", "hi"], "rows", total).select("doc_id", "n_shingles", "component_id")
+    found = graph.look_up(filled.select("doc_id", "n_shingles", "lo", "hi"), named, ["lo", "hi"], "rows", _sum(classes, "rows")).select("doc_id", "n_shingles", "component_id")
     alone = every.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
+    """The documents that stay, one of each component, with all their columns.
+
+    Null and blank texts, null and repeated ids and missing rows are as in ``near_duplicates``: texts
+    without words and rows with a null doc_id stay, rows that share a kept doc_id all stay.
+    """
     gone = near_duplicates(docs, percent, size, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone_id"], "left_anti")
