@@ -27,6 +27,8 @@ CHUNK = 4
 #: Distinct leaves that a fingerprint carries at most; beyond, those with the most trailing zero bits stay.
 LEAVES = 512
 _LEAF_HEX = 10
+#: Hex digits of the section and paragraph nodes that a fingerprint carries.
+_NODE_HEX = 8
 _LEAF = re.compile(rf"([0-9a-f]{{{_LEAF_HEX}}})(?:\*(\d+);)?")
 
 
@@ -115,17 +117,35 @@ def _summary(text: str) -> tuple[str, Counter]:
             break
         depth, kept = depth + 1, finer
     spelled = "".join(f"{h:0{_LEAF_HEX}x}" + (f"*{n};" if n > 1 else "") for h, n in sorted(kept.items()))
-    return f"{tree.root[:32]}.{depth}.{sum(leaves.values())}.{spelled}", leaves
+    nodes = "/".join(",".join(node[:_NODE_HEX] for node in (section, *(p for p, _ in paragraphs))) for section, paragraphs in tree.sections)
+    return f"{tree.root[:32]}.{depth}.{sum(leaves.values())}.{spelled}.{nodes}", leaves
 
 
 def fingerprint(text: str) -> str:
-    """Root (32 hex digits), sampling depth, leaf count and the sorted distinct leaves that serve likeness.
+    """Root (32 hex digits), sampling depth, leaf count, the sorted distinct leaves that serve likeness, and the tree.
 
-    A leaf that occurs n > 1 times is followed by ``*n;``.
+    A leaf that occurs n > 1 times is followed by ``*n;``. The tree is every section's node with its
+    paragraphs' nodes: ``section,paragraph,paragraph/section,...``.
     """
     return _summary(text)[0]
 
 
+def differing(a: str, b: str) -> list[tuple[str, int, int]]:
+    """The paragraphs in which two fingerprints differ: ("a" or "b", section's number, paragraph's number).
+
+    Equal roots give none. Only sections whose nodes the other tree lacks are walked; there, a paragraph
+    differs when the other tree lacks its node. Texts that differ in white space alone have equal nodes.
+    """
+    if a == b:
+        return []
+    trees = [[section.split(",") for section in f.rsplit(".", 1)[1].split("/")] for f in (a, b)]
+    out = []
+    for side, own, other in (("a", *trees), ("b", *trees[::-1])):
+        sections, paragraphs = {s[0] for s in other}, {p for s in other for p in s[1:]}
+        out += [(side, i, j) for i, s in enumerate(own) if s[0] not in sections for j, p in enumerate(s[1:]) if p not in paragraphs]
+    return out
+
+
 def _shared(a: dict, b: dict) -> float:
     both = sum(min(n, b.get(h, 0)) for h, n in a.items())
     most = max(sum(a.values()), sum(b.values()))
@@ -139,7 +159,7 @@ def likeness(a: str, b: str) -> float:
     """
     if a == b:
         return 1.0
-    (_, da, _, la), (_, db, _, lb) = a.split("."), b.split(".")
+    (_, da, _, la, _), (_, db, _, lb, _) = a.split("."), b.split(".")
     depth = max(int(da), int(db))
     bags = [{h: int(n or 1) for h, n in _LEAF.findall(leaves) if not depth or int(h, 16) % 2**depth == 0} for leaves in (la, lb)]
     return _shared(*bags)
