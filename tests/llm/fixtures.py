@@ -40,6 +40,6 @@ def clashing(df):
     """Extra columns with names that operators use themselves."""
     from pyspark.sql import functions as F
 
-    for name in ("h", "t", "sha", "node", "label", "key", "kept", "score", "length", "start", "good", "toxic", "sig", "unit", "bucket", "tokens", "topic"):
+    for name in ("h", "t", "sha", "node", "label", "key", "kept", "score", "length", "start", "good", "toxic", "sig", "unit", "bucket", "tokens", "topic", "t", "slot", "hot", "cell_0", "__log_weight", "__gumbel_key", "__kept", "__th", "__drop", "__dropped", "__topic", "__tokens", "__probability", "__error", "__cell_0", "__gone_id", "__kept_id"):
         df = df.withColumn(name, F.lit("clash"))
     return df

@@ -149,7 +149,7 @@ def test_damaged_frames_are_noticed(tmp_path):
 
 def test_exact_duplicates_against_grouping(spark):
     df = awkward(spark)
-    rows = exact.exact_duplicates(clashing(df), bucket_rows=4, max_depth=6).collect()
+    rows = exact.exact_duplicates(clashing(df), bucket_bytes=4000, max_depth=6).collect()
     groups = {}
     plain = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
     for r in df.collect():
@@ -171,6 +171,33 @@ def test_a_hot_group_is_looked_up_by_broadcast(spark):
     assert out.where("keep_id = 1").count() == 400 and out.where("kept").count() == 201
 
 
+def test_a_repeated_id_keeps_its_own_text_only(spark):
+    rows = [(1, "a x", "en", "s", 0), (2, "b x", "en", "s", 0), (2, "a  x", "en", "s", 0), (2, "b x", "en", "t", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("__kept_id", F.lit(7))
+    assert sorted((r.doc_id, r.text) for r in exact.exact_dedup(docs).collect()) == [(1, "a x"), (2, "b x"), (2, "b x")]
+
+
+def test_colliding_hashes_are_chained(spark):
+    """Few hash bits force collisions: groups stay those of the texts, chains tell texts of one hash apart."""
+    rng = random.Random(21)
+    texts = [f"text {rng.randint(0, 60)} {'x' * rng.randint(0, 3)}" for _ in range(500)] + ["hot text"] * 400
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    plain = {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in exact.exact_duplicates(docs).collect()}
+    out = exact.exact_duplicates(docs, bucket_bytes=900, max_depth=5, hash_bits=5).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in out} == plain
+    for d, t in enumerate(texts):
+        assert plain[d][:2] == (texts.index(t), texts.count(t))
+    assert max(r.chain for r in out) > 1 and len({r.bucket for r in out}) > 4
+    places = {(r.bucket, r.chain, r.text_sha256) for r in out}
+    assert len({p[2] for p in places}) == len(places)
+
+
+def test_directory_points_every_slot_at_one_bucket():
+    depth, pointed = exact.pointers([(0, 2, 1), (4, 3, 1), (6, 3, 1), (8, 1, 1)], 4)
+    assert depth == 3 and pointed == [0, 0, 1, 2, 3, 3, 3, 3]
+    assert exact.pointers([], 4) == (0, [0])
+
+
 def test_directory_splits_overfull_buckets(spark):
     counts = spark.createDataFrame([(s, 10) for s in range(16)] + [], "slot int, n long")
     got = exact.directory(counts, 25, 4)
@@ -214,6 +241,26 @@ def test_edits_are_located():
     assert merkle.edits(old, old) == [] and merkle.Tree("a b").root != merkle.Tree("a  b").root
 
 
+def test_fingerprints_tell_which_branches_differ():
+    """Against the paragraphs themselves: every changed, added or moved-in paragraph and no other."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    prose = lambda: " ".join(word() for _ in range(rng.randint(1, 30)))
+    for _ in range(20):
+        old = [[prose() for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 6))]
+        new = [list(ps) for ps in old]
+        for _ in range(rng.randint(0, 3)):
+            ps = rng.choice(new)
+            ps[rng.randrange(len(ps))] = prose()
+        if rng.random() < 0.5:
+            new.insert(rng.randint(0, len(new)), [prose()])
+        a, b = ("\n\n".join("\n".join(ps) for ps in t) for t in (old, new))
+        every = [{p for ps in t for p in ps} for t in (old, new)]
+        want = [(side, i, j) for side, own, other in (("a", old, every[1]), ("b", new, every[0])) for i, ps in enumerate(own) for j, p in enumerate(ps) if p not in other]
+        assert merkle.differing(merkle.fingerprint(a), merkle.fingerprint(b)) == want
+    assert merkle.differing(merkle.fingerprint(""), merkle.fingerprint("x")) == [("a", 0, 0), ("b", 0, 0)]
+
+
 def test_long_texts_share_sampled_leaves():
     rng = random.Random(5)
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(30_000)]
@@ -356,6 +403,64 @@ def test_gumbel_top_k_against_sorting(spark, documents, labels):
     assert all(r["__kept"] == (r["__gumbel_key"] >= least) for r in rows)
 
 
+def plain_ngrams(text, buckets):
+    """Buckets of a text's n-grams, token by token."""
+    from veilsift.llm import shingles
+
+    found = list(re.finditer(r"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x09-\x0d ]+", text.encode().decode("latin-1")))
+    tokens = [m.group().encode("latin-1") for m in found]
+    mix = lambda x: int(shingles.mix(np.array([x % 2**64], np.uint64))[0])
+    hashes = [int(shingles.runs([t], quality._CLASS)[0][0]) for t in tokens]
+    forms = []
+    for i, (t, h) in enumerate(zip(tokens, hashes, strict=True)):
+        word = re.match(rb"[0-9A-Za-z\x80-\xff]", t) is not None
+        capitals = sum(65 <= c <= 90 for c in t)
+        caps = 3 if len(t) == 1 else 0 if not capitals else 2 if capitals == len(t) else 1
+        form = h if not word else (4 + caps) * 64 + min(len(t), 15) * 2 + (h in hashes[max(0, i - 2) : i])
+        forms.append(mix(form + 77))
+    pairs = [mix(a * 3 + b) for a, b in zip(forms, forms[1:], strict=False)]
+    return [(x >> 40) % buckets for x in hashes + pairs]
+
+
+def test_importance_weights_and_keys_against_a_plain_model(spark, documents, labels):
+    """Counts, log weights, Gumbel noise and the default k of the query's own options, without the operator's arrays."""
+    import math
+
+    from veilsift.llm import queries
+
+    out = {r.doc_id: r for r in queries.op2_quality_classifier(spark, "/root/testdata/sf0.001").collect()}
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    grams = {d: plain_ngrams(t, 65_536) for d, t in texts.items()}
+    raw, target = np.zeros(65_536), np.zeros(65_536)
+    for d, g in grams.items():
+        for spot in g:
+            raw[spot] += 1
+            target[spot] += known.get(d) == 1
+    ratio = [math.log((a + 1) / (target.sum() + 65_536)) - math.log((b + 1) / (raw.sum() + 65_536)) for a, b in zip(target, raw, strict=True)]
+    noise = {r.doc_id: r.g for r in documents.select("doc_id", quality.gumbel("doc_id", 11).alias("g")).collect()}
+    for d, g in grams.items():
+        w = sum(ratio[spot] for spot in g)
+        assert abs(out[d].log_weight - w) < 1e-6 * max(1, abs(w)) and abs(out[d].gumbel_key - w - noise[d]) < 1e-6 * max(1, abs(w))
+    # each row counts with the share of good labels in its stratum; with fewer than 1000 labelled rows a stratum is one row
+    weights = sorted((out[d].log_weight, y) for d, y in known.items() if d in out)
+    nearest = lambda w: [y for v, y in weights if v == min((v for v, _ in weights), key=lambda v: (abs(v - w), -v))]
+    k = round(sum(np.mean(nearest(r.log_weight)) for r in out.values()))
+    assert sum(r.kept for r in out.values()) == k
+    kept = sorted((r.gumbel_key for r in out.values()), reverse=True)[k - 1]
+    assert all(r.kept == (r.gumbel_key >= kept) for r in out.values())
+
+
+def test_gumbel_noise_samples_in_proportion_to_weights(spark):
+    """The first place of top-k over many seeds follows the weights."""
+    weights = {1: 1.0, 2: 2.0, 3: 5.0}
+    df = spark.createDataFrame([(d,) for d in weights], "doc_id long")
+    many = df.select("doc_id", *[quality.gumbel("doc_id", seed).alias(f"g{seed}") for seed in range(400)]).collect()
+    first = [max(weights, key=lambda d: np.log(weights[d]) + {r.doc_id: r[f"g{seed}"] for r in many}[d]) for seed in range(400)]
+    for d, w in weights.items():
+        assert abs(first.count(d) / 400 - w / 8) < 0.08
+
+
 def test_nth_smallest_is_exact(spark):
     rng = random.Random(9)
     values = [rng.choice([0.0, 1e-9, 5.5, rng.gauss(0, 1), rng.gauss(0, 1e6)]) for _ in range(500)]

@@ -136,16 +136,17 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, id_
     stay, but for sentences that recur between the same two sentences of their line. A null
     text stays null; rows with a null doc_id neither count nor lose units; rows that share a doc_id
     count as one document and keep what is first in it; an empty table stays empty. A document may
-    lose all its text.
+    lose all its text. Where ``docs`` has a column ``__dropped``, the new one takes a further underscore.
     """
+    dropped_col, th_col, drop_col = common.own_names(docs, "__dropped", "__th", "__drop")
     parsed = common.stored(_parse(docs, id_col, text_col), "templates")
     again = common.stored(recurring(parsed, min_docs), "recurring")
     hits = graph.look_up(parsed, again, ["sig"], "rows", parsed.count())
     if keep_first:
         hits = hits.where(F.col("doc_id") != F.col("first"))
-    drops = hits.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("unit").alias("__drop"))
-    keyed = docs.withColumn("__th", F.xxhash64(common.text_or_empty(text_col)))
-    joined = keyed.join(drops.hint("shuffle_hash"), (keyed[id_col].cast("long") == drops["__id"]) & (keyed["__th"] == drops["__th"]), "left").select(docs["*"], drops["__drop"])
+    drops = hits.groupBy(F.col("doc_id").alias("id"), "th").agg(F.collect_set("unit").alias(drop_col))
+    keyed = docs.withColumn(th_col, F.xxhash64(common.text_or_empty(text_col)))
+    joined = keyed.join(drops.hint("shuffle_hash"), (keyed[id_col].cast("long") == drops["id"]) & (keyed[th_col] == drops["th"]), "left").select(docs["*"], drops[drop_col])
     joined = joined.withColumn(text_col, F.col(text_col).cast("string"))
     spot = docs.columns.index(text_col)
 
@@ -157,15 +158,19 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, id_
                 plain = texts.cast(pa.binary()).to_pylist()
                 texts = pa.array([without(t, set(d)) if d else t for t, d in zip(plain, drops, strict=True)], pa.binary()).cast(pa.string())
             columns = [texts if i == spot else c for i, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(d or ()) for d in drops], pa.int32())], [*batch.schema.names[:-1], "__dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(d or ()) for d in drops], pa.int32())], [*batch.schema.names[:-1], dropped_col])
 
-    return joined.mapInArrow(rebuild, joined.drop("__drop").select("*", F.lit(0).alias("__dropped")).schema)
+    return joined.mapInArrow(rebuild, joined.drop(drop_col).select("*", F.lit(0).alias(dropped_col)).schema)
 
 
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Documents with text left, with the columns of ``docs``; ``n_chars`` follows the text where it is a column."""
+    """Documents with text left, with the columns of ``docs``; ``n_chars`` follows the text where it is a column.
+
+    Rows whose text was null or blank before stay; null, repeated and missing rows are as in ``dedup_lines``.
+    """
+    (dropped,) = common.own_names(docs, "__dropped")
     out = dedup_lines(docs, id_col=id_col, text_col=text_col, **options)
-    out = out.where((F.col("__dropped") == 0) | (F.trim(F.col(text_col)) != ""))
+    out = out.where((F.col(dropped) == 0) | (F.trim(F.col(text_col)) != ""))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from . import common, shingles
 
+#: What ``mix`` adds to the documents.
+COLUMNS = ("__topic", "__tokens", "__probability", "__kept", "__error")
+
 _LETTERS = np.zeros(256, np.uint8)
 _LETTERS[48:58] = _LETTERS[65:91] = _LETTERS[97:123] = 1
 _LETTERS[128:] = 1
@@ -116,7 +119,8 @@ def _start(rows: DataFrame, topics: int, weights: np.ndarray, seeds: int) -> np.
     dims = len(weights)
     ids = rows.select("doc_id").dropna()
     chosen = F.broadcast(ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(seeds))
-    found = rows.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    least = F.min(F.struct("spots", "counts")).alias("least")  # of a repeated doc_id
+    found = rows.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(least).select("doc_id", "least.*").orderBy("doc_id").collect()
     x = TopicModel(np.zeros((1, dims), np.float32), weights).directions(_dense([r["spots"] for r in found], [r["counts"] for r in found], dims))
     x = x[np.linalg.norm(x, axis=1) > 0]
     if not len(x):
@@ -129,8 +133,8 @@ def _start(rows: DataFrame, topics: int, weights: np.ndarray, seeds: int) -> np.
     return model.centres
 
 
-def with_topic(docs: DataFrame, model: TopicModel, text_col: str = "text", topic_col: str = "__topic") -> DataFrame:
-    """``docs`` with the topic's number and ``__tokens``, the count of words, as further columns; no row moves."""
+def with_topic(docs: DataFrame, model: TopicModel, text_col: str = "text", topic_col: str = "__topic", tokens_col: str = "__tokens") -> DataFrame:
+    """``docs`` with the topic's number and the count of words as further columns; no row moves."""
     held = docs.sparkSession.sparkContext.broadcast((model.centres, model.weights))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +145,9 @@ def with_topic(docs: DataFrame, model: TopicModel, text_col: str = "text", topic
             for at, to in shingles.blocks(texts):
                 topics.append(own.assign(texts[at:to]))
                 tokens.append(np.bincount(shingles.words(texts[at:to])[1], minlength=to - at))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(topics).astype(np.int32)), pa.array(np.concatenate(tokens).astype(np.int64))], [*batch.schema.names[:-1], topic_col, "__tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(topics).astype(np.int32)), pa.array(np.concatenate(tokens).astype(np.int64))], [*batch.schema.names[:-1], topic_col, tokens_col])
 
-    schema = docs.select("*", F.lit(0).alias(topic_col), F.lit(0).cast("long").alias("__tokens")).schema
+    schema = docs.select("*", F.lit(0).alias(topic_col), F.lit(0).cast("long").alias(tokens_col)).schema
     return docs.select("*", common.text_or_empty(text_col).alias(topic_col)).mapInArrow(assign, schema)
 
 
@@ -204,17 +208,19 @@ def mix(docs: DataFrame, share: float = 0.5, power: float = 0.7, topics: int = 8
 
     Null sources and languages are values of their own; a text without words has no tokens and takes
     its cell's probability; a null doc_id draws as one id; repeated rows draw alike; an empty table
-    stays empty; a ``share`` of 1 keeps everything the targets allow.
+    stays empty; a ``share`` of 1 keeps everything the targets allow. Where ``docs`` has a column of
+    a new one's name, the new one takes a further underscore.
     """
+    topic_col, tokens_col, chance_col, kept_col, error_col = common.own_names(docs, *COLUMNS)
     model = fit_topics(docs, topics, id_col=id_col, text_col=text_col)
-    counted = with_topic(docs, model, text_col)
-    cell = [*dims, "__topic"]
-    table = common.stored(counted.groupBy(*cell).agg(F.sum("__tokens").alias("__tokens")), "cells")
+    counted = with_topic(docs, model, text_col, topic_col, tokens_col)
+    cell = [*dims, topic_col]
+    table = common.stored(counted.groupBy(*cell).agg(F.sum(tokens_col).alias(tokens_col)), "cells")
     n = table.count()
     if n > most_cells:
         raise ValueError(f"{n} cells of source, language and topic; at most {most_cells} are raked on the driver")
     rows = table.orderBy(*cell).collect()
-    keys, tokens = [tuple(r)[:3] for r in rows], np.array([r["__tokens"] for r in rows], float)
+    keys, tokens = [tuple(r)[:3] for r in rows], np.array([r[tokens_col] for r in rows], float)
     if targets is None:
         targets = []
         for d in range(3):
@@ -230,16 +236,18 @@ def mix(docs: DataFrame, share: float = 0.5, power: float = 0.7, topics: int = 8
         warnings.warn(f"mixing reaches {weights.sum():.0f} of {budget:.0f} tokens and misses {len(off)} targets: {said}", stacklevel=2)
     chance = np.divide(weights, tokens, out=np.full(len(tokens), float(share)), where=tokens > 0)
     fields = table.select(*cell).schema
-    schema = fields.add("__probability", "double")
+    schema = fields.add(chance_col, "double")
     probabilities = docs.sparkSession.createDataFrame([(*k, float(p)) for k, p in zip(keys, chance, strict=True)], schema)
-    named = probabilities.select(*[F.col(c).alias(f"__cell_{i}") for i, c in enumerate(cell)], "__probability")
-    same = [counted[c].eqNullSafe(named[f"__cell_{i}"]) for i, c in enumerate(cell)]
+    spots = common.own_names(counted, "cell_0", "cell_1", "cell_2")
+    named = probabilities.select(*[F.col(c).alias(spot) for c, spot in zip(cell, spots, strict=True)], chance_col)
+    same = [counted[c].eqNullSafe(named[spot]) for c, spot in zip(cell, spots, strict=True)]
     draw = F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11).cast("double") * 2.0**-53
     # at most `most_cells` short rows
-    joined = counted.join(F.broadcast(named), same, "left").drop(*[f"__cell_{i}" for i in range(3)])
-    return joined.withColumn("__kept", draw < F.coalesce("__probability", F.lit(float(share)))).withColumn("__error", F.lit(error))
+    joined = counted.join(F.broadcast(named), same, "left").drop(*spots)
+    return joined.withColumn(kept_col, draw < F.coalesce(chance_col, F.lit(float(share)))).withColumn(error_col, F.lit(error))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with the columns of ``docs``."""
-    return mix(docs, **options).where("__kept").select(*docs.columns)
+    """The documents that stay, with the columns of ``docs``; null, empty, repeated and missing rows as in ``mix``."""
+    kept = common.own_names(docs, *COLUMNS)[3]
+    return mix(docs, **options).where(F.col(kept)).select(*docs.columns)

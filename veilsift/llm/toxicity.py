@@ -181,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, most_features
     spark = docs.sparkSession
     chosen, rate = examples(labels, per_label, folds, id_col)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_or_empty(text_col).alias("text"))
-    sample = common.stored(plain.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "examples")
+    # a repeated doc_id stands for the smallest of its texts
+    sample = common.stored(plain.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "examples")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
