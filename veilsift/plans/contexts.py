@@ -15,9 +15,9 @@ ANCHORS: dict[str, list[str]] = {
     'it_codice_fiscale': ['codice fiscale', 'codice fiscale:', 'c.f.', 'cf.', 'codice tributario', 'agenzia delle entrate', 'contribuente', 'partita iva'],
     'pl_pesel': ['pesel', 'numer ewidencyjny', 'identyfikator', 'numer pesel', 'ewidencja ludności'],
     'nl_bsn': ['bsn', 'burgerservicenummer', 'burger service nummer', 'sofinummer', 'sofi-nummer', 'digid', 'belastingdienst', 'gemeente', 'persoonsgegevens'],
-    'fr_nir': ['nir', 'insee', 'numéro de sécurité sociale', 'sécurité sociale', 'numero de securite sociale', 'carte vitale', 'vitale', 'cpam', "caisse d\\'assurance maladie", "numéro d\\'inscription"],
+    'fr_nir': ['nir', 'insee', 'numéro de sécurité sociale', 'sécurité sociale', 'numero de securite sociale', 'carte vitale', 'vitale', 'cpam', "caisse d'assurance maladie", "numéro d'inscription"],
     'pt_nif': ['nif', 'número de identificação fiscal', 'numero de identificacao fiscal', 'contribuinte', 'número de contribuinte', 'numero de contribuinte', 'finanças', 'financas', 'autoridade tributária', 'autoridade tributaria'],
-    'be_nn': ['rijksregisternummer', 'rijksregister', 'nationaal nummer', 'numéro national', 'numero national', 'registre national', 'identiteitskaart', "carte d\\'identité", "carte d\\'identite", 'eid', 'belgisch', 'belge'],
+    'be_nn': ['rijksregisternummer', 'rijksregister', 'nationaal nummer', 'numéro national', 'numero national', 'registre national', 'identiteitskaart', "carte d'identité", "carte d'identite", 'eid', 'belgisch', 'belge'],
     'br_cpf': ['cpf', 'cadastro de pessoas', 'cadastro de pessoas físicas', 'receita federal', 'contribuinte', 'pessoa física', 'pessoa fisica'],
     'mx_curp': ['curp', 'clave única', 'clave unica', 'registro de población', 'registro de poblacion', 'acta de nacimiento', 'ine', 'credencial de elector'],
     'ie_pps': ['pps', 'ppsn', 'pps number', 'personal public service', 'revenue', 'department of social protection', 'deasp', 'hse', 'public services card'],
@@ -33,7 +33,7 @@ ANCHORS: dict[str, list[str]] = {
     'uk_nin': ['national insurance', 'ni number', 'nino', 'ni no', 'hmrc', 'national insurance number', 'national insurance no', 'paye', 'p45', 'p60', 'self-assessment'],
     'au_tfn': ['tax file number', 'tfn', 'ato', 'australian taxation office', 'tax file', 'myTax', 'myGov'],
     'au_abn': ['abn', 'australian business number', 'ato', 'asic', 'acn', 'gst', 'business number'],
-    'ca_sin': ['social insurance', 'sin', 'social insurance number', "numéro d\\'assurance sociale", 'nas', 'cra', 'canada revenue', 't4', 'rrsp', 'tfsa', 'employment insurance', 'ei premium', 'cpp'],
+    'ca_sin': ['social insurance', 'sin', 'social insurance number', "numéro d'assurance sociale", 'nas', 'cra', 'canada revenue', 't4', 'rrsp', 'tfsa', 'employment insurance', 'ei premium', 'cpp'],
     'risky_domain': ['IBAN', 'Payroll', 'Gehalt', 'Løn', 'Beneficiary', 'Lønmodtager', 'Medarbejder', 'Personnummer', 'CPR'],
     'safe_domain': ['SKU', 'AWB', 'Ref', 'Sequence', 'Batch', 'Order', 'Invoice No', 'PO', 'Tracking', 'Shipment', 'Part No', 'Item No', 'Catalog'],
 }
@@ -47,7 +47,7 @@ REQUIRED: dict[str, list[str]] = {
     'uk_nin': ['national insurance', 'ni number', 'nino', 'ni no', 'hmrc', 'national insurance number', 'national insurance no', 'paye', 'p45', 'p60'],
     'au_tfn': ['tax file number', 'tfn', 'ato', 'australian taxation office', 'tax file', 'mytax', 'mygov', 'australia'],
     'au_abn': ['abn', 'australian business number', 'ato', 'asic', 'gst', 'australia', 'acn'],
-    'ca_sin': ['social insurance', 'sin', 'social insurance number', "numéro d\\'assurance sociale", 'nas', 'cra', 'canada revenue', 't4', 'canada', 'employment insurance'],
+    'ca_sin': ['social insurance', 'sin', 'social insurance number', "numéro d'assurance sociale", 'nas', 'cra', 'canada revenue', 't4', 'canada', 'employment insurance'],
 }
 
 # Labels of national identifiers, and words of insurance and invoice documents.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decisions, texts
+from ..sources import tables
 from ..streaming import scans
 from . import text_queries
 
@@ -22,7 +25,7 @@ def decision_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decision_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions for documents with planted phrases and file names."""
-    docs = text_queries.tailed(spark, sf_dir, cut=None)
+    docs = text_queries.tailed(spark, sf_dir)
     names = F.element_at(F.array(*[F.lit(n) for n in text_queries.NAMES]), (F.col("doc_id") % len(text_queries.NAMES)).cast("int") + 1)
     return decisions.decide(docs.withColumn("filename", names), filename_col="filename", language_col="lang").drop("details")
 
@@ -41,13 +44,20 @@ def decision_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replayed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Run a streaming transformation over the conversations as events and read back what it wrote."""
-    import uuid
-
-    events = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
-        F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.col("role").alias("source"), "text", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 10 + F.col("turn")).alias("ts")
+    """Run a streaming transformation over the conversations as events and read back what it wrote.
+
+    Each turn ends with one of the planted phrases, so there is something to find.
+    """
+    tails = F.array(*[F.lit(t) for t in text_queries.TAILS])
+    planted = F.element_at(tails, ((F.col("conv_id") + F.col("turn")) % len(text_queries.TAILS)).cast("int") + 1)
+    events = tables.table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.col("role").alias("source"), F.concat_ws(" ", "text", planted).alias("text"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 10 + F.col("turn")).alias("ts")
     )
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp()}"
     folder = f"{root.rstrip('/')}/veilsift-stream/{uuid.uuid4().hex}"
     events.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(scans.EVENTS).parquet(f"{folder}/in")

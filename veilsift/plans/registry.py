@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checksum_queries, decision_queries, scan_queries, signal_queries, text_queries
+from . import checksum_queries, class_queries, decision_queries, scan_queries, signal_queries, text_queries
 
-MODULES = [decision_queries, checksum_queries, scan_queries, signal_queries, text_queries]
+MODULES = [decision_queries, checksum_queries, scan_queries, signal_queries, text_queries, class_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,13 +1,12 @@
 """Queries of the detection scan and its gates, over documents with planted phrases and numbers.
 
-Natural hits are rare in the tables, so each document's head is followed by one of PROBES, picked by
+Natural hits are rare in the tables, so each document's text is followed by one of PROBES, picked by
 doc_id. The SQL side spells rules with RE2: look-around boundaries become alternatives.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,22 +31,10 @@ PROBES = [
 ]
 
 
-def _head(column: str, cut: int | None) -> Column:
-    """The first ``cut`` characters of a text, or all of it."""
-    return F.col(column) if cut is None else F.substring(column, 1, cut)
-
-
-def whole_sql(sql: str, head: str) -> str:
-    """The SQL of a query over heads, over whole texts."""
-    if head not in sql:
-        raise ValueError(f"{head} is not in the SQL")
-    return sql.replace(head, head.removeprefix("substr(").split(",")[0])
-
-
-def probed(spark: SparkSession, sf_dir: str, cut: int | None = 400) -> DataFrame:
+def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.spread(tables.table(spark, sf_dir, "documents"))
     probe = F.element_at(F.array(*[F.lit(p) for p in PROBES]), (F.col("doc_id") % len(PROBES)).cast("int") + 1)
-    return docs.select("doc_id", F.concat(_head("text", cut), F.lit("\n"), probe, F.lit(" end")).alias("t"))
+    return docs.select("doc_id", F.concat(F.col("text"), F.lit("\n"), probe, F.lit(" end")).alias("t"))
 
 
 def _quoted(s: str) -> str:
@@ -58,7 +45,7 @@ def _list(items: list[str]) -> str:
     return "[" + ", ".join(map(_quoted, items)) + "]"
 
 
-PROBED_SQL = f"SELECT doc_id, substr(text, 1, 400) || chr(10) || ({_list(PROBES)})[(doc_id % {len(PROBES)})::int + 1] || ' end' AS t FROM documents"
+PROBED_SQL = f"SELECT doc_id, text || chr(10) || ({_list(PROBES)})[(doc_id % {len(PROBES)})::int + 1] || ' end' AS t FROM documents"
 
 _BEHIND, _AHEAD = r"(?<!\p{L})", r"(?!\p{L})"
 
@@ -86,12 +73,12 @@ def re2(regex: str, flags: str) -> str:
     return ("(?i)" if "i" in flags else "") + regex.replace(r"\/", "/")
 
 
-def scan_presence(spark: SparkSession, sf_dir: str, cut: int | None = 400) -> DataFrame:
-    return scan.scan(probed(spark, sf_dir, cut), plain_rules(False), text_col="t").select("doc_id", "pattern_id", "type", "severity", "description")
+def scan_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.scan(probed(spark, sf_dir), plain_rules(False), text_col="t").select("doc_id", "pattern_id", "type", "severity", "description")
 
 
-def scan_counts(spark: SparkSession, sf_dir: str, cut: int | None = 400) -> DataFrame:
-    return scan.scan(probed(spark, sf_dir, cut), plain_rules(True), text_col="t").select("doc_id", "pattern_id", "severity", "n", "description")
+def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.scan(probed(spark, sf_dir), plain_rules(True), text_col="t").select("doc_id", "pattern_id", "severity", "n", "description")
 
 
 def _presence_sql() -> str:
@@ -159,7 +146,7 @@ def _natid(rule_id: str) -> Query:
     rule = next(r for r in RULES if r.id == rule_id)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", _worded(words, shape).alias("t"))
+        orders = tables.spread(tables.table(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", _worded(words, shape).alias("t"))
         return scan.scan(orders, [rule], text_col="t", keep=["o_orderkey"]).select("o_orderkey", "id", "matched", "place", F.round("confidence", 4).alias("confidence"))
 
     return run
@@ -278,9 +265,9 @@ WHERE m <> '' AND substr(m, 5, 2) IN ('DE', 'DK', 'US', 'GB', 'ME') AND NOT {has
 ARTIFACTS = "‑ a\u0007b ​c­d  \t e\r\n\r\nidenti-\nfication BIG-\nword \n\n f"
 
 
-def norm_stages(spark: SparkSession, sf_dir: str, cut: int | None = 300) -> DataFrame:
+def norm_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    t = F.concat(_head("text", cut), F.lit(ARTIFACTS))
+    t = F.concat(F.col("text"), F.lit(ARTIFACTS))
     made = docs.select("doc_id", t.alias("t"))
     t = F.col("t")
     return made.select("doc_id", nz.unify_hyphens(t).alias("hyphens"), nz.strip_controls(t).alias("controls"), nz.strip_zero_width(t).alias("zero_width"), nz.repair_hyphenation(t).alias("hyphenation"), nz.collapse_white_space(t).alias("white_space"))
@@ -288,7 +275,7 @@ def norm_stages(spark: SparkSession, sf_dir: str, cut: int | None = 300) -> Data
 
 _CODES = " || ".join(f"chr({ord(c)})" for c in ARTIFACTS)
 NORM_SQL = f"""
-WITH m AS (SELECT doc_id, substr(text, 1, 300) || {_CODES} AS t FROM documents)
+WITH m AS (SELECT doc_id, text || {_CODES} AS t FROM documents)
 SELECT doc_id, regexp_replace(t, '[\\x{{2010}}-\\x{{2013}}]', '-', 'g') AS hyphens,
   regexp_replace(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]', ' ', 'g') AS controls,
   regexp_replace(t, '[\\x{{200B}}-\\x{{200F}}\\x{{2060}}\\x{{FEFF}}\\x{{AD}}\\x{{202A}}-\\x{{202E}}\\x{{2066}}-\\x{{2069}}]', '', 'g') AS zero_width,
@@ -326,16 +313,11 @@ SELECT doc_id, CASE WHEN length(text) >= 200 AND ({_density_sql(scan.ENGLISH_WOR
 """
 
 
-#: As in text_queries: NAME_whole reads whole texts.
-HEADS_OF = {"scan_presence": (scan_presence, "substr(text, 1, 400)"), "scan_counts": (scan_counts, "substr(text, 1, 400)"), "norm_stages": (norm_stages, "substr(text, 1, 300)")}
-
-
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "scan_presence": scan_presence, "scan_counts": scan_counts, "scan_documents": scan_documents, "gate_card": gate_card, "gate_iban": gate_iban,
         "gate_url": gate_url, "gate_swift": gate_swift, "norm_stages": norm_stages, "norm_full": norm_full, "norm_shadow": norm_shadow, "locale_density": locale_density,
     }
-    out |= {f"{k}_whole": partial(f, cut=None) for k, (f, _) in HEADS_OF.items()}
     return out | {f"natid_{k.removeprefix('global-').replace('-', '_')}": _natid(k) for k in ID_CASES}
 
 
@@ -344,5 +326,4 @@ def oracle_sql() -> dict[str, str]:
         "scan_presence": f"WITH p AS ({PROBED_SQL}) {_presence_sql()}", "scan_counts": f"WITH p AS ({PROBED_SQL}) {_counts_sql()}", "gate_card": CARD_SQL, "gate_iban": IBAN_SQL,
         "gate_url": _url_sql(), "gate_swift": _swift_sql(), "norm_stages": NORM_SQL, "locale_density": LOCALE_SQL,
     }
-    out |= {f"{k}_whole": whole_sql(out[k], head) for k, (_, head) in HEADS_OF.items()}
     return out | {f"natid_{k.removeprefix('global-').replace('-', '_')}": _natid_sql(k) for k in ID_CASES}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calibration as cal
@@ -39,7 +39,17 @@ def _pick(values: list, index):
 
 
 def made_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, u = F.col("event_id"), F.col("user_id") % 300
+    """Signals of 300 documents, many for each."""
+    return _made(spark, sf_dir, F.col("user_id") % 300)
+
+
+def few_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same signals dealt out to documents of four."""
+    return _made(spark, sf_dir, F.floor(F.col("event_id") / 4))
+
+
+def _made(spark: SparkSession, sf_dir: str, u: Column) -> DataFrame:
+    e = F.col("event_id")
     k = e * 7 % len(KINDS)
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         u.alias("doc_id"), e.alias("seq"), *[_pick([x[i] for x in KINDS], k).alias(n) for i, n in enumerate(("id", "type", "severity", "description"))],
@@ -64,6 +74,9 @@ SELECT user_id % 300 AS doc_id, event_id AS seq, {_arr([x[0] for x in KINDS])}[{
 FROM events"""
 
 
+FEW_SQL = SIGNALS_SQL.replace("user_id % 300", "(event_id // 4)")
+
+
 def _rank(col: str) -> str:
     return f"(list_position(['none', 'low', 'medium', 'high', 'critical'], {col}) - 1)"
 
@@ -108,12 +121,12 @@ SELECT doc_id, seq, policy_key, policy_id, {_level(f"CASE WHEN policy_id IS NULL
 
 def agg_max_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.range(320).withColumnRenamed("id", "doc_id")
-    out = sev.aggregate_severity(docs, made_signals(spark, sf_dir).where("seq % 11 = 0"))
+    out = sev.aggregate_severity(docs, few_signals(spark, sf_dir))
     return out.select("doc_id", "severity", F.array_join("driving_ids", ",").alias("driving_ids"), F.array_join("driving_sources", ",").alias("driving_sources"), "signal_count")
 
 
 AGG_SQL = f"""
-WITH s AS (SELECT *, {_rank('severity')} AS r, coalesce(id, type || ':' || substr(regexp_replace(regexp_replace(lower(description), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50)) AS sid FROM ({SIGNALS_SQL}) WHERE seq % 11 = 0),
+WITH s AS (SELECT *, {_rank('severity')} AS r, coalesce(id, type || ':' || substr(regexp_replace(regexp_replace(lower(description), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50)) AS sid FROM ({FEW_SQL})),
 t AS (SELECT doc_id, max(r) AS r, count(*) AS n FROM s GROUP BY doc_id),
 g AS (SELECT t.doc_id, t.r, t.n, string_agg(sid, ',' ORDER BY coalesce(confidence, 0.5) DESC, sid) AS ids, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM t JOIN s ON s.doc_id = t.doc_id AND s.r = t.r GROUP BY ALL)
 SELECT d.doc_id, coalesce({_level('g.r')}, 'none') AS severity, coalesce(ids, '') AS driving_ids, coalesce(sources, '') AS driving_sources, coalesce(n, 0) AS signal_count
@@ -121,12 +134,12 @@ FROM (SELECT range AS doc_id FROM range(320)) d LEFT JOIN g USING (doc_id)"""
 
 
 def severity_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sev.severity_floor(made_signals(spark, sf_dir).where("seq % 37 = 0"))
+    out = sev.severity_floor(few_signals(spark, sf_dir))
     return out.select("doc_id", "floor", F.array_join("categories", ",").alias("categories"))
 
 
 FLOOR_SQL = f"""
-WITH s AS (SELECT doc_id, severity, coalesce(lower(id), '') AS i, lower(type) AS t FROM ({SIGNALS_SQL}) WHERE seq % 37 = 0),
+WITH s AS (SELECT doc_id, severity, coalesce(lower(id), '') AS i, lower(type) AS t FROM ({FEW_SQL})),
 f AS (SELECT doc_id, severity, i,
   starts_with(i, 'secret.') OR starts_with(i, 'secret-') OR regexp_matches(i, 'api[_-]key|password|private[_-]key|bearer[_-]token') AS secret,
   starts_with(i, 'pii.') OR starts_with(i, 'pii-') OR starts_with(i, 'registry-') OR t = 'pii' AS pii,
@@ -139,7 +152,7 @@ SELECT doc_id, {_level("greatest(CASE WHEN a > 0 THEN 3 ELSE 0 END, CASE WHEN b
 
 
 def calibrate_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cal.calibrate(made_signals(spark, sf_dir).where("seq % 17 < 3")).select("doc_id", "seq", "tier", "role", "calibrated", "reason")
+    return cal.calibrate(few_signals(spark, sf_dir)).select("doc_id", "seq", "tier", "role", "calibrated", "reason")
 
 
 def _modifier_sql(k: int) -> str:
@@ -158,7 +171,7 @@ def _threshold_sql() -> str:
 
 _REGULATED = "(" + " OR ".join(f"starts_with(lower(coalesce(id, '')), '{p}')" for p in cal.REGULATED_PREFIXES) + f" OR type IN ({', '.join(map(_lit, cal.REGULATED_TYPES))}))"
 CALIBRATE_SQL = f"""
-WITH s AS (SELECT *, coalesce(id, 'unknown') AS sid, {_rank('severity')} AS r FROM ({SIGNALS_SQL}) WHERE seq % 17 < 3),
+WITH s AS (SELECT *, coalesce(id, 'unknown') AS sid, {_rank('severity')} AS r FROM ({FEW_SQL})),
 t AS (SELECT *, CASE WHEN sid IN ({', '.join(map(_lit, cal.UNIVERSAL))}) THEN 'universal' WHEN sid IN ({', '.join(map(_lit, cal.REGION_SENSITIVE))}) THEN 'region_sensitive' ELSE 'contextual' END AS tier,
   count(*) OVER (PARTITION BY doc_id, sid) AS same_id, count(*) OVER (PARTITION BY doc_id, coalesce("match", sid)) AS same_match FROM s),
 n AS (SELECT *, EXISTS (SELECT 1 FROM t u WHERE u.doc_id = t.doc_id AND u.tier = 'universal' AND abs(u."offset" - t."offset") <= 200) AS near FROM t),
@@ -231,7 +244,7 @@ FROM ({SIGNALS_SQL}) WHERE "match" IS NOT NULL GROUP BY doc_id, id"""
 
 
 def human_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = made_signals(spark, sf_dir).where("seq % 13 < 5").withColumn("doc_length", F.lit(6000))
+    s = few_signals(spark, sf_dir).withColumn("doc_length", F.lit(6000))
     return he.apply_heuristics(s).select("doc_id", "seq", "promoted", "suppressed", "rule")
 
 
@@ -240,7 +253,7 @@ def _in(values: list[str]) -> str:
 
 
 HEURISTICS_SQL = f"""
-WITH s AS (SELECT *, coalesce(id, 'unknown') AS i FROM ({SIGNALS_SQL}) WHERE seq % 13 < 5),
+WITH s AS (SELECT *, coalesce(id, 'unknown') AS i FROM ({FEW_SQL})),
 a AS (SELECT *, i IN {_in(he.ANCHORS)} AS anchor, i IN {_in(he.PROMOTABLE)} AS can, coalesce("match", i) AS m, CASE WHEN i IN ('pii.email', 'pii.email.density') THEN 'e' WHEN i IN ('pii.phone', 'pii.phone.density') THEN 'p' END AS kind FROM s),
 k AS (SELECT doc_id, kind, count(DISTINCT m) >= 5 AND coalesce(max("offset") - min("offset") <= 2000, TRUE) AS l FROM a WHERE kind IS NOT NULL GROUP BY ALL),
 d AS (SELECT doc_id, bool_or(anchor) AS anchored, bool_or(anchor OR severity IN ('high', 'critical')) AS sensitive FROM a GROUP BY doc_id),
@@ -253,7 +266,7 @@ SELECT doc_id, seq, near OR listed AS promoted, NOT (near OR listed) AND (zone O
 
 
 def framing_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = made_signals(spark, sf_dir).where("seq % 41 = 0 and id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.min("locale").alias("locale"), F.count(F.lit(1)).alias("n"))
+    per = few_signals(spark, sf_dir).where("id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.min("locale").alias("locale"), F.count(F.lit(1)).alias("n"))
     s, c = _pick(sev.LEVELS, F.col("doc_id") % 5), _pick(["doc.invoice", None, None], F.col("doc_id") % 3)
     df = per.select("doc_id", "ids", "n", s.alias("severity"), c.alias("cls"), "locale")
     sure = fr.surface_confidence(F.col("cls"), F.col("ids"), F.col("severity"), F.col("n"))
@@ -267,10 +280,10 @@ def _parts_sql(parts: list[str]) -> str:
 
 
 FRAMING_SQL = f"""
-WITH s AS (SELECT DISTINCT doc_id, id AS i FROM ({SIGNALS_SQL}) WHERE seq % 41 = 0 AND id IS NOT NULL),
+WITH s AS (SELECT DISTINCT doc_id, id AS i FROM ({FEW_SQL}) WHERE id IS NOT NULL),
 f AS (SELECT doc_id, CASE {' '.join(f"WHEN {_parts_sql(parts)} THEN {_lit(label)}" for label, parts in fr.FAMILIES)} END AS fam, {_parts_sql(fr.STRONG_PARTS)} AS strong FROM s),
 g AS (SELECT doc_id, list_sort(list_distinct(list(fam) FILTER (fam IS NOT NULL))) AS fam, bool_or(strong) AS strong FROM f GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS n, min(locale) AS locale FROM ({SIGNALS_SQL}) WHERE seq % 41 = 0 AND id IS NOT NULL GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n, min(locale) AS locale FROM ({FEW_SQL}) WHERE id IS NOT NULL GROUP BY doc_id),
 d AS (SELECT *, {_arr(sev.LEVELS)}[(doc_id % 5)::int + 1] AS severity, doc_id % 3 = 0 AS classed, coalesce(fam, []) AS fs FROM n JOIN g USING (doc_id)),
 c AS (SELECT *, CASE WHEN classed THEN 'confirmed' WHEN severity IN ('high', 'critical') AND n >= 2 THEN 'confirmed' WHEN len(fs) >= 2 OR strong THEN 'confirmed' ELSE 'inferred' END AS confidence FROM d)
 SELECT doc_id, confidence, array_to_string(fs, ',') AS families, CASE len(fs) WHEN 0 THEN 'sensitive' WHEN 1 THEN fs[1] WHEN 2 THEN fs[1] || ' and ' || fs[2] ELSE array_to_string(fs[1:len(fs)-1], ', ') || ', and ' || fs[len(fs)] END || ' information' AS words,

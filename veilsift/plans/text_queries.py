@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from ..operators import clinical as cl
 from ..operators import quality as ql
 from ..operators import texts as tx
 from ..sources import tables
-from .scan_queries import CARD_TEST, _head, _list, _quoted, whole_sql
+from .scan_queries import CARD_TEST, _list, _quoted
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,20 +26,20 @@ def _pick(values: list[str], index):
     return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
 
 
-def tailed(spark: SparkSession, sf_dir: str, cut: int | None = 1500) -> DataFrame:
+def tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, i = tables.spread(tables.table(spark, sf_dir, "documents")), F.col("doc_id")
-    return docs.select("doc_id", "lang", F.concat(_head("text", cut), F.lit("\n"), _pick(TAILS, i % len(TAILS))).alias("text"), _pick(DEPARTMENTS, i % 4).alias("department"))
+    return docs.select("doc_id", "lang", F.concat(F.col("text"), F.lit("\n"), _pick(TAILS, i % len(TAILS))).alias("text"), _pick(DEPARTMENTS, i % 4).alias("department"))
 
 
-TAILED = f"(SELECT doc_id, lang, substr(text, 1, 1500) || chr(10) || ({_list(TAILS)})[(doc_id % {len(TAILS)})::int + 1] AS text, ({_list(DEPARTMENTS)})[(doc_id % 4)::int + 1] AS department FROM documents)"
+TAILED = f"(SELECT doc_id, lang, text || chr(10) || ({_list(TAILS)})[(doc_id % {len(TAILS)})::int + 1] AS text, ({_list(DEPARTMENTS)})[(doc_id % 4)::int + 1] AS department FROM documents)"
 
 
 def _re(p: str, f: str) -> str:
     return _quoted(("(?i)" if "i" in f else "") + p)
 
 
-def locale_score(spark: SparkSession, sf_dir: str, cut: int | None = 1500) -> DataFrame:
-    return tx.with_locale(tailed(spark, sf_dir, cut), "text", None, "lang").select("doc_id", "locale", F.col("locale_confidence").alias("confidence"))
+def locale_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx.with_locale(tailed(spark, sf_dir), "text", None, "lang").select("doc_id", "locale", F.col("locale_confidence").alias("confidence"))
 
 
 def _locale_sql() -> str:
@@ -55,8 +54,8 @@ def _locale_sql() -> str:
     return f"WITH t AS (SELECT doc_id, lower(lang) AS lang, substr(text, 1, 5000) AS s FROM {TAILED}), u AS ({' UNION ALL '.join(parts)}), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, o) AS n FROM u) SELECT doc_id, CASE WHEN score > 0 THEN place ELSE 'unknown' END AS locale, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' WHEN score >= 1 THEN 'low' ELSE 'none' END AS confidence FROM b WHERE n = 1"
 
 
-def dictionary_scan(spark: SparkSession, sf_dir: str, cut: int | None = 1500) -> DataFrame:
-    return tx.dictionary_hits(tailed(spark, sf_dir, cut)).select("doc_id", "id", "severity", "type", "hits")
+def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx.dictionary_hits(tailed(spark, sf_dir)).select("doc_id", "id", "severity", "type", "hits")
 
 
 def _dictionary_sql() -> str:
@@ -110,8 +109,8 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNKS_SQL = "SELECT doc_id, s::int AS start, length(substr(text, s + 1, 1050))::int AS n, md5(substr(text, s + 1, 1050)) AS digest FROM (SELECT doc_id, text, unnest(range(0, length(text)::int, 1000)) AS s FROM documents WHERE length(text) > 0)"
 
 
-def chunk_scan(spark: SparkSession, sf_dir: str, cut: int | None = 1500) -> DataFrame:
-    return tx.chunk_scan(tailed(spark, sf_dir, cut)).select("doc_id", "id", "severity", "offset", "matched")
+def chunk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx.chunk_scan(tailed(spark, sf_dir)).select("doc_id", "id", "severity", "offset", "matched")
 
 
 def _chunk_scan_sql() -> str:
@@ -142,19 +141,19 @@ def metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 METADATA_SQL = "WITH m AS (SELECT c_custkey AS doc_id, concat_ws(' ', nullif(c_name, ''), nullif((['Budget deal', '', 'Employee contract', 'plain'])[(c_custkey % 4)::int + 1], ''), nullif(c_mktsegment, '')) AS t FROM customer) " + " UNION ALL ".join(f"SELECT doc_id, {_quoted(d)} AS description, '{s}' AS severity FROM m WHERE regexp_matches(t, {_re(p, 'i')})" for p, _, d, s in tx.METADATA_RULES)
 
 
-def transactional(spark: SparkSession, sf_dir: str, cut: int | None = 1500) -> DataFrame:
-    return tailed(spark, sf_dir, cut).select("doc_id", tx.is_transactional(F.col("text")).alias("transactional"))
+def transactional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tailed(spark, sf_dir).select("doc_id", tx.is_transactional(F.col("text")).alias("transactional"))
 
 
 TRANSACTIONAL_SQL = f"SELECT doc_id, length(text) >= 50 AND ({' + '.join(f'regexp_matches(text, {_re(p, f)})::int' for p, f in tx.TRANSACTIONAL)}) >= 3 AS transactional FROM {TAILED}"
 
 
-def markup(spark: SparkSession, sf_dir: str, cut: int | None = 500) -> DataFrame:
+def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.array_join(tx.tag_texts(F.col("html"), "p"), "|").alias("paragraphs"), tx.decode_entities(F.concat(F.lit("&lt;a&amp;lt;&#65;&#228;&quot;&#10;"), _head("html", cut))).alias("decoded"))
+    return pages.select("page_id", F.array_join(tx.tag_texts(F.col("html"), "p"), "|").alias("paragraphs"), tx.decode_entities(F.concat(F.lit("&lt;a&amp;lt;&#65;&#228;&quot;&#10;"), F.col("html"))).alias("decoded"))
 
 
-_NAMED = "replace(replace(replace(replace(replace('&lt;a&amp;lt;&#65;&#228;&quot;&#10;' || substr(html, 1, 500), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '\"'), '&apos;', '''')"
+_NAMED = "replace(replace(replace(replace(replace('&lt;a&amp;lt;&#65;&#228;&quot;&#10;' || html, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '\"'), '&apos;', '''')"
 MARKUP_SQL = f"""
 SELECT page_id, array_to_string(regexp_extract_all(html, '(?i)<(?:\\w+:)?p(?:\\s[^>]*)?>([^<]*)<', 1), '|') AS paragraphs,
   array_to_string(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN i % 2 = 0 THEN chr(a[i]::int) ELSE a[i] END), '') AS decoded
@@ -176,16 +175,16 @@ SIGNATURES_SQL = f"SELECT doc_id, {_KINDS} AS type, CASE WHEN {_KINDS} = 'unknow
 GARBLE = ["", "\x01\x02\x03" * 40, "%PDF-1.7 ", "endobj endstream xref " * 40, "a b c d e f g h i j k l " * 20]
 
 
-def extraction_quality(spark: SparkSession, sf_dir: str, cut: int | None = 200) -> DataFrame:
+def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, i = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id")
-    t = F.concat(_pick(GARBLE, i % len(GARBLE)), _head("text", cut))
+    t = F.concat(_pick(GARBLE, i % len(GARBLE)), F.col("text"))
     return docs.select("doc_id", ql.extraction_quality(t).alias("quality"))
 
 
 def _quality_sql() -> str:
     heads = ", ".join("''" if not g else " || ".join(f"chr({ord(c)})" for c in g) if any(ord(c) < 32 for c in g) else _quoted(g) for g in GARBLE)
     return f"""
-WITH t AS (SELECT doc_id, ([{heads}])[(doc_id % {len(GARBLE)})::int + 1] || substr(text, 1, 200) AS t FROM documents),
+WITH t AS (SELECT doc_id, ([{heads}])[(doc_id % {len(GARBLE)})::int + 1] || text AS t FROM documents),
 m AS (SELECT *, len(regexp_extract_all(t, '\\b(?:endobj|endstream|xref)\\b')) / greatest(len(regexp_split_to_array(t, '\\s+')), 1) AS tokens, substr(t, 1, 2000) AS s FROM t),
 r AS (SELECT *, length(regexp_replace(s, '[^\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\x{{FFFD}}]', '', 'g')) / greatest(length(s), 1) AS bad,
   list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '') AS w, list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '') AS sw FROM m),
@@ -198,9 +197,9 @@ SELECT doc_id, CASE WHEN starts_with(t, '%PDF-') THEN 'blocked' WHEN length(t) <
 LABS = ["Hb 13.5 g/dL (12.0 - 16.0) and K 4.1 mmol/L", "BP 120/80 pulse: 72 BMI 24.5", "glucose 5.4 mmol/L", "ref: 3.5-5.0 far away" + " x" * 90 + " 12 ng/mL", "TSH 2.1 mIU/L [0.4 - 4.0]", "no lab values"]
 
 
-def clinical_scan(spark: SparkSession, sf_dir: str, cut: int | None = 300) -> DataFrame:
+def clinical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.spread(tables.table(spark, sf_dir, "documents"))
-    return cl.clinical_findings(docs.select("doc_id", F.concat(_head("text", cut), F.lit(" "), _pick(LABS, F.col("doc_id") % len(LABS))).alias("text")))
+    return cl.clinical_findings(docs.select("doc_id", F.concat(F.col("text"), F.lit(" "), _pick(LABS, F.col("doc_id") % len(LABS))).alias("text")))
 
 
 def _places_sql(rows: list[tuple[str, str, str]]) -> str:
@@ -214,7 +213,7 @@ def _places_sql(rows: list[tuple[str, str, str]]) -> str:
 
 def _clinical_sql() -> str:
     return f"""
-WITH t AS (SELECT doc_id, substr(text, 1, 300) || ' ' || ({_list(LABS)})[(doc_id % {len(LABS)})::int + 1] AS text FROM documents),
+WITH t AS (SELECT doc_id, text || ' ' || ({_list(LABS)})[(doc_id % {len(LABS)})::int + 1] AS text FROM documents),
 u AS ({_places_sql([(p, f, n.lower()) for p, f, n in cl.UNITS])}), r AS ({_places_sql([(p, f, 'range') for p, f in cl.RANGES])}), v AS ({_places_sql([(p, f, 'vital') for p, f in cl.VITALS])}),
 c AS (SELECT DISTINCT a.doc_id FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.name <> b.name AND abs(a.place - b.place) <= 500), n AS (SELECT DISTINCT u.doc_id FROM u JOIN r ON u.doc_id = r.doc_id AND abs(u.place - r.place) <= 100)
 SELECT t.doc_id, (SELECT count(*) FROM u WHERE u.doc_id = t.doc_id) AS units, (SELECT count(DISTINCT name) FROM u WHERE u.doc_id = t.doc_id) AS distinct_units, (SELECT count(*) FROM r WHERE r.doc_id = t.doc_id) AS ranges, (SELECT count(*) FROM v WHERE v.doc_id = t.doc_id) AS vitals,
@@ -234,24 +233,15 @@ def _cut(n: int) -> str:
 CAPS_SQL = f"SELECT doc_id, {_cut(80)} AS headline, {_cut(140)} AS summary, substr(regexp_replace(substr(text, 21, 170), '[\\r\\n]+', ' ', 'g'), 1, 220) AS evidence FROM documents"
 
 
-#: Queries that read a head of each text, and the head as their SQL has it; NAME_whole reads all of it.
-HEADS_OF = {
-    "locale_score": (locale_score, "substr(text, 1, 1500)"), "dictionary_scan": (dictionary_scan, "substr(text, 1, 1500)"), "chunk_scan": (chunk_scan, "substr(text, 1, 1500)"), "transactional": (transactional, "substr(text, 1, 1500)"),
-    "markup": (markup, "substr(html, 1, 500)"), "extraction_quality": (extraction_quality, "substr(text, 1, 200)"), "clinical_scan": (clinical_scan, "substr(text, 1, 300)"),
-}
-
-
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {
+    return {
         "locale_score": locale_score, "dictionary_scan": dictionary_scan, "destinations": destinations, "chunk_rows": chunk_rows, "chunk_scan": chunk_scan, "filename_scan": filename_scan, "metadata_scan": metadata_scan,
         "transactional": transactional, "markup": markup, "file_signatures": file_signatures, "extraction_quality": extraction_quality, "text_caps": text_caps, "clinical_scan": clinical_scan, "activations": activations,
     }
-    return out | {f"{k}_whole": partial(f, cut=None) for k, (f, _) in HEADS_OF.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {
+    return {
         "locale_score": _locale_sql(), "dictionary_scan": _dictionary_sql(), "destinations": DESTINATIONS_SQL, "chunk_rows": CHUNKS_SQL, "chunk_scan": _chunk_scan_sql(), "filename_scan": FILENAME_SQL, "metadata_scan": METADATA_SQL,
         "transactional": TRANSACTIONAL_SQL, "markup": MARKUP_SQL, "file_signatures": SIGNATURES_SQL, "extraction_quality": _quality_sql(), "text_caps": CAPS_SQL, "clinical_scan": _clinical_sql(), "activations": ACTIVATIONS_SQL,
     }
-    return out | {f"{k}_whole": whole_sql(out[k], head) for k, (_, head) in HEADS_OF.items()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import normalize as nz
-from ..operators import scan
+from ..operators import scan, severity
 
 LEAST_TEXT = 20
 EVENTS = "request_id string, source string, text string, ts timestamp"
@@ -35,8 +35,8 @@ def debounced(events: DataFrame, quiet: str = "200 milliseconds", late: str = "1
 
 
 def risk_rates(signals: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Findings by type in tumbling windows."""
-    return signals.withWatermark("ts", late).groupBy(F.window("ts", width), "type").agg(F.count(F.lit(1)).alias("findings"), F.max("severity").alias("any_severity"))
+    """Findings by type in tumbling windows, and the worst severity among them."""
+    return signals.withWatermark("ts", late).groupBy(F.window("ts", width), "type").agg(F.count(F.lit(1)).alias("findings"), severity.level(F.max(severity.rank(F.col("severity")))).alias("any_severity"))
 
 
 def latest_request(events: DataFrame, timeout: str = "30 seconds", late: str = "10 minutes") -> DataFrame:
