@@ -1,4 +1,9 @@
-"""A corpus pipeline: filter by quality, drop recurring lines, drop near-duplicates, mix, pack."""
+"""A corpus pipeline: filter by quality, drop recurring lines, drop near-duplicates, mix, pack.
+
+Every stage keeps the columns of its input (other columns, whatever their names, go along), gives no
+rows for an empty table and stands null ids, null, empty and very long texts and repeated rows as its
+operator's docstring says.
+"""
 
 from __future__ import annotations
 
@@ -8,27 +13,39 @@ from veilsift.llm import common, line_templates, minhash, mixing, packing, quali
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling rejects go."""
+    """Documents that importance resampling rejects go.
+
+    Null and empty texts weigh 1 and compete like others; rows tied with the last one that stays all stay.
+    """
     return quality.filter_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go from all documents but the first; documents made of such lines alone go too."""
+    """Recurring lines go from all documents but the first; documents made of such lines alone go too.
+
+    Null and blank texts stay as they are, and so do rows with a null doc_id.
+    """
     return line_templates.without_recurring_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id.
+
+    Texts without words and rows with a null doc_id stay; rows that repeat a kept doc_id stay.
+    """
     return minhash.near_dedup(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that sources, languages and topics meet their target token weights."""
+    """Documents sampled so that sources, languages and topics meet their target token weights.
+
+    Null sources and languages are values of their own; repeated rows stay or go together.
+    """
     return mixing.mixed(docs, share=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences of at most 4096 tokens."""
+    """Pieces of all documents, placed in sequences of at most 4096 tokens; an empty text is its end token alone."""
     return packing.pack_documents(docs)
 
 
