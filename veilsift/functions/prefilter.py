@@ -14,6 +14,8 @@ from re import _parser as parser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import strings
+
 _MOST = 400
 _MARKS = "@:/=-"
 
@@ -137,9 +139,10 @@ def marks(pattern: str) -> set[str]:
 
 def facts(text: Column) -> dict[str, Column]:
     """Facts of a text, as columns by name."""
-    starts = F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?:(?<![a-z0-9_])|(?<!\p{L}))(?=(\p{L}.{2}))"), F.lit(1))
-    shorts = F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?:(?<![a-z0-9_])|(?<!\p{L}))(?=(\p{L}.))"), F.lit(1))
-    return {"__starts3": F.array_distinct(starts), "__starts2": F.array_distinct(shorts), "__digits": F.length(F.regexp_replace(text, "[^0-9]", ""))}
+    # a start is a letter after anything but a-z: what either kind of word boundary allows; the blank ends the last word
+    starts = F.array_distinct(F.regexp_extract_all(F.concat(F.lower(text), F.lit(" ")), F.lit(r"(?s)(?<![a-z])(?=(\p{L}.{2}))"), F.lit(1)))
+    shorts = F.transform(starts, lambda s: F.substring(s, 1, 2))
+    return {"__starts3": starts, "__starts2": F.array_distinct(shorts), "__digits": F.length(F.regexp_replace(text, "[^0-9]", ""))}
 
 
 def may_match(text: Column, pattern: str, flags: str = "") -> Column:
@@ -148,7 +151,7 @@ def may_match(text: Column, pattern: str, flags: str = "") -> Column:
     found = word_prefixes(pattern)
     if found:
         k, prefixes = found
-        tests.append(F.arrays_overlap(F.col(f"__starts{k}"), F.array(*[F.lit(p) for p in sorted(prefixes)])))
+        tests.append(F.arrays_overlap(F.col(f"__starts{k}"), strings(sorted(prefixes))))
     digits = least_digits(pattern)
     if digits > 1:
         tests.append(F.col("__digits") >= digits)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prefilter
-from ..functions.patterns import count_matches, first_match, found, java_regex, place_of
+from ..functions.patterns import count_matches, first_match, found, java_regex, place_of, strings
 from ..plans.rules import RULES, Rule
 from . import gates
 
@@ -116,7 +117,7 @@ def _judged(rows: DataFrame, rules: list[Rule], source: str, keep: list[str]) ->
     """Gates over rows of matches; the text is carried only along the few that matched."""
     text, seq, m, p = F.col("__text"), F.col("seq"), F.col("matched"), F.col("place")
     at = lambda ids: [i for i, r in enumerate(rules) if r.id in ids] or [-1]
-    pattern = F.element_at(F.array(*[F.lit(java_regex(r.regex, r.flags)) for r in rules]), seq + 1)
+    pattern = F.element_at(strings(java_regex(r.regex, r.flags) for r in rules), seq + 1)
     rows = rows.withColumn("place", F.when(m.isNotNull(), place_of(text, pattern)).cast("int"))
     numbers = {r.id: i for i, r in enumerate(rules) if r.id in gates.NATIONAL_IDS}
     for columns in gates.national_id_columns(numbers, seq, m, text, p) if numbers else ():
@@ -136,8 +137,10 @@ def _judged(rows: DataFrame, rules: list[Rule], source: str, keep: list[str]) ->
     if numbers:
         confidence = confidence.when(seq.isin(*numbers.values()), F.col("__id_confidence"))
     spelled = [(r.count_text.split("{count}") if r.count_text else ["", f" {r.name}"]) if r.min_count else None for r in rules]
-    facts = [F.struct(F.lit(NATIONAL_ID if r.id in numbers else r.id).alias("id"), F.lit(r.id).alias("pattern_id"), F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"), F.lit(s[0] if s else r.description).alias("before"), F.lit(s[1] if s else "").alias("after"), F.lit(bool(s)).alias("counted")) for r, s in zip(rules, spelled, strict=True)]
-    rule = F.element_at(F.array(*facts), seq + 1)
+    facts = [(NATIONAL_ID if r.id in numbers else r.id, r.id, r.type, r.severity, s[0] if s else r.description, s[1] if s else "", bool(s)) for r, s in zip(rules, spelled, strict=True)]
+    names = ("id", "pattern_id", "type", "severity", "before", "after", "counted")
+    table = F.from_json(F.lit(json.dumps([dict(zip(names, f, strict=True)) for f in facts])), "array<struct<id: string, pattern_id: string, type: string, severity: string, before: string, after: string, counted: boolean>>")
+    rule = F.element_at(table, seq + 1)
     # likewise an outer explode, where a filter would be pushed below the columns it reads and spell them again
     rows = rows.withColumn("__rule", rule).withColumn("confidence", confidence)
     rows = rows.withColumn("__good", F.explode_outer(F.when(good, F.array(F.lit(1))))).where("__good is not null")

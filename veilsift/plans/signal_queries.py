@@ -12,6 +12,7 @@ from ..operators import framing as fr
 from ..operators import heuristics as he
 from ..operators import proximity as prox
 from ..operators import severity as sev
+from ..sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,7 +121,8 @@ SELECT doc_id, seq, policy_key, policy_id, {_level(f"CASE WHEN policy_id IS NULL
 
 
 def agg_max_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.range(320).withColumnRenamed("id", "doc_id")
+    # every group of events, and 20 documents without signals
+    docs = tables.table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 4).alias("doc_id")).distinct().unionByName(spark.range(20).select((-1 - F.col("id")).alias("doc_id")))
     out = sev.aggregate_severity(docs, few_signals(spark, sf_dir))
     return out.select("doc_id", "severity", F.array_join("driving_ids", ",").alias("driving_ids"), F.array_join("driving_sources", ",").alias("driving_sources"), "signal_count")
 
@@ -130,7 +132,7 @@ WITH s AS (SELECT *, {_rank('severity')} AS r, coalesce(id, type || ':' || subst
 t AS (SELECT doc_id, max(r) AS r, count(*) AS n FROM s GROUP BY doc_id),
 g AS (SELECT t.doc_id, t.r, t.n, string_agg(sid, ',' ORDER BY coalesce(confidence, 0.5) DESC, sid) AS ids, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM t JOIN s ON s.doc_id = t.doc_id AND s.r = t.r GROUP BY ALL)
 SELECT d.doc_id, coalesce({_level('g.r')}, 'none') AS severity, coalesce(ids, '') AS driving_ids, coalesce(sources, '') AS driving_sources, coalesce(n, 0) AS signal_count
-FROM (SELECT range AS doc_id FROM range(320)) d LEFT JOIN g USING (doc_id)"""
+FROM (SELECT DISTINCT event_id // 4 AS doc_id FROM events UNION ALL SELECT -1 - range FROM range(20)) d LEFT JOIN g USING (doc_id)"""
 
 
 def severity_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
