@@ -220,6 +220,39 @@ SELECT t.doc_id, (SELECT count(*) FROM u WHERE u.doc_id = t.doc_id) AS units, (S
   t.doc_id IN (SELECT doc_id FROM c) AS unit_cluster, t.doc_id IN (SELECT doc_id FROM n) AS unit_near_range, t.doc_id IN (SELECT doc_id FROM c) OR t.doc_id IN (SELECT doc_id FROM n) AS is_medical FROM t"""
 
 
+#: What follows each text, by doc_id: clustered codes, one code, scattered ones, look-alikes, a code with a unit.
+CODES = [
+    "Dx E11.9, I10 and M75.1 noted", "see section A04 below", (" x" * 300).join(["A04", "B15.1", "C34", "D50", "E11", "F32.1", "G40", "H25", "J45", "K21"]), "print on A4 paper A10, B2B B20 or C++ C10", "E11.9 with glucose 5.4 mmol/L (3.5 - 5.0)", "U07.1 and X59 are left out", "i10 I10.12 I10.123", "none",
+]
+
+
+def clinical_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.spread(tables.table(spark, sf_dir, "documents"))
+    planted = docs.select("doc_id", F.concat(F.col("text"), F.lit("\n"), _pick(CODES, F.col("doc_id") % len(CODES))).alias("text"))
+    return cl.ontology(planted).select("doc_id", F.array_join("icd_codes", ",").alias("icd_codes"), "chapters", "base_codes", "clustered", "low_coherence", "is_medical", "confidence", "rule", "structures")
+
+
+def _ontology_sql() -> str:
+    alike = "|".join(cl.NOT_ICD)
+    structures = _clinical_sql().replace(_list(LABS), _list(CODES)).replace(f"% {len(LABS)})", f"% {len(CODES)})").replace("|| ' ' ||", "|| chr(10) ||")
+    return f"""
+WITH s AS ({structures}), t AS (SELECT doc_id, text || chr(10) || ({_list(CODES)})[(doc_id % {len(CODES)})::int + 1] AS text FROM documents),
+h AS ({_places_sql([(cl.ICD, "", "icd")]).replace("AS place FROM", "AS place, a[i] AS code FROM")}),
+k AS (SELECT h.doc_id, code, min(place) AS place FROM h JOIN t USING (doc_id) WHERE code[1] NOT IN ('U', 'X')
+  AND NOT regexp_matches(substr(text, greatest(place - 10, 0) + 1, place + length(code) + 10 - greatest(place - 10, 0)), {_quoted("(?i)" + alike)}) GROUP BY ALL),
+c AS (SELECT doc_id, string_agg(code, ',' ORDER BY place) AS codes, count(*) AS n, count(DISTINCT code[1]) AS chapters, count(DISTINCT code[1:3]) AS bases FROM k GROUP BY 1),
+a AS ({_places_sql([(cl.ICD_ANY_CASE, "", "icd")]).replace("AS place FROM", "AS place, a[i] AS code FROM")}),
+p AS (SELECT a.doc_id, a.place FROM a JOIN k ON a.doc_id = k.doc_id AND upper(a.code) = k.code UNION ALL SELECT a.doc_id, a.place FROM a JOIN k ON a.doc_id = k.doc_id AND length(a.code) > 3 AND upper(a.code[1:3]) = k.code),
+g AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, place, lead(place, 2) OVER (PARTITION BY doc_id ORDER BY place) AS third FROM p) WHERE third - place <= 500),
+f AS (SELECT s.doc_id, unit_cluster, unit_near_range, coalesce(codes, '') AS codes, coalesce(n, 0) AS n, coalesce(chapters, 0) AS chapters, coalesce(bases, 0) AS bases, s.doc_id IN (SELECT doc_id FROM g) AS clustered,
+  unit_cluster OR unit_near_range OR vitals >= 2 OR ranges >= 2 AS other FROM s LEFT JOIN c ON s.doc_id = c.doc_id),
+l AS (SELECT *, n >= 10 AND chapters >= 8 AND NOT clustered AS low FROM f),
+r AS (SELECT *, CASE WHEN n > 0 AND (other OR NOT (low OR n = 1)) THEN '{cl.RULES["icd"]}' WHEN unit_cluster THEN '{cl.RULES["cluster"]}' WHEN unit_near_range THEN '{cl.RULES["range"]}' WHEN n > 0 THEN '{cl.RULES["low"]}' ELSE '{cl.RULES["none"]}' END AS rule FROM l)
+SELECT doc_id, codes AS icd_codes, chapters, bases AS base_codes, clustered, low AS low_coherence, rule[5:7]::int IN (1, 2, 3) AS is_medical,
+  CASE rule[5:7]::int WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'medium' WHEN 5 THEN 'low' ELSE 'none' END AS confidence, rule,
+  (rule[5:7]::int = 1)::int + unit_cluster::int + unit_near_range::int AS structures FROM r"""
+
+
 def text_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", tx.truncated(F.col("text"), 80).alias("headline"), tx.truncated(F.col("text"), 140).alias("summary"), tx.evidence_window(F.col("text"), F.lit(100), F.lit(10)).alias("evidence"))
@@ -236,12 +269,12 @@ CAPS_SQL = f"SELECT doc_id, {_cut(80)} AS headline, {_cut(140)} AS summary, subs
 def queries() -> dict[str, Query]:
     return {
         "locale_score": locale_score, "dictionary_scan": dictionary_scan, "destinations": destinations, "chunk_rows": chunk_rows, "chunk_scan": chunk_scan, "filename_scan": filename_scan, "metadata_scan": metadata_scan,
-        "transactional": transactional, "markup": markup, "file_signatures": file_signatures, "extraction_quality": extraction_quality, "text_caps": text_caps, "clinical_scan": clinical_scan, "activations": activations,
+        "transactional": transactional, "markup": markup, "file_signatures": file_signatures, "extraction_quality": extraction_quality, "text_caps": text_caps, "clinical_scan": clinical_scan, "clinical_ontology": clinical_ontology, "activations": activations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "locale_score": _locale_sql(), "dictionary_scan": _dictionary_sql(), "destinations": DESTINATIONS_SQL, "chunk_rows": CHUNKS_SQL, "chunk_scan": _chunk_scan_sql(), "filename_scan": FILENAME_SQL, "metadata_scan": METADATA_SQL,
-        "transactional": TRANSACTIONAL_SQL, "markup": MARKUP_SQL, "file_signatures": SIGNATURES_SQL, "extraction_quality": _quality_sql(), "text_caps": CAPS_SQL, "clinical_scan": _clinical_sql(), "activations": ACTIVATIONS_SQL,
+        "transactional": TRANSACTIONAL_SQL, "markup": MARKUP_SQL, "file_signatures": SIGNATURES_SQL, "extraction_quality": _quality_sql(), "text_caps": CAPS_SQL, "clinical_scan": _clinical_sql(), "clinical_ontology": _ontology_sql(), "activations": ACTIVATIONS_SQL,
     }
