@@ -14,7 +14,7 @@ from re import _parser as parser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import strings
+from .patterns import found, strings
 
 _MOST = 400
 _MARKS = "@:/=-"
@@ -160,3 +160,8 @@ def may_match(text: Column, pattern: str, flags: str = "") -> Column:
     for t in tests:
         out = out & t
     return out
+
+
+def holds(text: Column, pattern: str, flags: str = "", guarded: bool = True) -> Column:
+    """Whether the expression occurs; guarded, after the cheap conditions over the columns of ``facts``."""
+    return (may_match(text, pattern, flags) & found(text, pattern, flags)) if guarded else found(text, pattern, flags)

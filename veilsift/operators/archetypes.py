@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import prefilter
 from ..functions.patterns import found
 from ..plans import archetype_words as words
 from .severity import level, rank
@@ -20,6 +21,14 @@ THRESHOLDS = {"template_governance": (1, 3, 5), "policy_standard": (1, 3, 5), "c
 VETO_KEYWORDS = ["template_governance", "policy_standard", "aggregate_hr_finance"]
 VETO_CLASSES = {"invoice_receipt": ["doc.legal_contract"], "education_school": ["doc.hr_record"], "template_governance": ["doc.hr_record", "doc.legal_contract"], "policy_standard": ["doc.hr_record", "doc.legal_contract"], "clinical_reference": ["doc.medical_record"]}
 GENERIC_IDS = ["registry-hr-employee", "english-hr-performance", "english-hr-compensation", "global-swift", "english-financial-statement", "nordic-financial-terms", "global-financial-report"]
+# Signals that no archetype may silence, and the most severe that summaries of staff and finance get without one.
+PROTECTED_IDS = [
+    "global-national-id", "global-dk-cpr", "global-se-personnummer", "global-no-fnr", "global-fi-hetu", "registry-dk-cpr", "registry-se-personnummer", "registry-no-fnr", "registry-fi-hetu", "registry-ssn-us",
+    "global-email", "registry-email", "global-phone", "registry-phone",
+    "global-iban", "global-credit-card", "registry-credit-card", "global-bank-account",
+    "global-api-key-sk", "global-aws-access-key", "global-password-assignment",
+]
+SEVERITY_CAPS = {"aggregate_hr_finance": "medium"}
 # Groups of signals that contracts look at.
 GROUPS = {
     "identity_strong": ["global-national-id", "global-dk-cpr", "global-se-personnummer", "global-no-fnr", "registry-ssn-us", "registry-dk-cpr", "registry-se-personnummer", "registry-no-fnr"],
@@ -50,11 +59,11 @@ CONTRACTS: dict[str, tuple[str, list[tuple[list[str], str]]]] = {
 BUSINESS = [(r"\bVAT\b", "i"), (r"\bCVR\b", "i"), (r"\bOrg\.?\s*(?:nr|nummer)\b", "i"), (r"\bInc\b", "i"), (r"\bLtd\b", "i"), (r"\bGmbH\b", "i"), (r"\bApS\b", "i"), (r"\bA\/S\b", "i"), (r"\bAB\b", ""), (r"\bAS\b", ""), (r"\bSARL\b", "i"), (r"\bSL\b", ""), (r"\bAG\b", "")]
 
 
-def _hits(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [found(text, p, "i").cast("int") for p in patterns])
+def _hits(text: Column, patterns: list[str], guarded: bool) -> Column:
+    return reduce(lambda a, b: a + b, [prefilter.holds(text, p, "i", guarded).cast("int") for p in patterns])
 
 
-def detect(text: Column) -> Column:
+def detect(text: Column, guarded: bool = False) -> Column:
     """Archetypes of a text, strong ones first, then by number of marks: array of (id, strong, marks).
 
     Texts under 50 characters have none; equals stay in ORDER; two marks of a contract rule out a policy.
@@ -63,11 +72,11 @@ def detect(text: Column) -> Column:
     for a in ORDER:
         strong_marks, other = words.MARKERS[SHARED.get(a, a)]
         least_strong, least, enough = THRESHOLDS.get(a, (1, 2, 4))
-        strong = _hits(text, strong_marks)
-        total = strong + _hits(text, other)
+        strong = _hits(text, strong_marks, guarded)
+        total = strong + _hits(text, other, guarded)
         fits = total >= least
         if a == "policy_standard":
-            fits = fits & (_hits(text, words.CONTRACT) < 2)
+            fits = fits & (_hits(text, words.CONTRACT, guarded) < 2)
         is_strong = (strong >= least_strong) | (total >= enough)
         found_.append(F.when(fits, F.struct((~is_strong).alias("weak"), (-total).alias("less"), F.lit(order[a]).alias("k"), F.lit(a).alias("id"))))
     ranked = F.array_sort(F.array_compact(F.array(*found_)))
@@ -98,6 +107,19 @@ def vetoed_class(document_class: Column, matches: Column) -> Column:
     return F.when(~F.coalesce(out, F.lit(False)), document_class)
 
 
+def protected(ids: Column) -> Column:
+    """Whether any signal points to a person, an account or a secret."""
+    return F.arrays_overlap(ids, F.array(*[F.lit(k) for k in PROTECTED_IDS]))
+
+
+def capped(severity: Column, ids: Column, matches: Column) -> Column:
+    """The severity, capped where a strong archetype has a cap and no signal is protected."""
+    most = F.lit(4)
+    for a, cap_ in SEVERITY_CAPS.items():
+        most = F.when(F.array_contains(strong_ids(matches), a), F.least(most, rank(F.lit(cap_)))).otherwise(most)
+    return F.when(protected(ids), severity).otherwise(level(F.least(rank(severity), most)))
+
+
 def groups(ids: Column) -> Column:
     """The groups that the ids are of."""
     return F.array_compact(F.array(*[F.when(F.arrays_overlap(ids, F.array(*[F.lit(k) for k in known])), g) for g, known in GROUPS.items()]))

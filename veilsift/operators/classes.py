@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import found, java_regex
+from ..functions import prefilter
+from ..functions.patterns import java_regex
 from ..plans import class_words as words
+from . import archetypes as arch
 from .severity import level, rank
 
 # Signals that count for a class, three points (primary) or one (supporting) each.
@@ -55,40 +57,53 @@ URL_NOISE = ["secret.url_with_credentials", "secret.embedded_credentials"]
 SWIFT_NOISE = ["financial.swift", "registry-banking-terms"]
 
 
-def hits(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """How many of the expressions a text holds."""
-    return reduce(lambda a, b: a + b, [found(text, p, f).cast("int") for p, f in patterns])
+MARKERS = (
+    "payroll_words", "hr_words", "insurance_words", "medical_words", "name_words", "invoice_points", "certificate_points", "structure_points", "patient_words", "ticket", "resume", "transfer",
+)
 
 
-def holds(text: Column, patterns: list[tuple[str, str]]) -> Column:
+Patterns = list[tuple[str, str]]
+
+
+def hits(text: Column, patterns: Patterns, guarded: bool = False) -> Column:
+    """How many of the expressions a text holds; guarded ones ask the columns of ``prefilter.facts`` first."""
+    return reduce(lambda a, b: a + b, [prefilter.holds(text, p, f, guarded).cast("int") for p, f in patterns])
+
+
+def holds(text: Column, patterns: Patterns, guarded: bool = False) -> Column:
     """Whether a text holds any of them: one expression for each set of flags."""
+    if guarded:
+        return reduce(lambda a, b: a | b, [prefilter.holds(text, p, f) for p, f in patterns])
     out = F.lit(False)
     for flags in sorted({f for _, f in patterns}):
         out = out | text.rlike("|".join(f"(?:{java_regex(p, flags)})" for p, f in patterns if f == flags))
     return out
 
 
-def keyword_count(text: Column, strong: list[tuple[str, str]], plain: list[tuple[str, str]]) -> Column:
+def keyword_count(text: Column, strong: Patterns, plain: Patterns, guarded: bool = False) -> Column:
     """3 where a strong word is there, else the number of plain ones; from 2 on the words count for the class."""
-    count = hits(text, plain)
-    return F.when(holds(text, strong), 3).otherwise(count) if strong else count
+    count = hits(text, plain, guarded)
+    return F.when(holds(text, strong, guarded), 3).otherwise(count) if strong else count
 
 
-def points(text: Column, strong: list[tuple[str, str]], weak: list[tuple[str, str]]) -> Column:
+def points(text: Column, strong: Patterns, weak: Patterns, guarded: bool = False) -> Column:
     """Three points a strong mark, one a weak one; 0 without a strong mark or in texts under 50 characters."""
-    most = hits(text, strong)
-    return F.when((F.length(text) >= 50) & (most > 0), 3 * most + hits(text, weak)).otherwise(0)
+    most = hits(text, strong, guarded)
+    return F.when((F.length(text) >= 50) & (most > 0), 3 * most + hits(text, weak, guarded)).otherwise(0)
 
 
-def structure_points(text: Column, filename: Column) -> Column:
+def structure_points(text: Column, filename: Column, guarded: bool = False) -> Column:
     """Points for the structure of a contract: numbered clauses, signatures, parties, the file's name."""
-    numbers = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(java_regex(p, f)), F.lit(0)) for p, f in words.CLAUSES])))
-    clauses, signed, parties = F.size(numbers), hits(text, words.SIGNATURES), hits(text, words.PARTIES)
+    each = [F.regexp_extract_all(text, F.lit(java_regex(p, f)), F.lit(0)) for p, f in words.CLAUSES]
+    if guarded:
+        each = [F.when(prefilter.may_match(text, p, f), e).otherwise(F.array().cast("array<string>")) for e, (p, f) in zip(each, words.CLAUSES, strict=True)]
+    numbers = F.array_distinct(F.flatten(F.array(*each)))
+    clauses, signed, parties = F.size(numbers), hits(text, words.SIGNATURES, guarded), hits(text, words.PARTIES, guarded)
     name = F.translate(F.lower(F.coalesce(filename, F.lit(""))), "_", " ")
     total = (
         F.when(clauses >= 10, 4).when(clauses >= 6, 3).when(clauses >= 3, 1).otherwise(0)
         + F.when(signed >= 2, 3).when(signed == 1, 1).otherwise(0)
-        + F.when(holds(text, words.E_SIGNATURES), 2).otherwise(0)
+        + F.when(holds(text, words.E_SIGNATURES, guarded), 2).otherwise(0)
         + F.when(name.rlike("contract|kontrakt|avtale|aftale|agreement|vertrag"), 2).otherwise(0)
         + F.when(name.rlike("docusign|hellosign|adobesign|pandadoc"), 2).otherwise(0)
         + F.when(parties >= 2, 2).when(parties == 1, 1).otherwise(0)
@@ -96,29 +111,29 @@ def structure_points(text: Column, filename: Column) -> Column:
     return F.when(F.length(text) >= 200, total).otherwise(0)
 
 
-def markers(docs: DataFrame, text_col: str = "text", filename_col: str | None = None) -> DataFrame:
+def markers(docs: DataFrame, text_col: str = "text", filename_col: str | None = None, guarded: bool = False) -> DataFrame:
     """Adds what the words of a text and its file's name say: counts, points and contexts. Narrow.
 
     payroll_words, hr_words, insurance_words, medical_words, name_words, invoice_points,
     certificate_points, structure_points, patient_words, ticket, resume, transfer. Null texts and
-    names count as empty.
+    names count as empty. ``guarded``: ``docs`` has the columns of ``prefilter.facts`` of the text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     name = F.coalesce(F.col(filename_col), F.lit("")) if filename_col else F.lit("")
     plain, bare = F.translate(text, "_", " "), F.translate(name, "_", " ")
     return docs.withColumns({
-        "payroll_words": keyword_count(text, words.STRONG_PAYROLL, words.PAYROLL),
-        "hr_words": keyword_count(text, words.STRONG_HR, words.HR),
-        "insurance_words": keyword_count(text, [], words.INSURANCE),
-        "medical_words": keyword_count(plain, words.STRONG_MEDICAL, words.MEDICAL),
+        "payroll_words": keyword_count(text, words.STRONG_PAYROLL, words.PAYROLL, guarded),
+        "hr_words": keyword_count(text, words.STRONG_HR, words.HR, guarded),
+        "insurance_words": keyword_count(text, [], words.INSURANCE, guarded),
+        "medical_words": keyword_count(plain, words.STRONG_MEDICAL, words.MEDICAL, guarded),  # blanks for underscores change no fact
         "name_words": keyword_count(bare, words.STRONG_MEDICAL, words.MEDICAL) if filename_col else F.lit(0),
-        "invoice_points": points(text, words.INVOICE_STRONG, words.INVOICE_WEAK),
-        "certificate_points": points(text, words.CERTIFICATE_STRONG, words.CERTIFICATE_WEAK),
-        "structure_points": structure_points(text, name),
-        "patient_words": holds(text, words.PATIENT) | (holds(bare, words.PATIENT) if filename_col else F.lit(False)),
-        "ticket": (F.length(text) >= 50) & (hits(text, words.TICKET) >= 2),
-        "resume": (F.length(text) >= 100) & (hits(text, words.RESUME) >= 2),
-        "transfer": (F.length(text) >= 20) & holds(text, words.TRANSFER),
+        "invoice_points": points(text, words.INVOICE_STRONG, words.INVOICE_WEAK, guarded),
+        "certificate_points": points(text, words.CERTIFICATE_STRONG, words.CERTIFICATE_WEAK, guarded),
+        "structure_points": structure_points(text, name, guarded),
+        "patient_words": holds(text, words.PATIENT, guarded) | (holds(bare, words.PATIENT) if filename_col else F.lit(False)),
+        "ticket": (F.length(text) >= 50) & (hits(text, words.TICKET, guarded) >= 2),
+        "resume": (F.length(text) >= 100) & (hits(text, words.RESUME, guarded) >= 2),
+        "transfer": (F.length(text) >= 20) & holds(text, words.TRANSFER, guarded),
     })
 
 
@@ -208,6 +223,22 @@ def noise(ids: Column, cls: Column, card_holder: Column) -> Column:
     return F.array_sort(F.when(cls.isNotNull(), classed).when(F.col("ticket"), ticket).when(F.col("resume"), keep(RESUME_NOISE)).otherwise(none))
 
 
+def classified(out: DataFrame, ids: Column, clinical: Column | None = None, card_holder: Column | None = None, archetypes: Column | None = None, structures: Column | None = None) -> DataFrame:
+    """``anchored`` for rows that have the columns of ``markers`` already.
+
+    ``archetypes`` (of ``archetypes.detect``) silence generic keywords for the class and rule classes out.
+    ``structures`` are ids of clinical structures; they corroborate a medical record.
+    """
+    said = ids if archetypes is None else arch.without_generic(ids, archetypes)
+    cls = document_class(said, clinical)
+    out = out.withColumn("document_class", cls if archetypes is None else arch.vetoed_class(cls, archetypes)).withColumn("patient_context", patient_context(ids))
+    cls = F.col("document_class")
+    out = out.withColumn("identity_confidence", identity_confidence(said if structures is None else F.concat(said, structures), cls, F.col("patient_context")))
+    held = F.lit(False) if card_holder is None else card_holder
+    silenced = noise(said, cls, held) if archetypes is None else F.concat(noise(said, cls, held), F.array_except(ids, said))
+    return out.withColumns({"baseline": baseline(cls), "class_label": F.when(cls.isNotNull(), label(cls, F.col("identity_confidence"))), "noise_ids": F.array_sort(F.array_distinct(silenced))})
+
+
 def anchored(docs: DataFrame, ids_col: str = "ids", text_col: str = "text", filename_col: str | None = None, clinical: Column | None = None, card_holder: Column | None = None) -> DataFrame:
     """Adds document_class, baseline, patient_context, identity_confidence, class_label and noise_ids.
 
@@ -215,9 +246,4 @@ def anchored(docs: DataFrame, ids_col: str = "ids", text_col: str = "text", file
     ``clinical`` counts clinical structures, ``card_holder`` tells whether a description names one.
     """
     ids = F.array_distinct(F.array_compact(F.coalesce(F.col(ids_col), F.array().cast("array<string>"))))
-    out = markers(docs, text_col, filename_col)
-    out = out.withColumn("document_class", document_class(ids, clinical)).withColumn("patient_context", patient_context(ids))
-    cls = F.col("document_class")
-    out = out.withColumn("identity_confidence", identity_confidence(ids, cls, F.col("patient_context")))
-    held = F.lit(False) if card_holder is None else card_holder
-    return out.withColumns({"baseline": baseline(cls), "class_label": F.when(cls.isNotNull(), label(cls, F.col("identity_confidence"))), "noise_ids": noise(ids, cls, held)})
+    return classified(markers(docs, text_col, filename_col), ids, clinical, card_holder)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import prefilter
 from ..functions.patterns import around, found
 from .texts import all_matches
 
@@ -43,12 +44,12 @@ RULES = {"icd": "COA-001-icd-standalone", "cluster": "COA-002-unit-cluster", "ra
 CLUSTER, NEAR = 500, 100
 
 
-def _places(text: Column, pattern: str, flags: str, name: str) -> Column:
-    hits = F.when(found(text, pattern, flags), all_matches(text, pattern, flags))
+def _places(text: Column, pattern: str, flags: str, name: str, guarded: bool) -> Column:
+    hits = F.when(prefilter.holds(text, pattern, flags, guarded), all_matches(text, pattern, flags))
     return F.transform(hits, lambda m: F.struct(m["place"].alias("place"), F.lit(name).alias("name")))
 
 
-def clinical_findings(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def clinical_findings(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), guarded: bool = False) -> DataFrame:
     """One row a document: units, distinct_units, ranges, vitals, unit_cluster, unit_near_range, is_medical.
 
     Different units within 500 characters are a cluster (then two neighbours in place order are, too);
@@ -56,9 +57,9 @@ def clinical_findings(df: DataFrame, text_col: str = "text", keep: tuple[str, ..
     """
     text = F.col(text_col)
     all_of = lambda rows: F.array_sort(F.flatten(F.array_compact(F.array(*rows))))
-    units = all_of([_places(text, p, f, u.lower()) for p, f, u in UNITS])
-    ranges = all_of([_places(text, p, f, "range") for p, f in RANGES])
-    vitals = all_of([_places(text, p, f, "vital") for p, f in VITALS])
+    units = all_of([_places(text, p, f, u.lower(), guarded) for p, f, u in UNITS])
+    ranges = all_of([_places(text, p, f, "range", guarded) for p, f in RANGES])
+    vitals = all_of([_places(text, p, f, "vital", guarded) for p, f in VITALS])
     rows = df.select(*keep, units.alias("__u"), ranges.alias("__r"), F.size(vitals).alias("vitals"))
     u, r = F.col("__u"), F.col("__r")
     pairs = F.arrays_zip(F.slice(u, F.lit(1), F.greatest(F.size(u) - 1, F.lit(0))).alias("a"), F.slice(u, F.lit(2), F.greatest(F.size(u) - 1, F.lit(0))).alias("b"))
@@ -94,14 +95,14 @@ def icd_coherence(text: Column, codes: Column) -> Column:
     return F.struct(part(1).alias("chapters"), part(3).alias("base_codes"), clustered.alias("clustered"), low.alias("low_coherence"))
 
 
-def ontology(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def ontology(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), guarded: bool = False) -> DataFrame:
     """``clinical_findings`` and the verdict on them: icd_codes, chapters, base_codes, clustered, low_coherence, confidence, rule, structures.
 
     Codes make a text medical (high) unless they are of low coherence, or a single one, without another
     clinical structure (low); then units do (medium). ``structures`` counts what supports a medical class.
     Null texts have none of it.
     """
-    out = clinical_findings(df.withColumn(text_col, F.coalesce(text_col, F.lit(""))), text_col, (*keep, text_col))
+    out = clinical_findings(df.withColumn(text_col, F.coalesce(text_col, F.lit(""))), text_col, (*keep, text_col), guarded)
     out = out.withColumn("icd_codes", icd_codes(F.col(text_col)))
     n, c = F.size("icd_codes"), icd_coherence(F.col(text_col), F.col("icd_codes"))
     out = out.withColumn("__c", c).select("*", "__c.*").drop("__c")
