@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources import tables
-from . import common, exact, line_templates, merkle, minhash, mixing, packing, quality, token_files, toxicity, wordpiece
+from . import byte_bpe, common, exact, filter_audit, lexical, line_templates, merkle, minhash, mixing, packing, quality, token_files, toxicity, wordpiece
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +58,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", out["__topic"].alias("topic"), out["__tokens"].alias("tokens"), out["__probability"].alias("probability"), out["__kept"].alias("kept"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_bpe.decode(byte_bpe.encode(_read(spark, sf_dir, "documents")))
+    digits = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_read(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -68,5 +83,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL = {"op7_exact_dedup": exact.EXACT_SQL}
+ORACLE_SQL = {"op7_exact_dedup": exact.EXACT_SQL, "op12_lexical_search": lexical.SEARCH_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL}
