@@ -41,12 +41,20 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
 
 def merged(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """Byte-pair merges spelled plainly: the adjacent pair of the lowest rank, leftmost first, until none is left."""
+    none, get = 1 << 60, ranks.get
     parts = [data[i : i + 1] for i in range(len(data))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank == 1 << 60:
+    pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    while pairs:
+        rank = min(pairs)
+        if rank == none:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        i = pairs.index(rank)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
     return parts
 
 
@@ -56,70 +64,68 @@ class BytePairs:
     Remembered pieces have two generations: a full young one becomes the old one.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 250_000):
         self.ranks, self.room = ranks, room
-        self.token = {r: t for t, r in ranks.items()}
-        self.size = {r: len(t) for t, r in ranks.items()}
+        places = max(ranks.values(), default=-1) + 1
+        self.token = [b""] * places
+        self.size = [0] * places
+        #: the longest token that is a proper prefix of a token; -1 where none is
+        self.shorter = [-1] * places
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for t, r in ranks.items():
+            self.token[r], self.size[r] = t, len(t)
+            self.shorter[r] = next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), -1)
             self.automaton.add_word(t.decode("latin-1"), r)
         self.automaton.make_automaton()
         self.pieces = regex.compile(pattern).findall
         # the same pattern for texts of ASCII characters only, where letters, digits and white space are these
         plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
         self.ascii_pieces = re.compile(plain, re.ASCII).findall if r"\p" not in plain else self.pieces
-        self.prefix: dict[int, int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether the joined bytes of two tokens encode to these two; of one alone (left is -1), to itself."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > 4 * self.room:
-                self.pairs.clear()
-            want = [self.token[right]] if left < 0 else [self.token[left], self.token[right]]
-            known = self.pairs[left, right] = merged(b"".join(want), self.ranks) == want
-        return known
-
-    def shorter(self, token: int) -> int:
-        """The longest token that is a proper prefix of a token; -1 where none is."""
-        known = self.prefix.get(token)
-        if known is None:
-            t = self.token[token]
-            known = self.prefix[token] = next((self.ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ranks), -1)
+        """Whether the joined bytes of two tokens encode to these two; of one alone (left is -1), to itself. Remembers it."""
+        if len(self.pairs) > 2 * self.room:
+            self.pairs.clear()
+        want = [self.token[right]] if left < 0 else [self.token[left], self.token[right]]
+        known = self.pairs[left, right] = merged(b"".join(want), self.ranks) == want
         return known
 
     def encode_piece(self, data: bytes) -> array:
         """Ids of one piece; ValueError where a byte has no token."""
-        out = array("i")
         whole = self.ranks.get(data)
         if whole is not None or not data:
-            if data:
-                out.append(whole)
-            return out
-        n, size = len(data), self.size
-        longest = array("i", [-1]) * n
+            return array("i", [whole] if data else [])
+        n, size, shorter, pairs = len(data), self.size, self.shorter, self.pairs
+        longest = [-1] * n if n < 4096 else array("i", [-1]) * n
         for end, token in self.automaton.iter(data.decode("latin-1")):
             longest[end + 1 - size[token]] = token  # a later end at the same place is a longer token
+        out: list[int] | array = [] if n < 4096 else array("i")
         dead = bytearray(n + 1)
-        at, token = 0, longest[0]
+        at, left, token = 0, -1, longest[0]
         while at < n:
-            left = out[-1] if out else -1
-            while token >= 0 and (dead[at + size[token]] or not self.compatible(left, token)):
-                token = self.shorter(token)
+            while token >= 0:
+                end = at + size[token]
+                if not dead[end]:
+                    fits = pairs.get((left, token))
+                    if self.compatible(left, token) if fits is None else fits:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at += size[token]
-                token = longest[at] if at < n else -1
+                at, left = end, token
+                if at < n:
+                    token = longest[at]
             elif out:
                 dead[at] = 1
                 token = out.pop()  # its own end is dead now, so a shorter one follows
                 at -= size[token]
+                left = out[-1] if out else -1
             else:
                 raise ValueError("the ranks have no token for a byte of the text")
-        return out
+        return array("i", out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as 32-bit numbers."""
