@@ -11,11 +11,12 @@ from pyspark.sql.window import Window
 from ..functions import normalize as nz
 from ..functions import prefilter
 from ..sources import tables
-from . import archetypes, calibration, classes, clinical, guardrails, heuristics, scan, severity, texts
+from . import archetypes, calibration, classes, clinical, fallback, guardrails, heuristics, scan, severity, texts
 
 # Headlines by severity.
 HEADLINES = {"critical": "Critical risk", "high": "High risk", "medium": "Moderate risk", "low": "Low risk", "none": "No risk found"}
 MOST_DETAILS, LABEL = 3, 80
+FALLBACK_SEQ = 100_000  # after the rules' findings
 WORDS_SEQ = 1_000_000  # after all findings of a text
 
 
@@ -36,20 +37,23 @@ def with_counts(signals: DataFrame) -> DataFrame:
     return signals.withColumns({"phone_count": total("phone"), "email_count": total("email"), "ssn_count": total("ssn")})
 
 
-def text_signals(docs: DataFrame, filename_col: str | None = None, department_col: str | None = None) -> DataFrame:
+def text_signals(docs: DataFrame, filename_col: str | None = None, department_col: str | None = None, raw_col: str = "text") -> DataFrame:
     """Findings in the names (first), normalized texts and the department's words (last), one row each, in order of seq.
 
-    ``docs`` has doc_id, text_norm, doc_length and, where named, the file's name and the department. A document's
+    Where the rules find nothing in a text, the fallbacks' findings in the raw one take their place.
+    ``docs`` has doc_id, text_norm, the raw text, doc_length and, where named, the file's name and the department. A document's
     signals stay with its locale, length and transactional flag for the policy, so no later join with the texts is
     needed. They are dealt out by document here, once for every window and grouping that follows. Repeats are
     dropped; words of departments are one finding each already and join after that.
     """
     keep = ["doc_id", "locale", "transactional", "doc_length"]
-    inside = scan.scan(docs, keep=keep).select(*keep, (F.col("seq") + 1000).alias("seq"), "id", "type", "severity", "description", "source", F.lit(None).cast("int").alias("offset"), F.lit(None).cast("string").alias("match"), "confidence")
+    nothing = {"id": "string", "offset": "int", "match": "string", "confidence": "double"}
+    signal = lambda df, base, primary: df.select(*keep, (F.col("seq") + base).alias("seq"), "type", "severity", "description", "source", *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in nothing.items()], F.lit(primary).cast("boolean").alias("primary"))
+    inside = signal(scan.scan(docs, keep=keep), 1000, True).unionByName(signal(fallback.detect(docs, raw_col, keep), FALLBACK_SEQ, False))
     if filename_col is not None:
-        named = texts.filename_signals(docs, filename_col, keep)
-        inside = named.select(*keep, "seq", F.lit(None).cast("string").alias("id"), "type", "severity", "description", "source", F.lit(None).cast("int").alias("offset"), F.lit(None).cast("string").alias("match"), F.lit(None).cast("double").alias("confidence")).unionByName(inside)
-    out = severity.deduplicate(inside.repartition("doc_id"))
+        inside = signal(texts.filename_signals(docs, filename_col, keep), 0, None).unionByName(inside)
+    dealt = inside.repartition("doc_id")
+    out = severity.deduplicate(fallback.unless_found(dealt, F.col("primary")).drop("primary"))
     if department_col is None:
         return out
     worded = texts.dictionary_hits(docs, "text_norm", department_col, keep)
@@ -91,7 +95,7 @@ def decide(docs: DataFrame, text_col: str = "text", filename_col: str | None = N
     """
     base = tables.spread(docs).withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
     ready = document_context(base, text_col, url_col, language_col).withColumn("doc_length", F.length(text_col))
-    policed = severity.apply_policy(with_counts(text_signals(ready, filename_col, department_col))).withColumn("severity", F.col("policy_severity"))
+    policed = severity.apply_policy(with_counts(text_signals(ready, filename_col, department_col, text_col))).withColumn("severity", F.col("policy_severity"))
     roles = heuristics.apply_heuristics(calibration.calibrate(policed), F.col("role") == "driving")
     drives = (F.col("role") == "driving") & ~F.col("suppressed")
     name = severity.signal_identifier(F.col("id"), F.col("type"), F.col("description"))

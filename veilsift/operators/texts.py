@@ -215,7 +215,11 @@ def chunk_scan(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("do
 
     Findings of the overlap between chunks have one id and offset, and count once.
     """
-    parts = chunks(df, text_col, keep=keep)
+    return found_in_chunks(chunks(df, text_col, keep=keep), keep).dropDuplicates([*keep, "id", "offset"])
+
+
+def found_in_chunks(parts: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """All matches of CHUNK_RULES in chunks (``keep``, start, chunk), by absolute offset; those of an overlap come twice."""
     rows = []
     for name, kind, severity, pattern, flags in CHUNK_RULES:
         hits = F.when(found(F.col("chunk"), pattern, flags), all_matches(F.col("chunk"), pattern, flags))
@@ -223,7 +227,7 @@ def chunk_scan(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("do
     hits = parts.select(*keep, "start", F.explode_outer(F.flatten(F.array_compact(F.array(*rows)))).alias("m")).where("m is not null")
     hits = hits.select(*keep, "m.id", "m.type", "m.severity", (F.col("start") + F.col("m.place")).alias("offset"), "m.matched")
     card = F.col("id") != "financial.payment_card"
-    return hits.where(card | gates.payment_card(F.col("matched"))).dropDuplicates([*keep, "id", "offset"])
+    return hits.where(card | gates.payment_card(F.col("matched")))
 
 
 # Rules over file names (pattern, type, description, severity).

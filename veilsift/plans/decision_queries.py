@@ -43,6 +43,16 @@ def decision_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.decide(pages.select(F.col("page_id").alias("doc_id"), "url", texts.decode_entities(body).alias("text")), url_col="url").drop("details")
 
 
+def stream_root(spark: SparkSession) -> str:
+    """The folder that all executors share for what streams read, write and keep."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp()}"
+    return root.rstrip("/")
+
+
 def _replayed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Run a streaming transformation over the conversations as events and read back what it wrote.
 
@@ -53,12 +63,7 @@ def _replayed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame],
     events = tables.table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.col("role").alias("source"), F.concat_ws(" ", "text", planted).alias("text"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 10 + F.col("turn")).alias("ts")
     )
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp()}"
-    folder = f"{root.rstrip('/')}/veilsift-stream/{uuid.uuid4().hex}"
+    folder = f"{stream_root(spark)}/veilsift-stream/{uuid.uuid4().hex}"
     events.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(scans.EVENTS).parquet(f"{folder}/in")
     query = transform(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").format("parquet").option("path", f"{folder}/out").trigger(availableNow=True).start()
