@@ -239,8 +239,9 @@ def _scan_block(df: DataFrame, block: _Block, text_col: str, keep: tuple[str, ..
     may = base.withColumn("__hits", hits(F.col("__text"), block.keywords, block.literals, block.always))
     # the text goes along with candidates only
     rows = may.select(*keep, "__text", F.explode("__hits").alias("h")).select(*keep, F.when(F.col("h.n").isNull(), F.col("__text")).alias("__text"), "h.*").join(F.broadcast(table), "rule")
+    # one pass of an expression for all its matches, kept in a row of its own so that no column spells it again
     regex = F.col("__java").isNotNull()
-    tried = rows.withColumn("matched", F.when(regex, F.regexp_substr("__text", F.col("__java"))).otherwise(F.col("matched"))).where(F.length("matched") > 0)
-    n = F.when(regex, F.regexp_count("__text", F.col("__java"))).otherwise(F.col("n"))
+    every = F.filter(F.regexp_extract_all("__text", F.col("__java"), F.lit(0)), lambda m: m != "")
+    told = rows.withColumn("__m", F.explode(F.array(F.when(regex, F.struct(F.size(every).alias("n"), F.get(every, F.lit(0)).alias("matched"))).otherwise(F.struct("n", "matched")))))
     place = F.when(regex, place_of(F.col("__text"), F.col("__java")).cast("int")).otherwise(F.col("place"))
-    return tried.select(*keep, "rule_id", "severity", "category", n.alias("n"), place.alias("place"), "matched")
+    return told.where("__m.n > 0").select(*keep, "rule_id", "severity", "category", "__m.n", place.alias("place"), "__m.matched")
