@@ -126,3 +126,15 @@ def test_components(spark):
         top[q] = p
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_words_that_collide_modulo_a_power_of_two_stay_apart(spark):
+    """Words of two letters in the order of Thue and Morse: every polynomial modulo 2**64 takes them for one."""
+    first = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    second = first.translate(str.maketrans("ab", "ba"))
+    hashes = [shingles.words([w.encode()])[0][0] for w in (first, second, first.upper(), first * 2, second * 2)]
+    assert hashes[0] == hashes[2] and len(set(hashes)) == 4
+    words = [f"w{i}" for i in range(6)]
+    docs = [(1, " ".join([first, *words])), (2, " ".join([second, *words])), (3, first), (4, second)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}

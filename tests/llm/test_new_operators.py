@@ -16,7 +16,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veilsift.llm import byte_bpe, filter_audit, lexical, queries
+from veilsift.llm import byte_bpe, filter_audit, lexical, queries, shingles
 
 from .fixtures import awkward, clashing, empty
 
@@ -207,7 +207,7 @@ def test_measures_of_long_words():
 
 
 def test_colliding_hashes_are_verified(monkeypatch):
-    monkeypatch.setattr(filter_audit, "word_hashes", lambda data, starts, lengths: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(shingles, "word_hashes", lambda data, starts, lengths: np.zeros(len(starts), np.uint64))
     texts = ["a b a c", "one one", "", "x y z"]
     assert np.array(filter_audit.measure(pa.array(texts))).T.tolist() == [plain_measures(t) for t in texts]
 

@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, shingles
 
 #: The filters, by the bit that a failure sets.
 FILTERS = "ABCDE"
@@ -39,45 +38,17 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
-#: Keeps the first n of eight little-endian bytes.
-LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-#: Words over so many bytes are hashed and compared one by one.
-LONG_WORD = 1024
-
-
-def _loads(data: np.ndarray) -> np.ndarray:
-    """At each place, the eight bytes from there on as one number (zeros after the end)."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.ndarray(len(data) + 1, "<u8", padded.data, 0, (1,))
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; equal words have equal hashes, the reverse is for ``same_words`` to say."""
-    loads, out = _loads(data), lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    rest = np.flatnonzero(lengths <= LONG_WORD)
-    at = 0
-    while len(rest):
-        chunk = loads[starts[rest] + at] & LOW[np.minimum(lengths[rest] - at, 8)]
-        mixed = (out[rest] ^ chunk) * np.uint64(0xD6E8FEB86659FD93)
-        out[rest] = mixed ^ (mixed >> np.uint64(32))
-        at += 8
-        rest = rest[lengths[rest] > at]
-    for i in np.flatnonzero(lengths > LONG_WORD):
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]].data)
-    return out
-
-
 def same_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether words ``a[i]`` and ``b[i]`` have the same bytes."""
-    loads, same = _loads(data), lengths[a] == lengths[b]
-    rest = np.flatnonzero(same & (lengths[a] <= LONG_WORD))
+    eights, same = shingles.loads(data), lengths[a] == lengths[b]
+    rest = np.flatnonzero(same & (lengths[a] <= shingles.LONG_WORD))
     at = 0
     while len(rest):
-        differing = (loads[starts[a[rest]] + at] ^ loads[starts[b[rest]] + at]) & LOW[np.minimum(lengths[a[rest]] - at, 8)]
+        differing = (eights[starts[a[rest]] + at] ^ eights[starts[b[rest]] + at]) & shingles.LOW[np.minimum(lengths[a[rest]] - at, 8)]
         same[rest[differing != 0]] = False
         at += 8
         rest = rest[(differing == 0) & (lengths[a[rest]] > at)]
-    for i in np.flatnonzero(same & (lengths[a] > LONG_WORD)):
+    for i in np.flatnonzero(same & (lengths[a] > shingles.LONG_WORD)):
         x, y, n = starts[a[i]], starts[b[i]], lengths[a[i]]
         same[i] = np.array_equal(data[x : x + n], data[y : y + n])
     return same
@@ -116,7 +87,7 @@ def _distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, words:
     A text with a run of differing words, whose hashes collide, is counted by a set of its words.
     """
     owner = np.repeat(np.arange(len(words), dtype=np.uint64), words)
-    key = owner << np.uint64(48) | word_hashes(data, starts, lengths) >> np.uint64(16)
+    key = owner << np.uint64(48) | shingles.word_hashes(data, starts, lengths) >> np.uint64(16)
     order = np.argsort(key)
     key = key[order]
     again = np.flatnonzero(key[1:] == key[:-1]) + 1 if len(key) else np.zeros(0, np.int64)

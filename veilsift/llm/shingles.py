@@ -1,17 +1,22 @@
 """Word shingles and fast similarity sketches of many texts at once, in numpy.
 
-Words are runs of bytes other than TAB..CR and space, with A-Z lowered. A word's hash is a
-polynomial over random byte values modulo 2**64, taken for all words by one prefix sum.
+Words are runs of bytes other than TAB..CR and space, with A-Z lowered. A word's hash takes eight of
+its bytes a step and mixes after each, so no words are known to collide (a polynomial modulo 2**64
+would: long words of two letters in the order of Thue and Morse, whatever its base). Words of over
+LONG_WORD bytes are hashed by xxh3.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U = np.uint64
-_rng = np.random.default_rng(20_240_601)
-_BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Keeps the first n of eight little-endian bytes.
+LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG_WORD = 1024
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -41,6 +46,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def loads(data: np.ndarray) -> np.ndarray:
+    """At each place, the eight bytes from there on as one number (zeros after the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded.data, 0, (1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, of its bytes and length."""
+    eights, out = loads(data), lengths.astype(np.uint64) * U(0x9E3779B97F4A7C15)
+    rest = np.flatnonzero(lengths <= LONG_WORD)
+    at = 0
+    while len(rest):
+        chunk = eights[starts[rest] + at] & LOW[np.minimum(lengths[rest] - at, 8)]
+        mixed = (out[rest] ^ chunk) * U(0xD6E8FEB86659FD93)
+        out[rest] = mixed ^ (mixed >> U(32))
+        at += 8
+        rest = rest[lengths[rest] > at]
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]].data)
+    return out
+
+
 def runs(texts: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of bytes of one class (0: skipped): hash, text number, byte place, length, class.
 
@@ -56,15 +83,11 @@ def runs(texts: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarra
             more = np.flatnonzero(classes[data[to : to + _SEGMENT]] == 0)
             to = to + int(more[0]) + 1 if len(more) else min(len(data), to + _SEGMENT)
         part = data[at:to]
-        _grow(len(part) + 1)
         kind = np.concatenate([[0], classes[part], [0]]).astype(np.uint8)
         turns = np.flatnonzero(kind[1:] != kind[:-1])
         inner = kind[turns[:-1] + 1] != 0
         first, last = turns[:-1][inner], turns[1:][inner]
-        total = np.empty(len(part) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[part] * _powers[: len(part)], out=total[1:])
-        for x, y in zip(found, ((total[last] - total[first]) * _inverse[first], first + at, last - first, kind[first + 1]), strict=True):
+        for x, y in zip(found, (word_hashes(_LOWER[part], first, last - first), first + at, last - first, kind[first + 1]), strict=True):
             x.append(y)
         at = to
     h, place, length, kinds = (np.concatenate(x) for x in found)
