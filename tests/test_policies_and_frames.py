@@ -1,6 +1,8 @@
 """Layered policies, their validation, and framed explanations: cases that the registered queries do not hold."""
 
-from veilsift.operators import decisions, frames, policies
+from pyspark.sql import functions as F
+
+from veilsift.operators import decisions, diagnostics, frames, policies
 
 
 def test_layers_fold_in_order(spark):
@@ -86,3 +88,21 @@ def test_named_places_and_issues(spark):
     df = spark.createDataFrame([("An ALERT", "s" * 141), ("h" * 81, "calm")], "h string, s string")
     assert [r[0] for r in df.select(frames.text_issues(df["h"], df["s"])).collect()] == [["Headline contains forbidden words: alert", "Summary exceeds 140 chars: 141"], ["Headline exceeds 80 chars: 81"]]
     assert len(frames.FRAMES) == 19 and len({f[0] for f in frames.FRAMES}) == 19
+
+
+def test_counters_of_batches_and_streams(spark, tmp_path):
+    rows = [("pii",), ("pii",), ("legal",), ("odd",), (None,)]
+    df = spark.createDataFrame(rows, "type string")
+    counters = diagnostics.Counters("r")
+    first = counters.watch(df, "policy")
+    last = counters.watch(first.where("type = 'pii'").distinct(), "dedup", visible=F.lit(True))
+    assert last.count() == 1
+    table = counters.table(spark)
+    assert sorted(tuple(r) for r in table.collect()) == [("r", "dedup", "pii", 1), ("r", "dedup", "total", 1), ("r", "dedup", "visible", 1), ("r", "policy", "legal", 1), ("r", "policy", "other", 2), ("r", "policy", "pii", 2), ("r", "policy", "total", 5)]
+    assert diagnostics.removed(table).first().removed == 4
+    df.write.parquet(f"{tmp_path}/in")
+    stream = diagnostics.watch_stream(spark.readStream.schema("type string").parquet(f"{tmp_path}/in"), "detection")
+    query = stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(b, i): n for _, b, i, n in diagnostics.of_progress(query.recentProgress)}
+    assert got == {("detection", "total"): 5, ("detection", "pii"): 2, ("detection", "legal"): 1, ("detection", "other"): 2}

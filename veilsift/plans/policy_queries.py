@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import policies
+from ..operators import diagnostics, policies
 from ..sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,17 +49,29 @@ def document_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select(*[c for c in facts.columns if c != "text"], F.explode(hits).alias("s")).select("*", "s.*").drop("s")
 
 
-def policy_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def policy_layers(spark: SparkSession, sf_dir: str, signals: DataFrame | None = None) -> DataFrame:
     """The first policy over four layers that disagree; each source is a tenant with an overlay of its own number."""
     tenants = tables.table(spark, sf_dir, "documents").select(F.col("source").alias("scope"), F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int").alias("n")).where("n is not null").distinct()
     level = F.when(F.col("n") % 3 == 0, "high").when(F.col("n") % 3 == 1, "medium").otherwise("low")
     own = tenants.select(F.lit("tenant").alias("layer"), "scope", F.lit("api-key").alias("signal_id"), F.lit(0).alias("ord"), F.create_map(F.lit("enabled"), F.lit("false")).alias("settings")).union(
         tenants.select(F.lit("tenant"), "scope", F.lit("email"), F.lit(0), F.create_map(F.lit("maxSeverity"), level)))
     layers = policies.default_layer(spark).union(spark.createDataFrame(OVERLAYS, policies.LAYERS)).union(own)
-    out = policies.apply_v1(document_signals(spark, sf_dir), layers, spark.createDataFrame(INVARIANTS, policies.INVARIANTS))
+    found = document_signals(spark, sf_dir) if signals is None else signals
+    out = policies.apply_v1(found, layers, spark.createDataFrame(INVARIANTS, policies.INVARIANTS))
     return out.select("doc_id", "description", "severity", "locale", "department", "tenant", "policy_key", "policy_severity")
 
 
+def boundary_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals at the four boundaries of one run, counted as they pass: severities found, then decided, one of each a document, shown from medium on."""
+    counters = diagnostics.Counters("documents", ("low", "medium", "high", "critical"))
+    found = counters.watch(document_signals(spark, sf_dir), "detection", "severity")
+    decided = counters.watch(policy_layers(spark, sf_dir, found), "policy", "policy_severity")
+    once = counters.watch(decided.dropDuplicates(["doc_id", "policy_severity"]), "dedup", "policy_severity")
+    shown = counters.watch(once, "shown", "policy_severity", F.col("policy_severity") != "low")
+    shown.write.format("noop").mode("overwrite").save()
+    return counters.table(spark)
+
+
 #: Settings one by one, the layers of one scope in order: the last that says something holds.
 LAYERS_SQL = r"""
 WITH d AS (
@@ -110,6 +122,15 @@ FROM done WHERE enabled OR key IS NULL
 """
 
 
+def _counters_sql() -> str:
+    found, decided = LAYERS_SQL.split(", base AS (")[0] + " SELECT (['low', 'medium', 'high', 'critical'])[own] AS x FROM s", f"SELECT policy_severity AS x FROM ({LAYERS_SQL})"
+    once = f"SELECT DISTINCT doc_id, policy_severity AS x FROM ({LAYERS_SQL})"
+    parts = []
+    for boundary, rows in (("detection", found), ("policy", decided), ("dedup", once), ("shown", once)):
+        parts += [f"SELECT '{boundary}' AS boundary, x AS id, count(*) AS n FROM ({rows}) GROUP BY x", f"SELECT '{boundary}', 'total', count(*) FROM ({rows})"]
+    return f"SELECT 'documents' AS run, boundary, id, n FROM ({' UNION ALL '.join(parts)} UNION ALL SELECT 'shown', 'visible', count(*) FROM ({once}) WHERE x <> 'low')"
+
+
 def made_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A policy for each event, right or wrong by the event's value, type and properties."""
     return tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("policy_id"), F.expr(POLICY_EXPR).alias("policy"))
@@ -183,8 +204,8 @@ UNION ALL SELECT policy_id, path, 'known', 'error' FROM signals WHERE key NOT IN
 
 
 def queries() -> dict[str, Query]:
-    return {"policy_layers": policy_layers, "policy_violations": policy_violations}
+    return {"policy_layers": policy_layers, "policy_violations": policy_violations, "boundary_counters": boundary_counters}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"policy_layers": LAYERS_SQL, "policy_violations": _violations_sql()}
+    return {"policy_layers": LAYERS_SQL, "policy_violations": _violations_sql(), "boundary_counters": _counters_sql()}
