@@ -131,7 +131,12 @@ def normalized(df: DataFrame, text_col: str = "text", out_col: str = "text_norm"
 
 
 # Words and marks near which a European number is money, how near.
-MONEY_WORDS = "DKK EUR SEK NOK USD GBP CHF PLN amount total sum vat invoice price cost payment balance salary net gross saldo moms faktura pris betaling brutto netto betrag gesamtbetrag summe rechnungsbetrag zahlbetrag iban bic kontoinhaber bankverbindung verwendungszweck mwst ust gehalt lohn abrechnung gehaltsabrechnung lohnabrechnung bruttogehalt nettogehalt".split()
+MONEY_WORDS = [
+    "DKK", "EUR", "SEK", "NOK", "USD", "GBP", "CHF", "PLN", "amount", "total", "sum", "vat", "invoice", "price", "cost", "payment", "balance",
+    "salary", "net", "gross", "saldo", "moms", "faktura", "pris", "betaling", "brutto", "netto", "betrag", "gesamtbetrag", "summe", "rechnungsbetrag",
+    "zahlbetrag", "iban", "bic", "kontoinhaber", "bankverbindung", "verwendungszweck", "mwst", "ust", "gehalt", "lohn", "abrechnung",
+    "gehaltsabrechnung", "lohnabrechnung", "bruttogehalt", "nettogehalt",
+]
 MONEY_MARKS = [r"\bkr\.?\b", "€", r"\$", "£"]
 MONEY_WORDS_UNICODE = ["beløb", "lön", "løn"]
 MONEY_REACH = 120

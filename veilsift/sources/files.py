@@ -11,11 +11,12 @@ import io
 import re
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.texts import file_signature
 
@@ -225,13 +226,17 @@ def is_structure(run: str) -> bool:
 # --- the source -----------------------------------------------------------------------------------------
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Text and properties of each package or PDF (path, ext, content); a file that cannot be read has ok false and a reason."""
+def extract(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Text and properties of each package or PDF (path, ext, content), after the columns of ``keep``; a file that cannot be read has ok false and a reason."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for path, ext, content in zip(part["path"], part["ext"], part["content"], strict=True):
+            states = part["status"] if "status" in part else ["extracted"] * len(part)
+            for path, ext, content, state in zip(part["path"], part["ext"], part["content"], states, strict=True):
+                if state != "extracted":
+                    rows.append((path, state == "text", False, "", None, None, None, None))
+                    continue
                 try:
                     if ext == "pdf":
                         text, cut, reason, found = pdf_text(bytes(content))
@@ -241,28 +246,34 @@ def extract(files: DataFrame) -> DataFrame:
                 except (zipfile.BadZipFile, KeyError, ValueError, zlib.error) as error:
                     text, cut, found, ok, reason = "", False, {}, False, type(error).__name__
                 rows.append((path, ok, cut, reason, found.get("title"), found.get("author"), found.get("language"), text))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+            found = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+            yield pd.concat([part[list(keep)].reset_index(drop=True), found], axis=1)
 
-    return files.select("path", "ext", "content").mapInPandas(run, RESULT)
+    kept = files.select(*keep).schema if keep else StructType()
+    return files.select("path", "ext", "content", *[c for c in keep if c not in ("path", "ext", "content")]).mapInPandas(run, StructType([*kept.fields, *StructType.fromDDL(RESULT).fields]))
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """One row a file: path, ext, kind, mismatch, status (text, extracted, not_scanned, mismatch), ok, reason, title, author, language, text.
 
-    Text files up to 1 MiB are decoded in the plan; packages and PDFs up to 50 MiB are extracted; larger
-    and other files are not scanned; a package name over an OLE2 file is a mismatch.
+    Text files up to 1 MiB are decoded; packages and PDFs up to 50 MiB are extracted; larger and other
+    files are not scanned, and of those over 50 MiB no byte is read, so their kind is null; a package name
+    over an OLE2 file is a mismatch.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    # the source reads no bytes of files that a filter on their length drops, nor where content is not asked for
+    small, large = raw.where(F.col("length") <= MOST_FILE), raw.where(F.col("length") > MOST_FILE)
     kind, _, mismatch = file_signature(F.col("content"), ext)
-    listed = raw.select("path", "length", "content", ext.alias("ext"), kind.alias("kind"), mismatch.alias("mismatch"))
+    listed = small.select("path", "length", "content", ext.alias("ext"), kind.alias("kind"), mismatch.alias("mismatch"))
     status = (
         F.when(F.col("ext").isin(*TEXT_EXTENSIONS), F.when(F.col("length") <= MOST_TEXT_FILE, "text").otherwise("not_scanned"))
-        .when(F.col("ext").isin("docx", "xlsx", "pptx", "pdf"), F.when(F.col("mismatch"), "mismatch").when(F.col("length") <= MOST_FILE, "extracted").otherwise("not_scanned"))
+        .when(F.col("ext").isin("docx", "xlsx", "pptx", "pdf"), F.when(F.col("mismatch"), "mismatch").otherwise("extracted"))
         .otherwise("not_scanned")
     )
-    listed = listed.withColumn("status", status)
-    plain = listed.where("status <> 'extracted'").select("path", "ext", "kind", "mismatch", "status", (F.col("status") == "text").alias("ok"), F.lit("").alias("reason"), *[F.lit(None).cast("string").alias(c) for c in ("title", "author", "language")], F.when(F.col("status") == "text", F.decode("content", "UTF-8")).alias("text"))
-    packed = listed.where("status = 'extracted'")
-    text = extract(packed).join(packed.select("path", "ext", "kind", "mismatch", "status"), "path")
-    return plain.unionByName(text.select(*plain.columns))
+    empty = [F.lit(None).cast("string").alias(c) for c in ("title", "author", "language", "text")]
+    unread = large.select("path", ext.alias("ext"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("boolean").alias("mismatch"), F.lit("not_scanned").alias("status"), F.lit(False).alias("ok"), F.lit("").alias("reason"), *empty)
+    # packages and PDFs pass the parser with all their columns, others go by it: one read, no join
+    sent = listed.withColumn("status", status).withColumn("decoded", F.when(F.col("status") == "text", F.decode("content", "UTF-8"))).withColumn("content", F.when(F.col("status") == "extracted", F.col("content")))
+    parsed = extract(sent, ("ext", "kind", "mismatch", "status", "decoded")).withColumn("text", F.coalesce("decoded", "text"))
+    return parsed.select(*unread.columns).unionByName(unread)
