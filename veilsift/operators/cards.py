@@ -20,8 +20,9 @@ from pyspark.sql.types import StructType
 from ..functions import checksums as cs
 from . import gates
 
-#: ASCII boundaries and digits; the separators are ECMAScript's white space and the hyphen.
-_SPACE = r"\t\n\x0b\x0c\r \xa0  -     　﻿"
+# Code points of ECMAScript's white space.
+BLANKS = [9, 10, 11, 12, 13, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+_SPACE = "".join(map(chr, BLANKS))
 CANDIDATE = re.compile(rf"(?<![A-Za-z0-9_])[0-9]{{4}}[{_SPACE}-]?[0-9]{{4}}[{_SPACE}-]?[0-9]{{4}}[{_SPACE}-]?[0-9]{{4}}(?![A-Za-z0-9_])")
 NEAR, CONTEXT = 40, 100
 
@@ -41,8 +42,7 @@ def _classes(points: np.ndarray) -> np.ndarray:
     out = np.full(len(points), 3, np.int8)
     out[(points >= 65) & (points <= 90) | (points >= 97) & (points <= 122)] = 0
     out[(points >= 48) & (points <= 57)] = 1
-    blank = np.array([9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
-    out[np.isin(points, blank)] = 2
+    out[np.isin(points, np.array(BLANKS))] = 2
     return out
 
 
