@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from veilsift.operators import decisions, diagnostics, frames, policies
+from veilsift.operators import decisions, diagnostics, frames, guardrails, policies
 
 
 def test_layers_fold_in_order(spark):
@@ -106,3 +106,12 @@ def test_counters_of_batches_and_streams(spark, tmp_path):
     query.awaitTermination()
     got = {(b, i): n for _, b, i, n in diagnostics.of_progress(query.recentProgress)}
     assert got == {("detection", "total"): 5, ("detection", "pii"): 2, ("detection", "legal"): 1, ("detection", "other"): 2}
+
+
+def test_details_of_decisions_come_in_the_order_of_dominance(spark):
+    """Details are the drivers in the order that dominance gives them; guard_dominance holds that order against its SQL."""
+    docs = [(1, "card number 4111111111111111. CPR 010289-1234 employee salary and payroll salary band"), (2, "card 4111111111111111 api_key = 'abcdefghij1234567890xyz' password: hunter2x"), (3, "nothing")]
+    out = decisions.decide(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = out.withColumn("again", guardrails.dominance(F.col("driving_ids"), F.col("document_class"), F.lit(None).cast("string"))).collect()
+    assert all([d.signal_id for d in r.details] == r.again.ids[:3] and r.reordered == r.again.reordered and r.dominance_rule == r.again.rule_id for r in rows)
+    assert len(next(r for r in rows if r.doc_id == 2).details) == 2

@@ -16,6 +16,7 @@ from . import archetypes, calibration, classes, clinical, fallback, guardrails,
 # Headlines by severity.
 HEADLINES = {"critical": "Critical risk", "high": "High risk", "medium": "Moderate risk", "low": "Low risk", "none": "No risk found"}
 MOST_DETAILS, LABEL = 3, 80
+LEAST_CARD = 13
 FALLBACK_SEQ = 100_000  # after the rules' findings
 WORDS_SEQ = 1_000_000  # after all findings of a text
 
@@ -65,15 +66,18 @@ def text_signals(docs: DataFrame, filename_col: str | None = None, department_co
 def document_facts(docs: DataFrame, keep: Sequence[str], text_col: str, filename_col: str | None) -> DataFrame:
     """doc_id, what was kept (a struct) and what the words and structures of a text and its name say; narrow.
 
-    The facts are names of ``classes.MARKERS``, archetypes and the clinical ``confidence`` and ``structures``.
+    The facts are names of ``classes.MARKERS``, archetypes, the clinical ``confidence`` and ``structures``, and the
+    ``inferred`` context for the order of drivers.
     """
     name = F.lit(None).cast("string") if filename_col is None else F.col(filename_col).cast("string")
     kept = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     base = docs.select("doc_id", kept.alias("kept"), F.col(text_col).alias("text"), name.alias("filename"))
     ready = base.withColumns(prefilter.facts(F.col("text")))
     marked = classes.markers(ready, "text", "filename", guarded=True).withColumn("archetypes", archetypes.detect(F.col("text"), guarded=True))
-    out = clinical.ontology(marked, "text", ("doc_id", "kept", "archetypes", *classes.MARKERS), guarded=True)
-    return out.select("doc_id", "kept", "archetypes", *classes.MARKERS, "structures", "confidence", "unit_cluster", "unit_near_range")
+    # only cards are ever put behind others, and a card takes so many digits
+    marked = marked.withColumn("inferred", F.when(F.col("__digits") >= LEAST_CARD, guardrails.inferred_context(F.col("text"))))
+    out = clinical.ontology(marked, "text", ("doc_id", "kept", "archetypes", "inferred", *classes.MARKERS), guarded=True)
+    return out.select("doc_id", "kept", "archetypes", "inferred", *classes.MARKERS, "structures", "confidence", "unit_cluster", "unit_near_range")
 
 
 def details(ids: Column, sources: Column) -> Column:
@@ -87,7 +91,7 @@ def decide(docs: DataFrame, text_col: str = "text", filename_col: str | None = N
     Findings are policed, calibrated, passed through the human heuristics and rid of the noise of the
     document's class; the worst of what drives, the class's baseline (gated by its identity), the escalation of
     patients' records, the floor of the regulated categories, the cap of summaries and the visibility of
-    regulated findings then make the severity, in that order. ``department_col`` names the department whose words count.
+    regulated findings then make the severity, in that order; details come in the order of signal dominance. ``department_col`` names the department whose words count.
 
     Texts are read in two narrow passes, for findings and for facts; only these are shuffled, by document. Every
     document has a row: without findings or a class its severity is none. Null texts count as empty. Rows that
@@ -130,11 +134,13 @@ def decide(docs: DataFrame, text_col: str = "text", filename_col: str | None = N
     rescued = F.array_compact(F.array(F.when(F.col("medical.rescued").isNotNull(), F.struct(F.col("medical.rescued").alias("id"), F.lit("sensitive").alias("type"), F.lit("high").alias("severity")))))
     out = out.withColumn("guard", guardrails.regulated_visibility(F.transform("findings", signal), F.concat(shown, rescued), F.col("capped"), F.col("medical.escalation")))
     out = out.withColumns({"severity": F.col("guard.severity"), "escalation": F.col("guard.escalation"), "driving_ids": F.transform("best", lambda e: e["id"]), "driving_sources": F.array_sort(F.array_distinct(F.transform("best", lambda e: e["source"])))})
+    # what is shown first: where cards drive in a document of persons, ids of its kind come before them
+    out = out.withColumn("dominant", guardrails.dominance(F.col("driving_ids"), F.col("document_class"), F.col("inferred")))
     where = F.lit(None).cast("string") if destination is None else destination
     headline = F.element_at(F.create_map(*[F.lit(x) for kv in HEADLINES.items() for x in kv]), F.col("severity"))
     return out.select(
         "doc_id", *[F.col("kept")[c].alias(c) for c in keep], "severity", severity.action(F.col("severity"), where).alias("action"), severity.visibility(F.col("severity"), F.col("signal_count"), F.col("escalation"), F.lit(False)).alias("visibility"), "escalation", headline.alias("headline"),
         "document_class", "identity_confidence", "patient_context", archetypes.primary(F.col("archetypes")).alias("archetype"),
         "driving_ids", "driving_sources", "signal_count", F.coalesce("finding_count", F.lit(0)).cast("long").alias("finding_count"), F.coalesce("suppressed_count", F.lit(0)).cast("long").alias("suppressed_count"),
-        severity.level(F.col("floor_rank")).alias("floor"), "categories", F.coalesce(F.col("guard.rescued"), F.col("medical.rescued")).alias("rescued"), details(F.col("driving_ids"), F.col("driving_sources")).alias("details"),
+        severity.level(F.col("floor_rank")).alias("floor"), "categories", F.coalesce(F.col("guard.rescued"), F.col("medical.rescued")).alias("rescued"), F.col("dominant.reordered").alias("reordered"), F.col("dominant.rule_id").alias("dominance_rule"), details(F.col("dominant.ids"), F.col("driving_sources")).alias("details"),
     )
