@@ -35,3 +35,11 @@ def test_awkward_rows_and_judgement(spark):
     ]
     assert rows[0].context and not rows[1].context
     assert cards.candidates(df.limit(0)).count() == 0
+
+
+def test_phones_by_locale(spark):
+    from veilsift.operators import phones
+
+    rows = [("US", "call 555-123-4567 or (555) 123-4567", ["555-123-4567", "(555) 123-4567"]), ("EU-NORDICS", "12 34 56 78, 4111 1111 1111 1111", ["12 34 56 78", "4111 1111", "1111 1111"]), (None, "5551234567", ["5551234567"]), ("XX", "5551234567", ["5551234567"]), ("UK", None, []), ("UK", "", [])]
+    df = spark.createDataFrame(rows, "locale string, text string, want array<string>")
+    assert all(r.phones == r.want and r.phone_count == len(r.want) for r in phones.with_phones(df).collect())
