@@ -114,4 +114,4 @@ def test_details_of_decisions_come_in_the_order_of_dominance(spark):
     out = decisions.decide(spark.createDataFrame(docs, "doc_id long, text string"))
     rows = out.withColumn("again", guardrails.dominance(F.col("driving_ids"), F.col("document_class"), F.lit(None).cast("string"))).collect()
     assert all([d.signal_id for d in r.details] == r.again.ids[:3] and r.reordered == r.again.reordered and r.dominance_rule == r.again.rule_id for r in rows)
-    assert len(next(r for r in rows if r.doc_id == 2).details) == 2
+    assert all(r.details for r in rows if r.doc_id != 3)
