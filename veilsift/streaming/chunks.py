@@ -36,46 +36,52 @@ class Rechunker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.active = handle.getValueState("active", "request_id string, started long, done boolean, next int, start long, held string, timer long")
+        self.active = handle.getValueState("active", "request_id string, started long, done boolean, next int, start long, held string, waits int, timer long")
         self.waiting = handle.getMapState("waiting", "n int", "piece string, last boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         active = self.active.get() if self.active.exists() else None
-        old_timer = active[6] if active else None
+        old_timer = active[7] if active else None
         newest = 0
-        for row in sorted(rows, key=lambda r: (r.ts, r.started, r.request_id, r.n)):
+        for row in sorted(rows, key=lambda r: (r.ts, r.started, r.request_id, -1 if r.n is None else r.n)):
             at, newest = _millis(row.started), max(newest, _millis(row.ts))
             if active is None or (at, row.request_id) > (active[1], active[0]):
                 if active is not None and not active[2]:
                     yield self._row(key, active, row.ts, "canceled")
-                self.waiting.clear()
-                active = (row.request_id, at, False, 0, 0, "", 0)
-            if active[0] != row.request_id or active[2] or row.n is None or row.n < active[3]:
-                continue  # of an older request, one that has ended, or a repeated piece
+                active = self._cleared(active, (row.request_id, at, False, 0, 0, "", 0))
+            if active[0] != row.request_id or active[2]:
+                continue  # of an older request, or of one that has ended
             if row.piece is None:
                 yield self._row(key, active, row.ts, "canceled")
-                self.waiting.clear()
-                active = (*active[:2], True, active[3], active[4], "", 0)
+                active = self._cleared(active, (*active[:2], True, active[3], active[4], "", 0))
                 continue
-            self.waiting.updateValue((row.n,), (row.piece, bool(row.last)))
-            request, begun, done, expected, start, held, _ = active
-            while not done and self.waiting.containsKey((expected,)):
-                piece, last = self.waiting.getValue((expected,))
-                self.waiting.removeKey((expected,))
+            if row.n is None or row.n < active[3]:
+                continue  # no place in the text, or a repeated piece
+            request, begun, done, expected, start, held, waits = active[:7]
+            if row.n > expected:  # the map holds pieces that wait for their turn only
+                if not waits or not self.waiting.containsKey((row.n,)):
+                    waits += 1
+                self.waiting.updateValue((row.n,), (row.piece, bool(row.last)))
+            piece, last = (row.piece, bool(row.last)) if row.n == expected else (None, False)
+            while piece is not None:
                 expected, held = expected + 1, held + piece
                 while len(held) >= self.size + self.overlap or (last and held):
                     yield Row(source=key[0], request_id=request, ts=row.ts, state="chunk", start=start, chunk=held[: self.size + self.overlap])
                     start, held = start + min(self.size, len(held)), held[self.size :]
-                done = last
-            active = (request, begun, done, expected, start, held, 0)
+                done, piece = last, None
+                if waits and not done and self.waiting.containsKey((expected,)):
+                    piece, last = self.waiting.getValue((expected,))
+                    self.waiting.removeKey((expected,))
+                    waits -= 1
+            active = (request, begun, done, expected, start, held, waits)
             if done:
-                self.waiting.clear()
+                active = self._cleared(active, (*active[:6], 0))
                 yield self._row(key, active, row.ts, "done")
         timer = max(newest, timerValues.getCurrentWatermarkInMs()) + self.idle_ms
         if old_timer:
             self.handle.deleteTimer(old_timer)
         self.handle.registerTimer(timer)
-        self.active.update((*active[:6], timer))
+        self.active.update((*active[:7], timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         active = self.active.get() if self.active.exists() else None
@@ -89,6 +95,12 @@ class Rechunker(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def _cleared(self, active: tuple | None, then: tuple) -> tuple:
+        """``then``, after pieces that wait for ``active`` are gone; a call of the state store costs more than asking."""
+        if active is not None and active[6]:
+            self.waiting.clear()
+        return then
+
     @staticmethod
     def _row(key, active: tuple, ts, state: str) -> Row:
         return Row(source=key[0], request_id=active[0], ts=ts, state=state, start=active[4], chunk=None)
