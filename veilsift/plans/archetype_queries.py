@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import prefilter
 from ..operators import archetypes as ar
 from ..operators import severity as sev
 from ..sources import tables
@@ -35,7 +36,8 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array(*[_pick(IDS, (i * k + k) % len(IDS)) for k in (3, 7)])
     text = F.concat_ws("\n", F.coalesce("text", F.lit("")), _pick(PLANTED, i % len(PLANTED)))
     docs = tables.spread(tables.table(spark, sf_dir, "documents")).select("doc_id", text.alias("text"), ids.alias("ids"), _pick(CLASSES, i % 4).alias("class"), _pick(sev.LEVELS, i % 5).alias("severity"))
-    return docs.withColumn("found", ar.detect(F.col("text")))
+    facts = prefilter.facts(F.col("text"))
+    return docs.withColumns(facts).withColumn("found", ar.detect(F.col("text"), guarded=True)).drop(*facts)
 
 
 def archetype_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import prefilter
 from ..operators import classes as cl
 from ..sources import tables
 from . import class_words as words
@@ -113,7 +114,8 @@ SELECT doc_id, document_class, patient_context, identity_confidence, CASE docume
 
 def class_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the words of every text and name say."""
-    return cl.markers(planted(spark, sf_dir), filename_col="filename").drop("text", "filename", "ids")
+    facts = prefilter.facts(F.col("text"))
+    return cl.markers(planted(spark, sf_dir).withColumns(facts), filename_col="filename", guarded=True).drop("text", "filename", "ids", *facts)
 
 
 def class_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
