@@ -28,3 +28,17 @@ def test_queries_run_expressions_only_where_a_literal_is(spark, sf_dir):
     for query in (archetype_queries.archetype_documents, archetype_queries.archetype_contract, class_queries.class_markers, class_queries.class_documents, text_queries.clinical_ontology, text_queries.clinical_scan):
         plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan()
         assert "held(" in plan.toString(), query.__name__
+
+
+def test_words_of_unreadable_documents_are_tested_once(spark):
+    from veilsift.operators import degraded
+
+    names = ["Payſlip.pdf", "TYÖSOPIMUS_1.pdf", "assurance-vie.doc", "nothing.txt", "police İ.pdf", None]
+    df = spark.createDataFrame([(n, "degraded") for n in names], "n string, q string")
+    out = df.select(degraded.classify(F.col("n"), F.lit("busta paga"), F.col("q")).alias("c"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # before, the form of a name was spelled again for each word of each place that read it
+    assert plan.count("[a-z]{2,4}") <= 4
+    assert [tuple(r.c.tokens) for r in out.collect()] == [("payslip", "busta paga"), *[("busta paga",)] * 5]
+    alone = df.select(degraded.classify(F.col("n"), F.lit(None).cast("string"), F.col("q")).alias("c")).collect()
+    assert [(r.c.document_class, r.c.source) for r in alone] == [("doc.payroll", "filename"), ("doc.hr_record", "filename"), ("doc.insurance_policy", "filename"), (None, None), ("doc.insurance_policy", "filename"), (None, None)]

@@ -14,6 +14,8 @@ from ..plans import degraded_words as words
 CLASSES = [("doc.payroll", "critical", "payroll", words.PAYROLL), ("doc.hr_record", "critical", "hr_contract", words.HR), ("doc.insurance_policy", "high", "insurance", words.INSURANCE)]
 DISCLAIMER = "This PDF could not be fully analyzed due to text readability limitations."
 UNREADABLE = ["degraded", "blocked"]
+#: What a caseless expression takes for s, i and k, and lower() does not: long s, dotless and dotted i, the Kelvin sign.
+FOLDED = "\u017f\u0131\u0130\u212a"
 
 
 def matching_form(text: Column) -> Column:
@@ -30,8 +32,14 @@ def token_pattern(token: str) -> str:
 
 
 def matched_tokens(text: Column, vocabulary: dict[str, list[str]]) -> Column:
-    """The words of a vocabulary that a text in ``matching_form`` holds, in order, once for each language."""
-    return F.array_compact(F.array(*[F.when(found(text, token_pattern(t), "i"), t) for t in tokens_of(vocabulary)]))
+    """The words of a vocabulary that a text in ``matching_form`` holds, in order, once for each language.
+
+    A word's expression runs only where the word occurs at all, however its letters are cased.
+    """
+    bare = F.lower(F.translate(text, FOLDED, "siik"))
+    # an array of one: the text is made once, not for each word
+    each = lambda t: F.array_compact(F.array(*[F.when(F.contains(t["bare"], F.lit(w)) & found(t["text"], token_pattern(w), "i"), w) for w in tokens_of(vocabulary)]))
+    return F.flatten(F.transform(F.array(F.struct(text.alias("text"), bare.alias("bare"))), each))
 
 
 def classify(filename: Column, metadata: Column, quality: Column) -> Column:
@@ -42,11 +50,16 @@ def classify(filename: Column, metadata: Column, quality: Column) -> Column:
     subject and keywords in one text. Where nothing fits, severity is low and the rest null or empty.
     """
     name, more = (matching_form(F.coalesce(c, F.lit(""))) for c in (filename, metadata))
-    out = F.struct(F.lit(False).alias("applied"), F.lit(None).cast("string").alias("document_class"), F.lit("low").alias("severity"), F.lit(None).cast("string").alias("source"), F.array().cast("array<string>").alias("tokens"), F.lit(None).cast("string").alias("domain"), F.lit("").alias("disclaimer"))
-    none = out
-    for cls, severity, domain, vocabulary in reversed(CLASSES):
-        own, other = matched_tokens(name, vocabulary), matched_tokens(more, vocabulary)
-        source = F.when((F.size(own) > 0) & (F.size(other) > 0), "both").when(F.size(own) > 0, "filename").otherwise("metadata")
-        row = F.struct(F.lit(True).alias("applied"), F.lit(cls).alias("document_class"), F.lit(severity).alias("severity"), source.alias("source"), F.array_distinct(F.concat(own, other)).alias("tokens"), F.lit(domain).alias("domain"), F.lit(DISCLAIMER).alias("disclaimer"))
-        out = F.when((F.size(own) > 0) | (F.size(other) > 0), row).otherwise(out)
-    return F.when(F.coalesce(quality.isin(*UNREADABLE), F.lit(False)), out).otherwise(none)
+    none = F.struct(F.lit(False).alias("applied"), F.lit(None).cast("string").alias("document_class"), F.lit("low").alias("severity"), F.lit(None).cast("string").alias("source"), F.array().cast("array<string>").alias("tokens"), F.lit(None).cast("string").alias("domain"), F.lit("").alias("disclaimer"))
+
+    def tried(f: Column) -> Column:
+        return F.array(*[F.struct(F.lit(cls).alias("cls"), F.lit(severity).alias("severity"), F.lit(domain).alias("domain"), matched_tokens(f["name"], v).alias("own"), matched_tokens(f["more"], v).alias("other")) for cls, severity, domain, v in CLASSES])
+
+    def row(c: Column) -> Column:
+        source = F.when((F.size(c["own"]) > 0) & (F.size(c["other"]) > 0), "both").when(F.size(c["own"]) > 0, "filename").otherwise("metadata")
+        return F.struct(F.lit(True).alias("applied"), c["cls"].alias("document_class"), c["severity"].alias("severity"), source.alias("source"), F.array_distinct(F.concat(c["own"], c["other"])).alias("tokens"), c["domain"].alias("domain"), F.lit(DISCLAIMER).alias("disclaimer"))
+
+    # words of each class are looked for once; what reads them are functions of the classes that have any
+    classes = F.flatten(F.transform(F.array(F.struct(name.alias("name"), more.alias("more"))), tried))
+    rows = F.transform(F.filter(classes, lambda c: (F.size(c["own"]) > 0) | (F.size(c["other"]) > 0)), row)
+    return F.when(F.coalesce(quality.isin(*UNREADABLE), F.lit(False)), F.coalesce(F.get(rows, F.lit(0)), none)).otherwise(none)
