@@ -42,3 +42,12 @@ def test_words_of_unreadable_documents_are_tested_once(spark):
     assert [tuple(r.c.tokens) for r in out.collect()] == [("payslip", "busta paga"), *[("busta paga",)] * 5]
     alone = df.select(degraded.classify(F.col("n"), F.lit(None).cast("string"), F.col("q")).alias("c")).collect()
     assert [(r.c.document_class, r.c.source) for r in alone] == [("doc.payroll", "filename"), ("doc.hr_record", "filename"), ("doc.insurance_policy", "filename"), (None, None), ("doc.insurance_policy", "filename"), (None, None)]
+
+
+def test_texts_are_split_once_for_both_languages(spark):
+    from veilsift.operators import scan
+
+    english = "the (and) for, that. with this from are \"was\" not but have " * 4
+    df = spark.createDataFrame([(english,), ("løn og er den det til med som har kan vil ikke " * 8,), ("x y z " * 60,), ("short",), (None,)], "t string").select(scan.locale_confidence(F.col("t")).alias("c"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r.c for r in df.collect()] == [1, 1, 0, 0, 0]
