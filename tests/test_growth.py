@@ -51,3 +51,24 @@ def test_texts_are_split_once_for_both_languages(spark):
     df = spark.createDataFrame([(english,), ("løn og er den det til med som har kan vil ikke " * 8,), ("x y z " * 60,), ("short",), (None,)], "t string").select(scan.locale_confidence(F.col("t")).alias("c"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert [r.c for r in df.collect()] == [1, 1, 0, 0, 0]
+
+
+def test_a_number_is_cleaned_once_for_all_its_digits(spark):
+    from veilsift.operators import scan
+
+    df = spark.createDataFrame([(1, "RUT 12.345.678-5 end"), (2, "RUT 12.345.678-4 end"), (3, None)], "doc_id long, t string")
+    out = scan.scan(df, [r for r in scan.RULES if r.id == "global-cl-rut"], text_col="t")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # before, it was cleaned 16 times
+    assert plan.count("regexp_replace(upper(") == 1
+    assert [(r.doc_id, r.matched) for r in out.collect()] == [(1, "12.345.678-5")]
+
+
+def test_stages_before_python_are_spelled_once(spark):
+    from veilsift.functions import normalize
+
+    df = spark.createDataFrame([("a‐b né c a r t o n 1 2 3 4 5 6",), ("  x\r\n\r\n y ",), (None,)], "text string")
+    out = normalize.normalized(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("u2066") == 1
+    assert [r.text_norm for r in out.collect()] == ["a-b né carton 1 2 3 4 5 6", "x\ny", None]
