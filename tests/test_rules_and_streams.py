@@ -200,3 +200,15 @@ def test_requests_without_pieces_expire(spark, stream):
     rows = run(lambda c: c, "chunks", idle="10 minutes", late="1 minute")
     assert ("idle", "expired") in {(r.request_id, r.state) for r in rows}
     assert [r.start for r in rows if r.request_id == "idle" and r.state == "chunk"] == [0]
+
+
+def test_literals_without_what_matches_have_beside_them_are_no_candidates(spark):
+    rules = [(r"\bsecret[a-z]*\b", "ssecret secret_x ſecret"), (r"\b(?:in|of)\s+paper", "newspaper, in paper; of PAPER"), (r"kelvin[.,]\s+[A-Z][a-z]+", "kelvin K kelvin, Xy KELVIN. ab")]
+    blocks = [rule_table._Block() for _ in rules]
+    for b, (p, _) in zip(blocks, rules, strict=True):
+        b.add(spark.createDataFrame([rule("x", regex=p)], rule_table.RULES).first())
+    find = [rule_table.Matcher(b.keywords, b.literals, b.always).find for b in blocks]
+    # before, each of these texts was searched by the expression
+    assert [f(t) for f, t in zip(find, ("ssecret", "newspaper", "kelvin K kelvin"), strict=True)] == [[], [], []]
+    for f, (p, t) in zip(find, rules, strict=True):
+        assert len(f(t)) == 1 and len(found(spark, [rule("x", regex=p)], docs=[(1, t)])) == 1

@@ -32,6 +32,9 @@ BLOCK_BYTES = 8 << 20
 #: Characters beyond ASCII that a caseless expression takes for ASCII letters: long s, dotless and dotted i, the Kelvin sign.
 _FOLDED = {0x017F: "s", 0x0131: "i", 0x0130: "i", 0x212A: "k"}
 
+#: What an expression takes for white space.
+_SPACES = frozenset(" \t\n\x0b\f\r\u00a0\ufeff\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
+
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 
 
@@ -85,19 +88,49 @@ def regex_literals(pattern: str) -> set[str] | None:
     return _required(_tree(pattern))
 
 
+def _character(node) -> frozenset[str] | None:
+    """The folded characters one of which stands where a node begins or, of one character, ends; None where others may."""
+    kind, value = node
+    if kind in (op.MAX_REPEAT, op.MIN_REPEAT):
+        return _character(value[2][0]) if value[0] and len(value[2]) == 1 else None
+    if kind is op.LITERAL:
+        return frozenset(fold(chr(value))) if value < 0x80 else None
+    if kind is op.IN and all((k is op.LITERAL and v < 0x80) or (k is op.CATEGORY and v is op.CATEGORY_SPACE) for k, v in value):
+        return frozenset().union(*(_SPACES if k is op.CATEGORY else {fold(chr(v))} for k, v in value))
+    return None
+
+
+def neighbours(pattern: str, literal: str) -> tuple[frozenset[str] | None, frozenset[str] | None, bool]:
+    """What stands before and after a literal in each match, and whether no ASCII word character stands before it.
+
+    Known where the expression is a plain sequence that holds the literal once, as a run of characters of its
+    own; otherwise nothing is (None, None, False). Conditions are necessary ones: the expression still decides.
+    """
+    nodes = list(_tree(pattern))
+    n = len(literal)
+    runs = [i for i in range(len(nodes) - n + 1) if all(k is op.LITERAL and v < 0x80 and chr(v).lower() == c for (k, v), c in zip(nodes[i : i + n], literal, strict=True))]
+    if len(runs) != 1 or not literal[0].isalnum():
+        return None, None, False
+    i = runs[0]
+    before = nodes[i - 1] if i else None
+    after = nodes[i + n] if i + n < len(nodes) else None
+    edge = before is not None and before[0] is op.AT and before[1] is op.AT_BOUNDARY
+    return (_character(before) if before is not None else None), (_character(after) if after is not None else None), edge
+
+
 class Matcher:
     """Keywords and literals of a block of rules over one automaton.
 
-    ``keywords`` has (rule, word, whole word, case-sensitive), ``literals`` (rule, literal); the rules of
-    ``always`` are candidates of every text.
+    ``keywords`` has (rule, word, whole word, case-sensitive), ``literals`` (rule, literal, what ``neighbours``
+    tells or None); the rules of ``always`` are candidates of every text.
     """
 
-    def __init__(self, keywords: list[tuple[int, str, bool, bool]], literals: list[tuple[int, str]], always: list[int]):
+    def __init__(self, keywords: list[tuple[int, str, bool, bool]], literals: list[tuple[int, str, tuple | None]], always: list[int]):
         held: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
         for rule, word, whole, cased in keywords:
             held[fold(word)][0].append((rule, word if cased else None, whole))
-        for rule, literal in literals:
-            held[literal][1].append(rule)
+        for rule, literal, near in literals:
+            held[literal][1].append((rule, near))
         self.always = sorted(always)
         self.automaton = ahocorasick.Automaton()
         for word, (words, rules) in held.items():
@@ -112,13 +145,13 @@ class Matcher:
             return out
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
         likely: set[int] = set()
-        seen: set[int] = set()
-        for last, entry in self.automaton.iter(fold(text)):
+        folded = fold(text)
+        for last, entry in self.automaton.iter(folded):
             size, words, rules = entry
-            if rules and id(rules) not in seen:
-                seen.add(id(rules))
-                likely.update(rules)
             start = last + 1 - size
+            for rule, near in rules:
+                if rule not in likely and (near is None or _fits(folded, text, start, last + 1, near)):
+                    likely.add(rule)
             for rule, cased, whole in words:
                 if cased is not None and text[start : last + 1] != cased:
                     continue
@@ -137,6 +170,16 @@ class Matcher:
         return sorted(out, key=lambda x: x[0])
 
 
+def _fits(folded: str, text: str, start: int, end: int, near: tuple) -> bool:
+    """Whether a literal stands among what every match has beside it."""
+    before, after, edge = near
+    if edge and start and text[start - 1] in _WORD:
+        return False
+    if before is not None and (not start or folded[start - 1] not in before):
+        return False
+    return after is None or (end < len(folded) and folded[end] in after)
+
+
 def _edge(text: str, at: int) -> bool:
     """Whether a word of ASCII word characters begins or ends at a place."""
     return ((at > 0 and text[at - 1] in _WORD) != (at < len(text) and text[at] in _WORD))
@@ -179,7 +222,7 @@ class _Block:
     def __init__(self) -> None:
         self.rows: list[tuple] = []
         self.keywords: list[tuple[int, str, bool, bool]] = []
-        self.literals: list[tuple[int, str]] = []
+        self.literals: list[tuple[int, str, tuple | None]] = []
         self.always: list[int] = []
         self.size = 0
 
@@ -192,7 +235,8 @@ class _Block:
         else:
             java = java_regex(rule.regex, "" if rule.case_sensitive else "i")
             found = regex_literals(rule.regex)
-            self.literals += [(number, x) for x in sorted(found or ())]
+            near = neighbours(rule.regex, next(iter(found))) if found and len(found) == 1 else (None, None, False)
+            self.literals += [(number, x, near if any(near) else None) for x in sorted(found or ())]
             if not found:
                 self.always.append(number)
             self.size += len(java)
@@ -242,6 +286,7 @@ def _scan_block(df: DataFrame, block: _Block, text_col: str, keep: tuple[str, ..
     # one pass of an expression for all its matches, kept in a row of its own so that no column spells it again
     regex = F.col("__java").isNotNull()
     every = F.filter(F.regexp_extract_all("__text", F.col("__java"), F.lit(0)), lambda m: m != "")
-    told = rows.withColumn("__m", F.explode(F.array(F.when(regex, F.struct(F.size(every).alias("n"), F.get(every, F.lit(0)).alias("matched"))).otherwise(F.struct("n", "matched")))))
+    summed = F.transform(F.array(every), lambda e: F.struct(F.size(e).alias("n"), F.get(e, F.lit(0)).alias("matched")))
+    told = rows.withColumn("__m", F.explode(F.when(regex, summed).otherwise(F.array(F.struct("n", "matched")))))
     place = F.when(regex, place_of(F.col("__text"), F.col("__java")).cast("int")).otherwise(F.col("place"))
     return told.where("__m.n > 0").select(*keep, "rule_id", "severity", "category", "__m.n", place.alias("place"), "__m.matched")
