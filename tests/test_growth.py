@@ -72,3 +72,13 @@ def test_stages_before_python_are_spelled_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("u2066") == 1
     assert [r.text_norm for r in out.collect()] == ["a-b né carton 1 2 3 4 5 6", "x\ny", None]
+
+
+def test_texts_without_file_syntax_are_not_split_for_it(spark):
+    from veilsift.operators import quality
+
+    texts = ["plain words " * 10, "endobj xref " * 20, "endobj" + " word" * 20, "an xrefs " * 20, "short", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(quality.extraction_quality(F.col("t")).alias("q"))
+    # before, every text was searched and split
+    assert "Contains(t#" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.q for r in df.collect()] == ["clean", "degraded", "clean", "clean", "empty", "clean"]
