@@ -82,3 +82,17 @@ def test_texts_without_file_syntax_are_not_split_for_it(spark):
     # before, every text was searched and split
     assert "Contains(t#" in df._jdf.queryExecution().optimizedPlan().toString()
     assert [r.q for r in df.collect()] == ["clean", "degraded", "clean", "clean", "empty", "clean"]
+
+
+def test_names_texts_and_fallbacks_are_found_in_one_pass(spark):
+    from veilsift.operators import decisions
+
+    rows = [(1, "password:x and nothing else in this text", "salary.pdf"), (2, "ssn 123-45-6789", "notes.txt"), (3, "nothing", "w2-2023.pdf"), (4, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string").withColumn("doc_length", F.length("text"))
+    ready = decisions.document_context(docs, keep_facts=True)
+    out = decisions.text_signals(ready, "name", guarded=True)
+    # before, names, rules and fallbacks each read the texts anew, with normalization and locale
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    got = {(r.doc_id, r.source, r.description, r.seq < decisions.NAMED, r.seq >= decisions.FALLBACK_SEQ) for r in out.collect()}
+    assert (1, "filename", "Financial document", True, False) in got and (3, "filename", "Tax document", True, False) in got
+    assert {(d, by_name, weak) for d, _, _, by_name, weak in got if d in (2, 4)} == {(2, False, False)}
