@@ -96,3 +96,18 @@ def test_names_texts_and_fallbacks_are_found_in_one_pass(spark):
     got = {(r.doc_id, r.source, r.description, r.seq < decisions.NAMED, r.seq >= decisions.FALLBACK_SEQ) for r in out.collect()}
     assert (1, "filename", "Financial document", True, False) in got and (3, "filename", "Tax document", True, False) in got
     assert {(d, by_name, weak) for d, _, _, by_name, weak in got if d in (2, 4)} == {(2, False, False)}
+
+
+def test_policies_are_read_once(spark):
+    from veilsift.operators import policies
+
+    text = '{"signals": {"a": {"enabled": false, "baseSeverity": "low"}, "b": {"enabled": true, "baseSeverity": "critical"}}, "cooccurrenceRules": [{"requires": [7]}], "invariants": {"mandatorySignals": ["a", "b", null], "alwaysCritical": ["a", "b"]}}'
+    made = spark.createDataFrame([(1, text), (None, text), (2, "[]"), (3, None)], "policy_id long, policy string")
+    known = spark.createDataFrame([("b",), (None,)], "signal_id string")
+    out = policies.violations(made, known_signals=known)
+    # before, each part of a policy parsed the text anew
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+    got = [(r.policy_id, r.path, r.rule) for r in out.collect()]
+    for of in (1, None):  # a policy's own invariants hold for it, with an id or without
+        assert {(of, "signals.a", "not disabled"), (of, "signals.a", "critical"), (of, "signals.a", "known"), (of, "cooccurrenceRules[0].requires[0]", "object")} <= set(got)
+    assert [g for g in got if g[0] in (2, 3)] == [(2, "", "object"), (3, "", "object")] and not [g for g in got if g[1] == "signals.b"]

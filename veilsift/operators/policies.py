@@ -161,8 +161,9 @@ WARNING_ONLY = {("root", "description")}
 
 def _kind(v: Column) -> Column:
     """object, array, string, boolean, number or null of a variant; SQL null where the value is missing."""
-    t = F.schema_of_variant(v)
-    return F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").when(t.isNotNull(), "number")
+    # asked once: the type's first word, looked up
+    names = F.create_map(*[F.lit(x) for pair in (("OBJECT", "object"), ("ARRAY", "array"), ("STRING", "string"), ("BOOLEAN", "boolean"), ("VOID", "null")) for x in pair])
+    return F.coalesce(F.try_element_at(names, F.substring_index(F.schema_of_variant(v), "<", 1)), F.when(v.isNotNull(), "number"))
 
 
 def _allowed(kind: str, v: Column) -> Column:
@@ -176,28 +177,43 @@ def _allowed(kind: str, v: Column) -> Column:
     return known | (_kind(v) != "string") if kind in ("locale", "department") else known
 
 
-def _checked(parts: DataFrame, part: str, strict: bool) -> DataFrame:
-    """Violations of the fields of parts (policy_id, path, v): policy_id, path, rule, level; a part that is no object is one."""
-    checks = []
-    for field, kind, required, hard in FIELDS[part]:
-        v = F.try_variant_get("v", f"$.{field}", "variant")
-        wrong = F.when(v.isNull(), F.lit(required)).otherwise(~_allowed(kind, v))
-        level = "warning" if (part, field) in WARNING_ONLY else "error" if hard or strict else "warning"
-        path = F.when(F.col("path") == "", field).otherwise(F.concat("path", F.lit(f".{field}")))
-        checks.append(F.when(wrong, F.struct(path.alias("path"), F.lit(kind).alias("rule"), F.lit(level).alias("level"))))
-    whole = F.array(F.struct(F.col("path"), F.lit("object").alias("rule"), F.lit("error").alias("level")))
-    found = F.when(_kind(F.col("v")) == "object", F.array_compact(F.array(*checks))).otherwise(whole)
-    return parts.select("policy_id", F.explode(found).alias("x")).select("policy_id", "x.*")
+def _checked(part: Column, kind: str, strict: bool) -> Column:
+    """Violations of the fields of a part (path, v): array of (path, rule, level, key); a part that is no object is one."""
+    path, checks = part["path"], []
+    for field, allowed, required, hard in FIELDS[kind]:
+        v = F.try_variant_get(part["v"], f"$.{field}", "variant")
+        wrong = F.when(v.isNull(), F.lit(required)).otherwise(~_allowed(allowed, v))
+        level = "warning" if (kind, field) in WARNING_ONLY else "error" if hard or strict else "warning"
+        checks.append(F.when(wrong, _fault(F.when(path == "", field).otherwise(F.concat(path, F.lit(f".{field}"))), allowed, level)))
+    return F.when(_kind(part["v"]) == "object", F.array_compact(F.array(*checks))).otherwise(F.array(_fault(path, "object", "error")))
 
 
-def _inside(parts: DataFrame, field: str | None, kind: str) -> DataFrame:
-    """The members of an object or elements of an array in ``field`` of parts, as parts with paths of their own."""
-    v = F.col("v") if field is None else F.try_variant_get("v", f"$.{field}", "variant")
-    holders = parts.select("policy_id", "path", v.alias("w")).where(_kind(F.col("w")) == kind)
-    rows = holders.lateralJoin(holders.sparkSession.tvf.variant_explode(F.col("w").outer()))
-    prefix = F.when(F.col("path") == "", field or "").otherwise(F.concat("path", F.lit(f".{field}" if field else "")))
-    name = F.concat(prefix, F.lit("."), "key") if kind == "object" else F.concat(prefix, F.lit("["), F.col("pos").cast("string"), F.lit("]"))
-    return rows.select("policy_id", name.alias("path"), F.col("value").alias("v"), *(["key"] if kind == "object" else []))
+def _fault(path: Column, rule: str, level: str, key: Column | None = None) -> Column:
+    return F.struct(path.alias("path"), F.lit(rule).alias("rule"), F.lit(level).alias("level"), (F.lit(None).cast("string") if key is None else key).alias("key"))
+
+
+def _member(path: Column, v: Column, key: Column | None = None) -> Column:
+    return F.struct(path.alias("path"), v.alias("v"), (F.lit(None).cast("string") if key is None else key).alias("key"))
+
+
+def _inside(part: Column, field: str, kind: str) -> Column:
+    """The members of an object or elements of an array in ``field`` of a part: array of parts with paths of their own."""
+    v = F.try_variant_get(part["v"], f"$.{field}", "variant")
+    prefix = F.when(part["path"] == "", field).otherwise(F.concat(part["path"], F.lit(f".{field}")))
+    if kind == "object":
+        members = F.map_entries(F.try_variant_get(v, "$", "map<string, variant>"))
+        inside = F.transform(members, lambda e: _member(F.concat(prefix, F.lit("."), e["key"]), e["value"], e["key"]))
+    else:
+        inside = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e, i: _member(F.concat(prefix, F.lit("["), i.cast("string"), F.lit("]")), e))
+    return F.when(_kind(v) == kind, inside).otherwise(F.array().cast(PARTS))
+
+
+def _placed(kind: str, parts: Column) -> Column:
+    return F.transform(parts, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("part")))
+
+
+PARTS = "array<struct<path: string, v: variant, key: string>>"
+PLACED = "array<struct<kind: string, part: struct<path: string, v: variant, key: string>>>"
 
 
 def violations(policies: DataFrame, strict: bool = True, known_signals: DataFrame | None = None) -> DataFrame:
@@ -208,28 +224,42 @@ def violations(policies: DataFrame, strict: bool = True, known_signals: DataFram
     for signals that are not in ``known_signals`` (signal_id), an anti join. Outside strict mode what is
     optional or unknown is a warning. Text that is not JSON, and anything but an object, is one violation
     of the whole. A null policy is no object.
+
+    One narrow pass parses each policy once and deals its parts out as rows, which are checked by their kind.
     """
     v = F.col("policy") if policies.schema["policy"].dataType.typeName() == "variant" else F.try_parse_json("policy")
-    root = policies.select("policy_id", F.lit("").alias("path"), F.coalesce(v, F.parse_json(F.lit("null"))).alias("v"))
-    signals = _inside(root, "signals", "object")
-    rules = _inside(root, "cooccurrenceRules", "array")
-    invariants = root.select("policy_id", F.lit("invariants").alias("path"), F.try_variant_get("v", "$.invariants", "variant").alias("v")).where(_kind(F.col("v")) == "object")
-    found = [
-        _checked(root, "root", strict), _checked(signals, "signal", strict), _checked(_inside(root, "localeOverrides", "array"), "locale", strict), _checked(_inside(root, "departmentOverrides", "array"), "department", strict),
-        _checked(rules, "rule", strict), _checked(_inside(rules, "requires", "array"), "require", strict), _checked(invariants, "invariants", strict),
-    ]
-    flat = signals.select("policy_id", "path", "key", F.try_variant_get("v", "$.enabled", "boolean").alias("enabled"), F.try_variant_get("v", "$.baseSeverity", "string").alias("base"))
-    for field, rule, broken in (("mandatorySignals", "not disabled", ~F.col("enabled")), ("alwaysCritical", "critical", F.col("base") != "critical")):
-        named = _inside(invariants, field, "array").select("policy_id", F.try_variant_get("v", "$", "string").alias("key")).distinct()
-        held = flat.join(named, ["policy_id", "key"], "left_semi").where(broken)
-        found.append(held.select("policy_id", "path", F.lit(rule).alias("rule"), F.lit("error").alias("level")))
+    one = lambda c: F.explode_outer(F.array(c))  # noqa: E731  # what is read often is spelled once
+    out = policies.select("policy_id", one(_member(F.lit(""), F.coalesce(v, F.parse_json(F.lit("null"))))).alias("root"))
+    root = F.col("root")
+    out = out.withColumn("parts", one(F.struct(
+        _inside(root, "signals", "object").alias("signal"), _inside(root, "localeOverrides", "array").alias("locale"), _inside(root, "departmentOverrides", "array").alias("department"),
+        _inside(root, "cooccurrenceRules", "array").alias("rule"), _member(F.lit("invariants"), F.try_variant_get(root["v"], "$.invariants", "variant")).alias("invariants"),
+    )))
+    parts = F.col("parts")
+    has = _kind(parts["invariants"]["v"]) == "object"
+    # names that the invariants protect; null, which holds nobody, where there are none
+    named = lambda field: F.when(has, F.array_compact(F.transform(_inside(parts["invariants"], field, "array"), lambda p: F.try_variant_get(p["v"], "$", "string"))))
+    placed = [_placed("root", F.array(root)), *[_placed(k, parts[k]) for k in ("signal", "locale", "department", "rule")], _placed("require", F.flatten(F.transform(parts["rule"], lambda p: _inside(p, "requires", "array")))), F.when(has, _placed("invariants", F.array(parts["invariants"]))).otherwise(F.array().cast(PLACED))]
+    out = out.select("policy_id", named("mandatorySignals").alias("mandatory"), named("alwaysCritical").alias("critical"), F.explode_outer(F.concat(*placed)).alias("part"))
+    part, kind = F.col("part.part"), F.col("part.kind")
+    own = [_checked(part, "signal", strict)]
+    enabled, base = F.try_variant_get(part["v"], "$.enabled", "boolean"), F.try_variant_get(part["v"], "$.baseSeverity", "string")
+    for names, rule, broken in (("mandatory", "not disabled", ~enabled), ("critical", "critical", base != "critical")):
+        own.append(F.array_compact(F.array(F.when(F.array_contains(names, part["key"]) & broken, _fault(part["path"], rule, "error")))))
     if known_signals is not None:
-        unknown = flat.join(known_signals.select(F.col("signal_id").alias("key")), "key", "left_anti")
-        found.append(unknown.select("policy_id", "path", F.lit("known").alias("rule"), F.lit("error" if strict else "warning").alias("level")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        own.append(F.array(_fault(part["path"], "known", "error" if strict else "warning", part["key"])))
+    found = F.when(kind == "signal", F.concat(*own))
+    for k in FIELDS:
+        if k != "signal":
+            found = found.when(kind == k, _checked(part, k, strict))
+    rows = out.select("policy_id", F.explode_outer(found).alias("x")).where("x is not null").select("policy_id", "x.*")
+    if known_signals is not None:
+        # only signals have a key; other rows take part by a number that no known signal has, so that they stay dealt out
+        aside = F.when(F.col("key").isNull(), F.pmod(F.xxhash64("policy_id", "path"), F.lit(1 << 20)) + 1).otherwise(0)
+        known = known_signals.select(F.col("signal_id").alias("__signal"), F.lit(0).cast("long").alias("__none"))
+        rows = rows.withColumn("__aside", aside)
+        rows = rows.join(known, (F.coalesce("key", F.lit("")) == known["__signal"]) & (rows["__aside"] == known["__none"]), "left_anti")
+    return rows.select("policy_id", "path", "rule", "level")
 
 
 def validated(policies: DataFrame, strict: bool = True, known_signals: DataFrame | None = None) -> DataFrame:

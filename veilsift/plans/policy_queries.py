@@ -133,7 +133,7 @@ def _counters_sql() -> str:
 
 def made_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A policy for each event, right or wrong by the event's value, type and properties."""
-    return tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("policy_id"), F.expr(POLICY_EXPR).alias("policy"))
+    return tables.spread(tables.table(spark, sf_dir, "events")).select(F.col("event_id").alias("policy_id"), F.expr(POLICY_EXPR).alias("policy"))
 
 
 #: JSON text of a policy, in SQL that both engines read alike.
