@@ -111,3 +111,12 @@ def test_policies_are_read_once(spark):
     for of in (1, None):  # a policy's own invariants hold for it, with an id or without
         assert {(of, "signals.a", "not disabled"), (of, "signals.a", "critical"), (of, "signals.a", "known"), (of, "cooccurrenceRules[0].requires[0]", "object")} <= set(got)
     assert [g for g in got if g[0] in (2, 3)] == [(2, "", "object"), (3, "", "object")] and not [g for g in got if g[1] == "signals.b"]
+
+
+def test_batches_of_pieces_are_written_by_many_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    from veilsift.plans import stream_queries
+
+    monkeypatch.setattr(stream_queries, "stream_root", lambda spark: f"file://{tmp_path}")
+    stream_queries.stream_chunks(spark, sf_dir)
+    # before, one task read all documents for a batch and wrote its one file
+    assert len(list(tmp_path.glob("veilsift-stream/*/in/*.parquet"))) > stream_queries.BATCHES

@@ -26,14 +26,15 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("reader-"), F.col("doc_id").cast("string")).alias("source"), F.col("doc_id").cast("string").alias("request_id"), begun.alias("started"), F.col("n").cast("int").alias("n"), "piece", (F.col("n") == F.col("of") - 1).alias("last"), begun.alias("ts")
     )
     folder = f"{stream_root(spark)}/veilsift-stream/{uuid.uuid4().hex}"
-    for i in range(BATCHES):
-        pieces.where(F.col("n") % BATCHES == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     before = spark.conf.get(chunks.STATE_STORE)
     chunks.keep_state_in_rocksdb(spark)
     try:
-        stream = spark.readStream.schema(chunks.PIECES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-        found = chunks.findings(chunks.chunk_stream(stream))
-        found.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").format("parquet").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+        for i in range(BATCHES):
+            # a batch is all files that have come, as many as there are tasks; the stream goes on from its state
+            pieces.where(F.col("n") % BATCHES == i).write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(chunks.PIECES).parquet(f"{folder}/in")
+            found = chunks.findings(chunks.chunk_stream(stream))
+            found.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").format("parquet").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(chunks.STATE_STORE, before)
     return spark.read.parquet(f"{folder}/out").select(F.col("request_id").cast("long").alias("doc_id"), "id", "severity", F.col("offset").cast("int").alias("offset"), "matched")
