@@ -120,3 +120,17 @@ def test_batches_of_pieces_are_written_by_many_tasks(spark, sf_dir, tmp_path, mo
     stream_queries.stream_chunks(spark, sf_dir)
     # before, one task read all documents for a batch and wrote its one file
     assert len(list(tmp_path.glob("veilsift-stream/*/in/*.parquet"))) > stream_queries.BATCHES
+
+
+def test_shadows_are_made_once_and_row_by_row(spark, sf_dir):
+    from veilsift.functions import normalize
+    from veilsift.plans import scan_queries
+
+    out = scan_queries.norm_shadow(spark, sf_dir)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # before, Arrow held up to 10,000 texts a batch, and the filter had every shadow made a second time
+    assert plan.count("BatchEvalPython") == 1 and "ArrowEvalPython" not in plan
+    tails = (" amount 90 500,00 EUR", " 1.234,50 alone", " nothing")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = {d: normalize.shadow_of(t + tails[d % 3]) for d, t in texts.items() if t is not None}
+    assert {r.doc_id: r.shadow for r in out.collect()} == {d: s for d, s in want.items() if s is not None}
