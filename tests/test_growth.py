@@ -134,3 +134,26 @@ def test_shadows_are_made_once_and_row_by_row(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     want = {d: normalize.shadow_of(t + tails[d % 3]) for d, t in texts.items() if t is not None}
     assert {r.doc_id: r.shadow for r in out.collect()} == {d: s for d, s in want.items() if s is not None}
+
+
+def test_white_space_is_collapsed_from_the_ends_of_lines(spark):
+    import random
+    import re
+
+    from veilsift.functions import normalize
+
+    space = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+    def plain(t):
+        t = re.sub("\n+", "\n", re.sub("[ \t]+", " ", t.replace("\r\n", "\n").replace("\r", "\n")))
+        return "\n".join(x.strip(space) for x in t.split("\n")).strip(space)
+
+    rng = random.Random(5)
+    parts = [*"  \t\n\n\rab-\x85\u200b\u2010\u2012\u2013\u2014", "\r\n", "\u00e9", "\U0001f600", *space]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(16))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "a \n \n b", "x \x85", "-\n\x85", None]], "t string")
+    out = df.select("t", normalize.collapse_white_space(F.col("t")).alias("w"), normalize.unify_hyphens(F.col("t")).alias("h"))
+    # before, an expression looked for a line's end at each character, and took a space before U+0085 for one at the end
+    assert "^[" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        assert (r.w, r.h) == ((None, None) if r.t is None else (plain(r.t), re.sub("[\u2010-\u2013]", "-", r.t))), repr(r.t)
