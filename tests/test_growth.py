@@ -170,3 +170,17 @@ def test_texts_are_folded_without_a_look_at_each_character():
     assert prefilter.fold(text) == want.lower()
     # before, folding translated the text and more
     assert time.perf_counter() - began < plainly
+
+
+def test_locales_are_scored_over_whole_texts(spark):
+    from veilsift.operators import texts
+
+    # before, what stands after the first 5000 characters did not count
+    late = "xx " * 4000
+    ends = ["und oder Rechnung €12", "DE89370400440532013000", "kr påx eller fra moms 12 kr", "på", "på eller.", "från_ för", "för, till och", "über für die Rechnung", "y_o con-de e", "R$5", "_og og1 Og moms", "", "colour £5"]
+    rows = [(i, late + e) for i, e in enumerate(ends)] + [(100 + i, e) for i, e in enumerate(ends)] + [(-1, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    ready = docs.withColumns(prefilter.facts(F.col("text")))
+    plain, guarded = ({r.doc_id: (r.locale, r.locale_confidence) for r in texts.with_locale(ready, "text", guarded=g).collect()} for g in (False, True))
+    assert plain == guarded and plain[0] == ("EU-DACH", "high") and plain[1] == ("EU-DACH", "low") and plain[-1] == ("unknown", "none")
+    assert all(plain[i] == plain[100 + i] for i in range(len(ends)))
