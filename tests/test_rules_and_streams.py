@@ -212,3 +212,30 @@ def test_literals_without_what_matches_have_beside_them_are_no_candidates(spark)
     assert [f(t) for f, t in zip(find, ("ssecret", "newspaper", "kelvin K kelvin"), strict=True)] == [[], [], []]
     for f, (p, t) in zip(find, rules, strict=True):
         assert len(f(t)) == 1 and len(found(spark, [rule("x", regex=p)], docs=[(1, t)])) == 1
+
+
+def test_expressions_read_the_pieces_around_their_literals(spark):
+    from veilsift.functions.patterns import java_regex, place_of
+
+    rng = random.Random(5)
+    patterns = [r"\bab[a-z]*\b", r"\b(?:in|of|a)\s+ab", r"ab[.,;]\s+[A-Z][a-z]+", r"ab\b", r"\Bab\b", r"(a|b)?ab{1,2}[ab]*c?\b", r"[a-c]*cab", r"ab\d{2,}", r"ab(?!c)", r"ab.a", r"\p{L}+ab", r"ab\w+?\b", r"abab"]
+    alphabet = ["ab", "ab", "a", "b", "c", " ", "in ", ". Ab", "_", "1", "AB", "K", "ſ", "é", "\U0001f600", "\x01", "x"]
+    docs = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))) for i in range(400)]
+    rules = [rule(f"{i}{c}", regex=p, case_sensitive=c) for i, p in enumerate(patterns) for c in (True, False)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = []
+    for r in rules:
+        java = java_regex(r[4], "" if r[6] else "i")
+        rows = df.select("doc_id", F.regexp_count("text", F.lit(java)).alias("n"), place_of(F.col("text"), F.lit(java)).alias("place"), F.regexp_extract("text", java, 0).alias("m")).where("n > 0").collect()
+        want += [(x.doc_id, r[0], x.n, x.place, x.m) for x in rows]
+    assert found(spark, rules, docs) == sorted(want, key=repr) and len(want) > 3000
+    # before, a character beyond the basic plane after a match could count as one before it
+    by_id = dict(docs)
+    assert all(by_id[d][p : p + len(m)] == m for d, _, _, p, m in want)
+    # before, a candidate brought its whole text, once for each expression, and all texts were searched twice
+    block = rule_table._Block()
+    block.add(spark.createDataFrame([rule("x", regex=patterns[0])], rule_table.RULES).first())
+    ((*_, pieces, places),) = rule_table.Matcher(block.keywords, block.literals, block.always).find("x " * 5000 + "abx, " + "y " * 5000 + "(ab)")
+    assert pieces == " abx,\x01(ab)" and places == [(0, 9999), (6, 20005)]
+    plan = rule_table.scan_with_rules(df, spark.createDataFrame(rules, rule_table.RULES))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
