@@ -184,3 +184,23 @@ def test_locales_are_scored_over_whole_texts(spark):
     plain, guarded = ({r.doc_id: (r.locale, r.locale_confidence) for r in texts.with_locale(ready, "text", guarded=g).collect()} for g in (False, True))
     assert plain == guarded and plain[0] == ("EU-DACH", "high") and plain[1] == ("EU-DACH", "low") and plain[-1] == ("unknown", "none")
     assert all(plain[i] == plain[100 + i] for i in range(len(ends)))
+
+
+def test_steps_of_decisions_are_made_once_and_where_asked(spark):
+    from veilsift.operators import classes, scan, texts
+    from veilsift.plans import class_words
+
+    # before, signs of a character left their expressions unguarded
+    assert prefilter.literals(texts.TRANSACTIONAL[0][0]) == ("$", "dkk", "eur", "gbp", "kr", "nok", "sek", "usd", "£", "€")
+    assert prefilter.literals(r"(?:abc|)") is None and prefilter.literals(r"a|bcd") is None
+    # before, clauses were looked for again for each number that they are compared with
+    clauses = "1.1 a 1.2 b 1.3 c. Article 7, Clause 8, § 9. party a and party b, Date: ____ Dato: ____ " + "word " * 40
+    docs = spark.createDataFrame([(1, clauses), (2, "word " * 60), (3, None)], "doc_id long, text string").withColumns(prefilter.facts(F.col("text")))
+    for guarded in (False, True):
+        out = docs.select("doc_id", classes.structure_points(F.col("text"), F.lit(None).cast("string"), guarded).alias("n"))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == len(class_words.CLAUSES)
+        assert {r.doc_id: r.n for r in out.collect()} | {3: 0} == {1: 3 + 3 + 1, 2: 0, 3: 0}
+    # before, the words of every text were counted, also where no rule of a language asks for them
+    plan = scan.scan(spark.createDataFrame([(1, "a")], "doc_id long, text_norm string"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("ELSE 0 END AS __locale") == 1
